@@ -175,3 +175,120 @@ SELECT l_orderkey AS run_id, l_orderkey || '-' || rn AS item,
   CAST(l_linenumber + CASE WHEN {_s} % 10 = 0 THEN 100 ELSE 0 END AS VARCHAR) AS delivered,
   {pick(_s, 'filesystem_walk', 'file_list', 'file_list', 'file_list')} AS snapshot_source
 FROM numbered_lines"""
+
+# ------------------------------------------------------------------ retrieval
+TERM = r"[\p{L}\p{N}_]{2,}"
+STOP_WORDS = (
+    "the", "and", "of", "to", "in", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he",
+    "his", "but", "at", "are", "this", "have", "from", "or", "had", "an", "they", "which", "one", "you", "were",
+    "her", "all", "she", "there", "would", "their", "we", "him", "been", "has", "when", "who", "will", "more", "no",
+    "if", "out", "so", "said", "what", "up", "its", "about", "into", "than", "them", "can", "only", "other",
+)
+FORM_PHRASES = (
+    ("G_1", "heit"), ("G_1", "keit ge"), ("G_1", "der"),
+    ("S_1", "ción"), ("S_1", "mente"), ("S_1", "los la"),
+    ("F_1", "ement"), ("F_1", "pour"), ("F_1", "aux"),
+    ("E_1", "tion and"), ("E_1", "ing"), ("E_1", "the of"),
+    ("Ü", "ü"), ("Ü", "öß"),
+)
+FORMS = ("G_1", "S_1", "F_1", "E_1", "Ü")
+
+CTES["clean_docs"] = r"""
+SELECT doc_id AS doc, regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS c FROM documents"""
+_STOP = r"""CASE WHEN {s} + 900 >= length(c) THEN length(c)
+  WHEN substr(c, {s} + 1, 900) LIKE '%' || chr(10) || '%'
+   AND length(regexp_replace(substr(c, {s} + 1, 900), '\n[^\n]*$', '')) > 200
+  THEN {s} + length(regexp_replace(substr(c, {s} + 1, 900), '\n[^\n]*$', '')) ELSE {s} + 900 END"""
+CTES["chunk_steps"] = f"""
+SELECT doc, c, 0::BIGINT AS b, {_STOP.format(s='0::BIGINT')} AS e FROM clean_docs WHERE c <> ''
+UNION ALL
+SELECT doc, c, e AS b, {_STOP.format(s='e')} AS e FROM chunk_steps WHERE e < length(c)"""
+CTES["chunks"] = r"""
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY b) AS INTEGER) AS chunk_id, CAST(b AS INTEGER) AS "start",
+  CAST(e AS INTEGER) AS "end", t AS text,
+  TRY_CAST(regexp_extract(t, '(?i)\[page\s+([0-9]+)\]', 1) AS INTEGER) AS page
+FROM (SELECT *, regexp_replace(substr(c, b + 1, e - b), '^\s+|\s+$', '', 'g') AS t FROM chunk_steps) WHERE t <> ''"""
+CTES["doc_files"] = """
+SELECT doc_id AS doc, (['policy_', 'audit report ', 'log-', 'note_', 'misc_'])[doc_id % 5 + 1] || doc_id || '.txt' AS source_file,
+  sha256(text) AS sha256 FROM documents"""
+
+
+def tfidf_ctes(prefix: str, tokens: str, *, chunks: str = "chunks", asks: str = "SELECT item_id AS query, text AS query_text FROM benchmark",
+               raw_tf: bool = False, max_features: int | None = None, fit: int = 0) -> None:
+    """CTEs <prefix>_scores(query, doc, chunk_id, score, words)."""
+    tf = "CAST(n AS DOUBLE)" if raw_tf else "n / CAST(len AS DOUBLE)"
+    p = prefix
+    CTES[f"{p}_ct"] = f"SELECT doc, chunk_id, w, len(w) AS len FROM (SELECT doc, chunk_id, {tokens.replace('@', 'text')} AS w FROM {chunks})"
+    CTES[f"{p}_cp"] = f"SELECT doc, chunk_id, len, term, count(*) AS n FROM (SELECT doc, chunk_id, len, unnest(w) AS term FROM {p}_ct) GROUP BY ALL"
+    CTES[f"{p}_qt"] = f"SELECT query, w, len(w) AS len FROM (SELECT query, {tokens.replace('@', 'query_text')} AS w FROM ({asks}))"
+    CTES[f"{p}_qp"] = f"SELECT query, len, term, count(*) AS n FROM (SELECT query, len, unnest(w) AS term FROM {p}_qt) GROUP BY ALL"
+    top = f"ORDER BY cf DESC, term LIMIT {max_features}" if max_features else ""
+    CTES[f"{p}_df"] = f"SELECT term, count(*) AS df, sum(n) AS cf FROM {p}_cp GROUP BY term {top}"
+    CTES[f"{p}_n"] = f"SELECT count(*) + {fit} AS nd FROM {chunks}"
+    join = "JOIN" if max_features else "LEFT JOIN"
+    CTES[f"{p}_q"] = (f"SELECT query, term, ln((1.0::DOUBLE + nd) / (1.0::DOUBLE + coalesce(df, 0) + {fit})) + 1.0::DOUBLE AS idf, {tf} AS tf "
+                      f"FROM {p}_qp {join} {p}_df USING (term), {p}_n")
+    CTES[f"{p}_c"] = (f"SELECT doc, chunk_id, term, {tf} AS tf, ln((1.0::DOUBLE + nd) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf "
+                      f"FROM {p}_cp JOIN {p}_df USING (term), {p}_n")
+    CTES[f"{p}_ss"] = f"SELECT doc, chunk_id, sum(tf * idf * tf * idf) AS ss FROM {p}_c GROUP BY ALL"
+    CTES[f"{p}_qn"] = f"SELECT query, sqrt(sum(tf * idf * tf * idf)) AS qn FROM {p}_q GROUP BY ALL"
+    CTES[f"{p}_dots"] = (f"SELECT query, doc, chunk_id, sum(c.tf * q.idf * q.tf * q.idf) AS dot, "
+                         f"sum(c.tf * c.tf * (q.idf * q.idf - c.idf * c.idf)) AS shift, count(*) FILTER (length(term) > 1) AS words "
+                         f"FROM {p}_c c JOIN {p}_q q USING (term) GROUP BY ALL")
+    CTES[f"{p}_scores"] = (f"SELECT query, doc, chunk_id, round(dot / (sqrt(ss + {'shift' if fit else '0'}) * qn), 6) AS score, words "
+                           f"FROM {p}_dots JOIN {p}_ss USING (doc, chunk_id) JOIN {p}_qn USING (query)")
+
+
+TOKENS = "regexp_extract_all(lower(@), '[a-z0-9]+')"
+WORDS = f"regexp_extract_all(lower(@), '{TERM}')"
+_stop_list = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+tfidf_ctes("base", TOKENS)
+tfidf_ctes("capped", f"list_filter({WORDS}, lambda x: x NOT IN {_stop_list})", raw_tf=True, max_features=4096)
+CTES["gram_chunks"] = f"SELECT doc, chunk_id, {WORDS.replace('@', 'text')} AS text FROM chunks"
+CTES["gram_asks"] = f"SELECT item_id AS query, {WORDS.replace('@', 'text')} AS query_text FROM benchmark"
+tfidf_ctes("gram", "list_concat(@, list_transform(generate_series(1, len(@) - 1), lambda i: @[i] || ' ' || @[i + 1]))",
+           chunks="gram_chunks", asks="SELECT * FROM gram_asks", raw_tf=True, fit=1)
+_forms = ", ".join(f"('{f}', '" + " ".join([p for g, p in FORM_PHRASES if g == f] + [f.replace("_", " "), f]) + "')" for f in FORMS)
+CTES["form_asks"] = f"SELECT * FROM (VALUES {_forms}) v(query, query_text)"
+tfidf_ctes("form", TOKENS, asks="SELECT * FROM form_asks")
+
+
+def _topk(pairs: str) -> str:
+    return f"""
+SELECT query, doc, chunk_id, semantic_score, keyword_score,
+  CASE WHEN max(semantic_score) OVER (PARTITION BY query) <= 0 THEN keyword_score ELSE combined END AS retrieval_score, rank,
+  CASE WHEN max(semantic_score) OVER (PARTITION BY query) <= 0 THEN 'keyword_fallback' ELSE 'tfidf_cosine' END AS retrieval_method
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY semantic_score DESC, keyword_score DESC, doc, chunk_id) AS INTEGER) AS rank
+  FROM (SELECT *, CAST(round_even(semantic_score * 1000, 0) AS BIGINT) + 2 * keyword_score AS combined FROM ({pairs}))
+  WHERE combined > 0) WHERE rank <= 8"""
+
+
+CTES["text_hits"] = _topk("SELECT query, doc, chunk_id, score AS semantic_score, words AS keyword_score FROM base_scores")
+_points = []
+for _form in FORMS:
+    _own = [f"CASE WHEN contains(t, '{p.lower()}') THEN 2 ELSE 0 END" for f, p in FORM_PHRASES if f == _form]
+    _own += [f"CASE WHEN contains(t, '{x}') THEN 1 ELSE 0 END" for x in re.findall("[a-z0-9]+", _form.lower()) if len(x) > 1]
+    _points.append(f"SELECT doc, chunk_id, '{_form}' AS query, CAST({' + '.join(_own)} AS BIGINT) AS kw FROM (SELECT doc, chunk_id, lower(text) AS t FROM chunks)")
+CTES["phrase_scores"] = "SELECT * FROM (" + " UNION ALL ".join(_points) + ") WHERE kw > 0"
+CTES["form_hits"] = _topk("""SELECT query, doc, chunk_id, coalesce(score, 0.0::DOUBLE) AS semantic_score, coalesce(kw, 0) AS keyword_score
+  FROM form_scores FULL JOIN phrase_scores USING (query, doc, chunk_id)""")
+
+CTES["requirements"] = """
+SELECT item_id AS query, item_id * 2 + i AS req_id, array_to_string(w[i * 3 + 1 : i * 3 + 3], ' ') AS field_label,
+  'Find evidence supporting ' || coalesce(w[8 + i], 'nothing') AS search_directive,
+  (['number', 'date', 'narrative', 'boolean'])[(item_id + i) % 4 + 1] AS field_type,
+  (item_id + i) % 3 <> 0 AS required, round((item_id % 10) / 10.0::DOUBLE, 1) AS mapping_confidence, item_id % 10 >= 2 AS can_auto_fill,
+  (['fill_not_verified', 'leave_blank', 'use_default', 'use_best_effort'])[(item_id // 2 + i) % 4 + 1] AS fallback_behavior
+FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), (VALUES (0), (1)) v(i)"""
+CTES["reranked"] = r"""
+SELECT query, req_id, doc, chunk_id, source_file, semantic_score, retrieval_score, directive_hits, rank,
+  least(0.99::DOUBLE, greatest(0.35::DOUBLE, retrieval_score + 0.4::DOUBLE)) AS confidence,
+  CASE WHEN regexp_matches(lower(source_file), 'policy|procedure') THEN 0.95::DOUBLE WHEN regexp_matches(lower(source_file), 'report|audit') THEN 0.85::DOUBLE
+    WHEN regexp_matches(lower(source_file), 'log|record') THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END AS authority, content, chunk_hash
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY req_id ORDER BY directive_hits DESC, semantic_score DESC, retrieval_score DESC, doc, chunk_id) AS INTEGER) AS rank
+  FROM (SELECT h.query, r.req_id, h.doc, h.chunk_id, f.source_file, h.semantic_score, h.retrieval_score, sha256(c.text) AS chunk_hash,
+      len(list_filter(list_distinct(regexp_extract_all(lower(r.search_directive || ' ' || r.field_label), '[a-z0-9]+')), lambda t: length(t) > 2 AND contains(lower(c.text), t))) AS directive_hits,
+      CASE WHEN length(trim(regexp_replace(c.text, '\s+', ' ', 'g'))) <= 600 THEN trim(regexp_replace(c.text, '\s+', ' ', 'g'))
+        ELSE left(trim(regexp_replace(c.text, '\s+', ' ', 'g')), 597) || '...' END AS content
+    FROM text_hits h JOIN requirements r USING (query) JOIN chunks c USING (doc, chunk_id) JOIN doc_files f USING (doc)))
+WHERE rank <= 5"""
