@@ -24,7 +24,11 @@ def with_ctes(sql: str) -> str:
     visit(sql)
     # a CTE may only use CTEs defined before it, so definition order is a valid order
     parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
-    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql) if parts else sql
+    if not parts:
+        return sql
+    own = sql.strip()
+    joint = ",\n" + own[5:] if own.startswith("WITH ") else "\n" + own
+    return "WITH RECURSIVE " + ",\n".join(parts) + joint
 
 
 def pick(expr: str, *options: str) -> str:
@@ -80,7 +84,8 @@ SELECT o_orderkey AS doc_id, 'Order Status: ' || o_orderstatus
   || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'table_0_row_1: Order (Date) of the Car | ' ELSE chr(10) || 'Date: ' END
   || strftime(o_orderdate, '%Y-%m-%d')
   || CASE WHEN o_orderkey % 7 = 0 THEN chr(10) || 'Order Status: REVIEW_REQUIRED: order.status missing' ELSE '' END
-  || CASE WHEN o_orderkey % 11 = 0 THEN chr(10) || 'Notes: ' || repeat('long text ', 20) ELSE '' END AS text
+  || CASE WHEN o_orderkey % 11 = 0 THEN chr(10) || 'Notes: ' || repeat('long text ', 20) ELSE '' END
+  || CASE WHEN o_orderkey % 9 = 0 THEN chr(10) || 'Calibration Due: ' || strftime(o_orderdate, '%-m/%-d/%Y') ELSE '' END AS text
 FROM orders"""
 
 CTES["numbered_lines"] = """
@@ -292,3 +297,164 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY req_id ORDER BY directive_h
         ELSE left(trim(regexp_replace(c.text, '\s+', ' ', 'g')), 597) || '...' END AS content
     FROM text_hits h JOIN requirements r USING (query) JOIN chunks c USING (doc, chunk_id) JOIN doc_files f USING (doc)))
 WHERE rank <= 5"""
+
+
+# ------------------------------------------------------------------ pairs
+_key = lambda c: (
+    "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(replace(replace(lower(" + c + "), '/', ' '), '&', ' and '), "
+    r"'\([^)]*\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN "
+    "('a','an','and','by','for','from','in','of','on','or','the','to','with','aar','tank','car')), ' ')")
+_cell = lambda c: f"trim(regexp_replace({c}, '[ \\t]{{2,}}', ' ', 'g'), ' |')"
+
+CTES["doc_lines"] = f"""
+SELECT doc_id, i, lines[i] AS line, lines[i - 1] AS before FROM (
+  SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (
+    SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: {_cell('s')}), lambda s: s <> '') AS lines
+    FROM label_documents))"""
+CTES["line_events"] = f"""
+SELECT doc_id, i, NOT has_colon AS carry, CASE WHEN has_colon THEN {_key('label')} ELSE {_key('before_label')} END AS key,
+  CASE WHEN has_colon THEN value ELSE line END AS value
+FROM (SELECT *, contains(line, ':') AS has_colon, {_cell("regexp_extract(line, '^[^:]*:(.*)$', 1)")} AS value,
+    {_cell("regexp_extract(before, '^[^:]*:(.*)$', 1)")} AS before_value,
+    regexp_replace(regexp_extract(line, '^([^:]*):', 1), '^table_[0-9]+_row_[0-9]+\\s*', '') AS label,
+    regexp_replace(regexp_extract(before, '^([^:]*):', 1), '^table_[0-9]+_row_[0-9]+\\s*', '') AS before_label FROM doc_lines)
+WHERE (has_colon AND value <> '' AND length(value) <= 160 AND value NOT LIKE 'REVIEW_REQUIRED%')
+   OR (NOT has_colon AND contains(before, ':') AND before_value = '')"""
+CTES["key_events"] = """
+SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS n, count(*) OVER (PARTITION BY doc_id, key) AS total FROM line_events WHERE key <> ''"""
+CTES["key_fold"] = """
+SELECT doc_id, key, n, total, [value] AS bucket FROM key_events WHERE n = 1
+UNION ALL
+SELECT f.doc_id, f.key, e.n, f.total, CASE WHEN e.carry THEN list_append(f.bucket[1 : -2], f.bucket[-1] || ' ' || e.value)
+  WHEN list_contains(f.bucket, e.value) THEN f.bucket ELSE list_append(f.bucket, e.value) END
+FROM key_fold f JOIN key_events e ON e.doc_id = f.doc_id AND e.key = f.key AND e.n = f.n + 1"""
+CTES["label_pairs"] = """
+SELECT doc_id, key, bucket[i] AS value, CAST(i - 1 AS INTEGER) AS ord
+FROM (SELECT doc_id, key, bucket, unnest(generate_series(1, len(bucket))) AS i FROM key_fold WHERE n = total)"""
+
+CTES["strict_pairs"] = r"""
+SELECT packet_id, form_id, source_file, source_type, chunk_id, page, scope_hint, left(string_split(text, chr(10))[1], 240) AS source_text,
+  CAST(i - 1 AS INTEGER) AS line_no, lower(trim(x.l)) AS label, trim(x.v) AS value
+FROM (SELECT *, regexp_extract(string_split(text, chr(10))[i], '^\s*([A-Za-z0-9 _./()&\-#\[\]]+)[:=]\s*(.+?)\s*$', ['l', 'v']) AS x
+  FROM (SELECT *, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM evidence_chunks))
+WHERE trim(x.l) <> '' AND trim(x.v) <> ''"""
+
+_words = "len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))"
+_label_words = "|".join(__import__("proofgrain.functions.rules", fromlist=["rules"]).LABEL_WORDS)
+CTES["grid_cells"] = rf"""
+SELECT doc, tbl, row, col, span, text,
+  text <> '' AND NOT regexp_full_match(text, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}')
+  AND NOT regexp_full_match(text, '(?:DOT|AAR)\s*[0-9][A-Z0-9./-]{{3,}}|[A-Z]{{2,6}}\s*[- ]?\d{{3,8}}[A-Z]?')
+  AND (text LIKE '%:' OR regexp_matches(lower(text), '{_label_words}')
+    OR (regexp_matches(text, '[A-Z]') AND upper(text) = text AND {_words} <= 8 AND ({_words} > 1 OR length(text) > 8))) AS is_label,
+  text <> '' AND (regexp_matches(text, '\b\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b|\b[A-Z]{{2,6}}\s*[- ]?\d{{3,8}}\b')
+    OR regexp_matches(text, '(?i)\b\d+(?:\.\d+)?\s*(?:psi|psig|f|mils?|in|%)\b')
+    OR (regexp_matches(text, '[a-z]') AND {_words} <= 12)) AS is_value
+FROM (SELECT doc, tbl, row, col, span, {_cell('text')} AS text FROM grid)"""
+CTES["grid_rows"] = """
+SELECT doc, tbl, row, count(DISTINCT lower(text)) FILTER (text <> '') > 1
+    AND sum(CASE WHEN is_label THEN span ELSE 0 END) >= greatest(1, sum(CASE WHEN text <> '' THEN span ELSE 0 END) // 3)
+    AND sum(CASE WHEN is_label THEN span ELSE 0 END) >= sum(CASE WHEN is_value THEN span ELSE 0 END) AS label_row,
+  count(*) FILTER (is_label) AS row_labels
+FROM grid_cells GROUP BY ALL"""
+
+# ------------------------------------------------------------------ ledger
+ALIAS_RULES = (
+    ("status", "order.status", "write_bridge", [], "low", "approved_alias_rule"),
+    ("date", "order.date", "read_lookup", ["ASIA", "EUROPE"], "medium", "approved_alias_rule"),
+    ("market_segment", "customer.segment", "write_bridge", ["AFRICA", "AMERICA"], "low", "approved_alias_rule"),
+    ("order_priority", "order.priority", "write_bridge", ["EUROPE"], "low", "approved_alias_rule"),
+)
+CTES["alias_rules"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{a}', '{b}', '{c}', {d or '[]::VARCHAR[]'}, '{e}', '{f}')" for a, b, c, d, e, f in ALIAS_RULES) + ") v(from_key, field_id, direction, forms, risk, authority)"
+CTES["field_keys"] = """
+SELECT DISTINCT form_id, field_id, label, key FROM (
+  SELECT form_id, field_id, label, unnest([field_id, lower(label), replace(field_id, '.', '_'), replace(field_id, '.', ' ')]) AS key FROM field_spec WHERE NOT never_write
+  UNION ALL SELECT s.form_id, s.field_id, s.label, a.from_key FROM field_spec s JOIN alias_rules a ON a.field_id = s.field_id
+    AND (len(a.forms) = 0 OR list_contains(a.forms, s.form_id)) WHERE NOT never_write)"""
+_norm = lambda c: f"lower(regexp_replace({c}, '[^A-Za-z0-9]+', '', 'g'))"
+CTES["label_matches"] = f"""
+SELECT form_id, label, field_id, arg_min(key, struct_pack(s := -strength, k := key)) AS key, max(strength) AS strength,
+  bool_or(contains(label, '.') AND l_norm <> '' AND len(list_filter(string_split(replace(field_id, '_', '.'), '.'),
+    lambda w: w NOT IN ('', 'id', 'name', 'type', 'date', 'number', 'code') AND contains(l_norm, w))) = 0) AS dot_bad
+FROM (SELECT l.form_id, l.label, l.l_norm, k.field_id, k.key,
+    CASE WHEN l.label = lower(k.key) OR (l_norm <> '' AND k_norm <> '' AND (l_norm = k_norm
+           OR (length(replace(l_norm, 'tco', '')) > 4 AND replace(l_norm, 'tco', '') = replace(k_norm, 'tco', ''))
+           OR (length(replace(l_norm, 'lco', '')) > 4 AND replace(l_norm, 'lco', '') = replace(k_norm, 'lco', '')))) THEN 1.0::DOUBLE
+         WHEN l_norm <> '' AND k_norm <> '' AND (contains(l_norm, k_norm) OR contains(k_norm, l_norm)) THEN 0.72::DOUBLE
+         WHEN contains(l.label, lower(k.key)) OR contains(lower(k.key), l.label) THEN 0.7::DOUBLE END AS strength
+  FROM (SELECT DISTINCT form_id, label, {_norm('label')} AS l_norm FROM strict_pairs) l
+  JOIN (SELECT *, {_norm('key')} AS k_norm FROM field_keys) k ON k.form_id = l.form_id)
+WHERE strength IS NOT NULL GROUP BY form_id, label, field_id"""
+
+
+def _candidates(pairs: str) -> str:
+    return r"""
+SELECT packet_id, form_id, field_id, source_file, source_type, chunk_id, page, scope_hint, source_text, line_no, label, value,
+  CASE WHEN not_date THEN least(s2, 0.45::DOUBLE) ELSE s2 END AS strength,
+  CASE WHEN key <> field_id AND key <> own THEN key END AS alias_used
+FROM (SELECT *, CASE WHEN source_type = 'json' THEN least(1.0::DOUBLE, s1 + 0.08::DOUBLE) ELSE s1 END AS s2
+  FROM (SELECT p.*, m.field_id, m.key, lower(f.label) AS own, CASE WHEN dot_bad THEN least(strength, 0.45::DOUBLE) ELSE strength END AS s1,
+      m.field_id LIKE '%date%' AND NOT regexp_matches(p.value, '^\s*(?:\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2})(?:\s+\d{1,2}:\d{2}(?:\s*[AaPp][Mm])?)?\s*$') AS not_date
+    FROM (""" + pairs + r""") p JOIN label_matches m ON m.form_id = p.form_id AND m.label = p.label
+    JOIN field_spec f ON f.form_id = m.form_id AND f.field_id = m.field_id))"""
+
+
+CTES["candidates"] = _candidates("SELECT * FROM strict_pairs WHERE scope_hint IS NULL OR scope_hint = form_id")
+CTES["open_candidates"] = _candidates("SELECT * FROM strict_pairs")
+CTES["multi_sources"] = """
+SELECT packet_id, source_file FROM evidence_chunks GROUP BY 1, 2 HAVING count(DISTINCT scope_hint) >= 2"""
+CTES["universe"] = """
+SELECT packet_id, f.form_id, field_id FROM packets JOIN field_spec f USING (form_id) WHERE NOT never_write"""
+
+
+def ledger_ctes(prefix: str, cands: str) -> None:
+    """CTEs <prefix>_ledger and <prefix>_alternates."""
+    p = prefix
+    CTES[f"{p}_flag"] = f"""
+SELECT c.*, m.source_file IS NOT NULL AS multi FROM {cands} c LEFT JOIN multi_sources m ON m.packet_id = c.packet_id AND m.source_file = c.source_file"""
+    CTES[f"{p}_kept"] = f"""
+SELECT * FROM (SELECT *, max(strength) FILTER (NOT multi) OVER w AS single, max(strength) OVER w AS top FROM {p}_flag
+  WINDOW w AS (PARTITION BY packet_id, form_id, field_id)) WHERE NOT multi OR single IS NULL OR single < top - 0.05::DOUBLE"""
+    CTES[f"{p}_ranked"] = f"""
+SELECT *, row_number() OVER (PARTITION BY packet_id, form_id, field_id, value ORDER BY strength DESC, source_file, chunk_id, line_no) AS rb,
+  row_number() OVER (PARTITION BY packet_id, form_id, field_id, value ORDER BY source_file, chunk_id, line_no) AS rf FROM {p}_kept"""
+    CTES[f"{p}_values"] = f"""
+SELECT packet_id, form_id, field_id, value, max(strength) AS strength,
+  max(CASE WHEN rb = 1 THEN struct_pack(source_file := source_file, source_type := source_type, page := page, chunk_id := chunk_id, source_text := source_text, scope := scope_hint, alias_used := alias_used) END) AS best,
+  max(CASE WHEN rf = 1 THEN struct_pack(source_file := source_file, page := page, chunk_id := chunk_id, line_no := line_no) END) AS first,
+  min(source_file) AS a, max(source_file) AS b, bool_and(multi) AS multi FROM {p}_ranked GROUP BY ALL"""
+    CTES[f"{p}_order"] = f"""
+SELECT *, row_number() OVER (w ORDER BY strength DESC, first.source_file, first.chunk_id, first.line_no, value) AS r, count(*) OVER w AS n,
+  bool_and(multi) OVER w AS all_multi, min(a) OVER w = max(b) OVER w AS one_file FROM {p}_values WINDOW w AS (PARTITION BY packet_id, form_id, field_id)"""
+    CTES[f"{p}_decided"] = f"""
+SELECT t.packet_id, t.form_id, t.field_id, t.value, t.best.source_file AS source_file, t.best.source_type AS source_type, t.best.page AS page,
+  t.best.chunk_id AS chunk_id, t.best.source_text AS source_text,
+  CASE WHEN t.n = 1 OR (t.strength >= 0.75 AND s.strength <= 0.55) THEN least(0.95::DOUBLE, 0.6::DOUBLE + 0.35::DOUBLE * t.strength)
+    WHEN t.all_multi OR t.one_file THEN 0.5::DOUBLE ELSE 0.55::DOUBLE END AS confidence,
+  t.best.scope AS scope,
+  CASE WHEN t.n = 1 THEN CASE WHEN least(0.95::DOUBLE, 0.6::DOUBLE + 0.35::DOUBLE * t.strength) >= 0.65 THEN 'usable' ELSE 'weak' END
+    WHEN t.strength >= 0.75 AND s.strength <= 0.55 THEN 'usable' WHEN t.all_multi OR t.one_file THEN 'weak' ELSE 'conflict' END AS decision,
+  t.best.alias_used AS alias_used, t.n - 1 AS n_alternates
+FROM {p}_order t LEFT JOIN {p}_order s ON s.packet_id = t.packet_id AND s.form_id = t.form_id AND s.field_id = t.field_id AND s.r = 2
+WHERE t.r = 1"""
+    CTES[f"{p}_ledger"] = f"""
+SELECT u.packet_id, u.form_id, u.field_id, value, source_file, source_type, page, chunk_id, source_text, coalesce(confidence, 0.0::DOUBLE) AS confidence,
+  CASE WHEN decision IS NULL THEN string_split(u.field_id, '.')[1] ELSE scope END AS scope, coalesce(decision, 'missing') AS decision, alias_used,
+  coalesce(n_alternates, 0) AS n_alternates
+FROM universe u LEFT JOIN {p}_decided d ON d.packet_id = u.packet_id AND d.form_id = u.form_id AND d.field_id = u.field_id"""
+    CTES[f"{p}_alternates"] = f"""
+SELECT packet_id, form_id, field_id, value, first.source_file AS source_file, first.page AS page, first.chunk_id AS chunk_id FROM {p}_order WHERE r > 1"""
+    CTES[f"{p}_guarded"] = f"""
+SELECT packet_id, form_id, field_id, CASE WHEN NOT gone THEN value END AS value, source_file, source_type, page, chunk_id, source_text,
+  CASE WHEN gone THEN 0.0::DOUBLE WHEN loose THEN least(confidence, CASE WHEN mixed THEN 0.5::DOUBLE ELSE 0.85::DOUBLE END) ELSE confidence END AS confidence, scope,
+  CASE WHEN gone THEN 'out_of_scope' WHEN loose AND mixed AND decision = 'usable' THEN 'weak' ELSE decision END AS decision, alias_used,
+  n_alternates + CASE WHEN gone THEN 1 ELSE 0 END AS n_alternates,
+  CASE WHEN gone THEN value END AS rejected_value, CASE WHEN gone THEN 'cross_form_contamination' END AS rejected_reason
+FROM (SELECT l.*, m.source_file IS NOT NULL AS mixed, value IS NOT NULL AND field_id <> 'customer.nation' AND scope IS NOT NULL AND scope <> form_id AS gone,
+    value IS NOT NULL AND field_id <> 'customer.nation' AND scope IS NULL AND source_type <> 'json' AS loose
+  FROM {p}_ledger l LEFT JOIN multi_sources m ON m.packet_id = l.packet_id AND m.source_file = l.source_file)"""
+
+
+ledger_ctes("own", "candidates")
+ledger_ctes("open", "open_candidates")

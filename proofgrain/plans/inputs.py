@@ -137,6 +137,7 @@ def label_documents(spark: SparkSession, sf: str) -> DataFrame:
             day(F.col("o_orderdate")),
             F.when(k % 7 == 0, "\nOrder Status: REVIEW_REQUIRED: order.status missing").otherwise(""),
             F.when(k % 11 == 0, F.concat(F.lit("\nNotes: "), F.repeat(F.lit("long text "), 20))).otherwise(""),
+            F.when(k % 9 == 0, F.concat(F.lit("\nCalibration Due: "), F.date_format("o_orderdate", "M/d/yyyy"))).otherwise(""),
         ).alias("text"),
     )
 

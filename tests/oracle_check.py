@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import os
+import signal
 import sys
 import time
 
@@ -17,6 +18,13 @@ TABLES = (
 ).split()
 
 
+LIMIT = int(os.environ.get("CHECK_LIMIT", "60"))  # seconds per query
+
+
+def _late(*_):
+    raise TimeoutError(f"no result within {LIMIT} s")
+
+
 def duck(sf_dir: str):
     import duckdb
 
@@ -83,11 +91,13 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
+    signal.signal(signal.SIGALRM, _late)
     bad = 0
     for name, query in queries.items():
         if args and not any(name.startswith(a) for a in args):
             continue
         start = time.time()
+        signal.alarm(LIMIT)
         try:
             if name in oracles:
                 count, problems = compare(query(spark, sf_dir), con, oracles[name])
@@ -95,6 +105,8 @@ def main() -> int:
                 count, problems = query(spark, sf_dir).toArrow().num_rows, []
         except Exception as error:  # report and go on with the next query
             count, problems = -1, [f"{type(error).__name__}: {str(error)[:1500]}"]
+            spark.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         bad += bool(problems)
         mark = "BAD" if problems else ("ok " if name in oracles else "run")
         print(f"{mark} {name:34s} rows={count:<8d} {time.time() - start:6.2f}s", *problems, sep="\n      " if problems else " ", flush=True)
