@@ -45,38 +45,44 @@ def pick_best(cands: DataFrame, multi: DataFrame, universe: DataFrame) -> tuple[
     Candidates of single-scope sources are preferred when the best of them is within .05 of
     the best of all.  Alternates are the other values of a field, one row each.
     """
-    flagged = cands.join(multi.withColumn("multi", F.lit(True)), ["packet_id", "source_file"], "left").withColumn("multi", F.coalesce("multi", F.lit(False)))
+    flagged = cands.join(multi.withColumn("multi", F.lit(True)), ["packet_id", "source_file"], "left")
+    alone = F.col("multi").isNull()
     where = F.struct("source_file", "chunk_id", "line_no")
     hit = F.struct("strength", "source_file", "source_type", "page", "chunk_id", "source_text", "scope_hint", "alias_used")
-    by_value = flagged.groupBy(*FIELD, "value", "multi").agg(
-        F.max("strength").alias("strength"),
-        F.min_by(hit, F.struct(-F.col("strength"), where)).alias("best"),
-        F.min(F.struct(-F.col("strength"), where)).alias("best_at"),
-        F.min_by(F.struct("source_file", "page", "chunk_id"), where).alias("first"),
-        F.min(where).alias("first_at"),
-        F.min("source_file").alias("src_a"), F.max("source_file").alias("src_b"),
-    )
-    strongest = by_value.groupBy(*FIELD).agg(
-        F.max(F.when(~F.col("multi"), F.col("strength"))).alias("single"), F.max("strength").alias("all"))
-    kept = by_value.join(strongest, FIELD).where("not multi or single is null or single < all - 0.05D")
-    values = kept.groupBy(*FIELD, "value").agg(
-        F.max("strength").alias("strength"), F.min_by("best", "best_at").alias("best"),
-        F.min_by("first", "first_at").alias("first"), F.min("first_at").alias("first_at"),
-        F.min("src_a").alias("src_a"), F.max("src_b").alias("src_b"), F.bool_and("multi").alias("multi"),
-    )
-    order = Window.partitionBy(*FIELD).orderBy(F.desc("strength"), "first_at", "value")
-    top2 = values.select(*FIELD, "value", "strength", "best", "first_at").withColumn("r", F.row_number().over(order)).where("r <= 2")
-    top = top2.groupBy(*FIELD).agg(
-        F.max(F.when(F.col("r") == 1, F.col("value"))).alias("value"),
-        F.max_by("best", F.when(F.col("r") == 1, 1)).alias("best"),
-        F.max(F.when(F.col("r") == 1, F.col("strength"))).alias("s1"),
-        F.max(F.when(F.col("r") == 2, F.col("strength"))).alias("s2"),
-    )
-    counts = values.groupBy(*FIELD).agg(
-        F.count("*").alias("n_values"), F.bool_and("multi").alias("all_multi"),
-        (F.min("src_a") == F.max("src_b")).alias("one_file"))
+    place = F.struct("source_file", "page", "chunk_id")
+
+    def facts(only: Column | None) -> Column:
+        """What is known of one value, over all its candidates or the single-scope ones."""
+        def of(col: Column) -> Column:
+            return col if only is None else F.when(only, col)
+
+        return F.struct(
+            F.max(of(F.col("strength"))).alias("strength"),
+            F.min_by(hit, of(F.struct(-F.col("strength"), where))).alias("best"),
+            F.min_by(place, of(where)).alias("first"), F.min(of(where)).alias("first_at"),
+            F.min(of(F.col("source_file"))).alias("src_a"), F.max(of(F.col("source_file"))).alias("src_b"))
+
+    values = flagged.groupBy(*FIELD, "value").agg(facts(None).alias("all"), facts(alone).alias("single"))
+
+    def summary(of: str) -> Column:
+        """The best value of a field and how the other values compare."""
+        v = F.when(F.col(f"{of}.strength").isNotNull(), F.struct(-F.col(f"{of}.strength"), F.col(f"{of}.first_at"), F.col("value")))
+        return F.struct(
+            F.min_by(F.struct("value", F.col(f"{of}.best").alias("best")), v).alias("top"),
+            F.max(f"{of}.strength").alias("strength"), F.count(v).alias("n_values"),
+            F.count_if(F.col(f"{of}.strength") > 0.55).alias("n_strong"),
+            (F.min(f"{of}.src_a") == F.max(f"{of}.src_b")).alias("one_file"))
+
+    fields = values.groupBy(*FIELD).agg(
+        summary("all").alias("all"), summary("single").alias("single"),
+        F.bool_and(F.col("single.strength").isNull()).alias("all_multi"))
+    # single-scope candidates win when their best is within .05 of the best of all
+    own = F.col("single.strength").isNotNull() & (F.col("single.strength") >= F.col("all.strength") - F.lit(0.05))
+    top = fields.withColumn("use_single", own).withColumn("f", F.when(own, F.col("single")).otherwise(F.col("all"))).select(
+        *FIELD, "use_single", "all_multi", "f.top.value", "f.top.best", F.col("f.strength").alias("s1"), "f.n_values", "f.n_strong", "f.one_file")
     conf = F.least(F.lit(0.95), F.lit(0.6) + F.lit(0.35) * F.col("best.strength"))
-    clear = (F.col("s1") >= 0.75) & (F.col("s2") <= 0.55)
+    # the runner-up is at most .55 exactly when only one value is above it
+    clear = (F.col("s1") >= 0.75) & (F.col("n_strong") == 1)
     clash = F.col("n_values") > 1
     vague = F.col("all_multi") | F.col("one_file")
     confidence = F.when(~clash | clear, conf).when(vague, 0.5).otherwise(0.55)
@@ -84,7 +90,7 @@ def pick_best(cands: DataFrame, multi: DataFrame, universe: DataFrame) -> tuple[
         F.when(~clash, F.when(conf >= 0.65, "usable").otherwise("weak")).when(clear, "usable")
         .when(vague, "weak").otherwise("conflict")
     )
-    decided = top.join(counts, FIELD).select(
+    decided = top.select(
         *FIELD, "value", "best.source_file", "best.source_type", "best.page", "best.chunk_id", "best.source_text",
         confidence.alias("confidence"), F.col("best.scope_hint").alias("scope"), decision.alias("decision"),
         "best.alias_used", (F.col("n_values") - 1).alias("n_alternates"))
@@ -96,8 +102,12 @@ def pick_best(cands: DataFrame, multi: DataFrame, universe: DataFrame) -> tuple[
         .withColumn("n_alternates", F.coalesce("n_alternates", F.lit(0)).cast("bigint"))
         .withColumn("decision", F.coalesce("decision", F.lit("missing")))
     )
-    alternates = values.join(top.select(*FIELD, F.col("value").alias("chosen")), FIELD).where("value <> chosen").select(
-        *FIELD, "value", "first.source_file", "first.page", "first.chunk_id")
+    chosen = top.select(*FIELD, "use_single", F.col("value").alias("chosen"))
+    alternates = (
+        values.join(chosen, FIELD).where("value <> chosen")
+        .withColumn("f", F.when(F.col("use_single"), F.col("single")).otherwise(F.col("all")))
+        .where("f.strength is not null").select(*FIELD, "value", "f.first.source_file", "f.first.page", "f.first.chunk_id")
+    )
     return ledger, alternates
 
 

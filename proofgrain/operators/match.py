@@ -13,20 +13,27 @@ from proofgrain.functions import text as tx
 from proofgrain.session import rule_table
 
 
-def containment_pairs(needles: DataFrame, hays: DataFrame, on: Sequence[str], needle: str, hay: str, gram: int = 3) -> DataFrame:
+GRAM = 3
+
+
+def _grams(text: Column, upto: int = GRAM) -> Column:
+    """Distinct substrings of 1 to ``upto`` characters."""
+    size = F.length(text)
+    return F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(upto)),
+        lambda g: F.when(size >= g, F.transform(F.sequence(F.lit(1), size - g + 1), lambda i: F.substr(text, i, g)))
+        .otherwise(F.array().cast("array<string>")),
+    )))
+
+
+def containment_pairs(needles: DataFrame, hays: DataFrame, on: Sequence[str], needle: str, hay: str, gram: int = GRAM) -> DataFrame:
     """Pairs where ``needle`` is a substring of ``hay``, without a nested loop.
 
     The first characters of the needle must occur in the hay, so both sides are joined on
     that gram (and ``on``) and the rest is checked on the joined rows.
     """
     n = needles.where(F.col(needle) != "").withColumn("_gram", F.substring(needle, 1, gram))
-    size = F.length(hay)
-    grams = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(gram)),
-        lambda g: F.when(size >= g, F.transform(F.sequence(F.lit(1), size - g + 1), lambda i: F.substr(hay, i, g)))
-        .otherwise(F.array().cast("array<string>")),
-    ))
-    h = hays.where(F.col(hay) != "").withColumn("_gram", F.explode(F.array_distinct(grams)))
+    h = hays.where(F.col(hay) != "").withColumn("_gram", F.explode(_grams(F.col(hay), gram)))
     return n.join(h, [*on, "_gram"]).where(F.contains(F.col(hay), F.col(needle))).drop("_gram")
 
 
@@ -47,15 +54,16 @@ class ContextRule:
 
 
 def field_keys(fields: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """(form_id, field_id, label, key): every spelling under which a field is known.
+    """(form_id, field_id, key): every spelling under which a field is known.
 
     ``extra`` adds (form_id, field_id, key) rows: structured keys and approved aliases.
     """
+    live = fields.where("not never_write")
     spellings = F.array("field_id", F.lower("label"), F.replace("field_id", F.lit("."), F.lit("_")), F.replace("field_id", F.lit("."), F.lit(" ")))
-    own = fields.where("not never_write").select("form_id", "field_id", F.explode(spellings).alias("key"))
+    own = live.select("form_id", "field_id", F.explode(spellings).alias("key"))
     if extra is not None:
-        own = own.unionByName(extra.select("form_id", "field_id", "key"))
-    return own.where("key <> ''").distinct().join(fields.where("not never_write").select("form_id", "field_id", "label"), ["form_id", "field_id"])
+        own = own.unionByName(extra.join(live.select("form_id", "field_id"), ["form_id", "field_id"], "left_semi").select("form_id", "field_id", "key"))
+    return own.where("key <> ''").distinct()
 
 
 def _context(field: Column, text: Column, rule: ContextRule) -> Column:
@@ -68,29 +76,37 @@ def match_labels(labels: DataFrame, keys: DataFrame, rule: ContextRule = Context
 
     Works on distinct labels, which are few however many pairs there are.
     """
-    lab = labels.select("form_id", "label").distinct().withColumn("l_norm", tx.compact_key(F.col("label")))
-    key = keys.select("form_id", "field_id", F.col("key"), F.lower("key").alias("k_low")).withColumn("k_norm", tx.compact_key(F.col("key")))
+    # One equi-join finds every pair that can match: equal spellings without a dropped token,
+    # or the head of one side among the grams of the other.  The joined rows decide.
+    def entry(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+
+    def when(cond: Column, values: Column) -> Column:
+        return F.when(cond, values).otherwise(F.array().cast("array<string>"))
 
-    def spellings(norm: str, raw: str) -> Column:
-        forms = [F.struct(F.lit("norm").alias("kind"), F.when(F.col(norm) != "", F.col(norm)).alias("v")),
-                 F.struct(F.lit("raw").alias("kind"), F.when(F.col(norm) == "", F.col(raw)).alias("v"))]
+    def short(col: Column) -> list[Column]:
+        out = []
         for token in rule.dropped_tokens:
-            short = F.replace(F.col(norm), F.lit(token), F.lit(""))
-            forms.append(F.struct(F.lit(token).alias("kind"), F.when(F.length(short) > 4, short).alias("v")))
-        return F.filter(F.array(*forms), lambda s: s["v"].isNotNull())
-
-    left = lab.select("*", F.inline(spellings("l_norm", "label")))
-    right = key.select("*", F.inline(spellings("k_norm", "k_low")))
-    out = ["form_id", "label", "l_norm", "field_id", "key", "k_norm"]
-    exact = left.join(right, ["form_id", "kind", "v"]).select(*out, F.lit(1.0).alias("strength"))
-    inside = containment_pairs(key, lab, ["form_id"], "k_norm", "l_norm").select(*out, F.lit(0.72).alias("strength"))
-    around = containment_pairs(lab, key, ["form_id"], "l_norm", "k_norm").select(*out, F.lit(0.72).alias("strength"))
-    # spellings without any letter or digit can only meet as raw text
-    raw_in = containment_pairs(key.where("k_norm = ''"), lab, ["form_id"], "k_low", "label").select(*out, F.lit(0.7).alias("strength"))
-    raw_out = containment_pairs(lab.where("l_norm = ''"), key, ["form_id"], "label", "k_low").select(*out, F.lit(0.7).alias("strength"))
-    found = exact.unionByName(inside).unionByName(around).unionByName(raw_in).unionByName(raw_out)
+            cut = F.replace(col, F.lit(token), F.lit(""))
+            out.append(entry(token, when(F.length(cut) > 4, F.array(cut))))
+        return out
+
+    def head(col: Column) -> Column:
+        return F.array(F.substring(col, 1, GRAM))
+
+    l_norm, k_norm, raw, k_low = F.col("l_norm"), F.col("k_norm"), F.col("label"), F.col("k_low")
+    lab = labels.select("form_id", "label").distinct().withColumn("l_norm", tx.compact_key(raw)).withColumn("e", F.explode(F.concat(
+        entry("in", _grams(l_norm)), entry("around", when(l_norm != "", head(l_norm))),
+        entry("raw_in", _grams(raw)), entry("raw_around", when(l_norm == "", head(raw))), *short(l_norm))))
+    key = keys.select("form_id", "field_id", "key", F.lower("key").alias("k_low"), tx.compact_key(F.col("key")).alias("k_norm")).withColumn("e", F.explode(F.concat(
+        entry("in", when(k_norm != "", head(k_norm))), entry("around", _grams(k_norm)),
+        entry("raw_in", when(k_norm == "", head(k_low))), entry("raw_around", _grams(k_low)), *short(k_norm))))
+    same = (raw == k_low) | ((l_norm != "") & (l_norm == k_norm)) | F.col("e.kind").isin(*rule.dropped_tokens)
+    inside = (l_norm != "") & (k_norm != "") & (F.contains(l_norm, k_norm) | F.contains(k_norm, l_norm))
+    strength = F.when(same, 1.0).when(inside, 0.72).when(F.contains(raw, k_low) | F.contains(k_low, raw), 0.7)
+    found = lab.join(key, ["form_id", "e"]).withColumn("strength", strength).where("strength is not null")
     special = F.col("field_id").rlike("^(?:" + "|".join(p.replace(".", r"\.") for p in rule.prefixes) + ")")
-    needs = special & (F.col("l_norm").isin(*rule.generic_labels) | F.col("k_norm").isin(*rule.generic_keys))
+    needs = special & (l_norm.isin(*rule.generic_labels) | k_norm.isin(*rule.generic_keys))
     hit, order = F.struct("strength", "key"), F.struct(-F.col("strength"), "key")
     return (
         found.withColumn("needs", needs).withColumn("special", special)
