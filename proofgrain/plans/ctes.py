@@ -23,7 +23,7 @@ def with_ctes(sql: str) -> str:
 
     visit(sql)
     # a CTE may only use CTEs defined before it, so definition order is a valid order
-    parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
+    parts = [f"{name} AS {'MATERIALIZED ' if name.startswith('gate_') else ''}({CTES[name]})" for name in CTES if name in needed]
     if not parts:
         return sql
     own = sql.strip()
