@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from proofgrain.plans import decision_queries, evidence_queries, retrieve_queries, source_queries, text_queries
+from proofgrain.plans import compare_queries, decision_queries, evidence_queries, quality_queries, retrieve_queries, source_queries, text_queries
 
-_MODULES = (source_queries, text_queries, retrieve_queries, evidence_queries, decision_queries)
+_MODULES = (source_queries, text_queries, retrieve_queries, evidence_queries, decision_queries, compare_queries, quality_queries)
 
 
 def queries() -> dict:
