@@ -92,8 +92,9 @@ def clean_cell(col: Column, with_nfc: bool = False) -> Column:
 
 
 # ------------------------------------------------------------------ keys
-def label_key(col: Column, stopwords=rules.LABEL_STOPWORDS) -> Column:
-    out = F.lower(clean_cell(col))
+def label_key(col: Column, stopwords=rules.LABEL_STOPWORDS, clean: bool = False) -> Column:
+    """Lower-case words without parentheses and stop words; ``clean``: the text is cleaned."""
+    out = F.lower(col if clean else clean_cell(col))
     out = F.replace(F.replace(out, F.lit("/"), F.lit(" ")), F.lit("&"), F.lit(" and "))
     out = F.regexp_replace(out, r"\([^)]*\)", " ")
     words = F.split(F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " ")), " ")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrain.functions import rules, text
+from proofgrain.session import compute_once
 
 
 def clean_ocr(df: DataFrame, col: str, ocr_rules=rules.OCR_RULES) -> DataFrame:
@@ -19,10 +20,10 @@ def normalize_text(df: DataFrame, col: str, keep_lines: bool = True) -> DataFram
     stages: list[tuple[str, str, Column, Column]] = []
     out = df.withColumn("_0", F.coalesce(F.col(col), F.lit("")))
     for i, (code, pattern) in enumerate(rules.TEXT_SAFETY_RULES):
-        out = out.withColumn(f"_{i + 1}", F.regexp_replace(f"_{i}", pattern, ""))
+        out = compute_once(out, f"_{i + 1}", F.regexp_replace(f"_{i}", pattern, ""))
         stages.append((code, f"Removed {code} characters", F.col(f"_{i}"), F.col(f"_{i + 1}")))
     last = f"_{len(rules.TEXT_SAFETY_RULES)}"
-    out = out.withColumn("_tidy", text.tidy_spaces(F.col(last), keep_lines)).withColumn("text_norm", text.nfc(F.col("_tidy")))
+    out = compute_once(out, "_tidy", text.tidy_spaces(F.col(last), keep_lines)).withColumn("text_norm", text.nfc(F.col("_tidy")))
     ends = F.regexp_replace(F.col(last), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
     def note(code: str, detail: str, changed: Column, before: Column, after: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofgrain.functions import rules
 from proofgrain.functions import text as tx
-from proofgrain.operators.match import containment_pairs
+from proofgrain.session import compute_once
 
 FORM = ["packet_id", "form_id"]
 
@@ -215,7 +215,7 @@ def compare_fingerprints(actual: DataFrame, expected: DataFrame, keys: Sequence[
 
 def cell_issues(cells: DataFrame, id_tokens: str = r"(?i)\bU\d{6,}\b", search_rows: int = 4) -> DataFrame:
     """(doc, tbl, row, col, code): cells whose text seems to span several columns."""
-    c = cells.withColumn("text", tx.clean_cell(F.col("text")))
+    c = compute_once(cells, "text", tx.clean_cell(F.col("text")))
     heads = c.where((F.col("row") < search_rows) & (F.col("text") != "")).groupBy("doc", "tbl", "col").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("row", "text")))["text"], " | ").alias("header"))
     joined = F.lower(F.concat_ws(" ", F.collect_list("text")))

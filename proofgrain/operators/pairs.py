@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofgrain.functions import rules
 from proofgrain.functions import text as tx
+from proofgrain.session import compute_once
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
 
@@ -21,36 +22,37 @@ def label_pairs(docs: DataFrame, keys: Sequence[str] = ("doc_id",), max_value: i
     per key in first-seen order; a carried line is appended to the key's last value.
     """
     keys = list(keys)
-    lines = F.filter(F.transform(F.split("text", LINE_BREAK), lambda s: tx.clean_cell(s)), lambda s: s != "")
-    label = F.regexp_replace(F.regexp_extract("line", r"^([^:]*):", 1), r"^table_[0-9]+_row_[0-9]+\s*", "")
-    rows = (
-        docs.select(*keys, lines.alias("lines"))
-        .select(*keys, F.posexplode(F.transform("lines", lambda s, i: F.struct(
-            s.alias("line"), F.when(i > 0, F.get("lines", i - 1)).alias("before")))).alias("i", "e"))
-        .select(*keys, "i", "e.line", "e.before")
-    )
-
-    def parsed(col: str) -> tuple[Column, Column]:
-        c = F.col(col)
-        raw = F.regexp_replace(F.trim(F.regexp_extract(c, r"^([^:]*):", 1)), r"^table_[0-9]+_row_[0-9]+\s*", "")
-        return tx.label_key(raw), tx.clean_cell(F.regexp_extract(c, r"(?s)^[^:]*:(.*)$", 1))
-
-    key, value = parsed("line")
-    before_key, before_value = parsed("before")
-    has_colon = F.col("line").contains(":")
-    waits = F.col("before").contains(":") & (before_value == "") & (before_key != "")
-    events = rows.select(
-        *keys, "i",
-        F.when(has_colon, key).when(waits, before_key).alias("key"),
-        F.when(has_colon, value).otherwise(F.col("line")).alias("value"),
-        (~has_colon).alias("carry"),
-    ).where("key <> '' and value <> ''").where(
-        F.col("carry") | (~F.col("value").startswith(rules.REVIEW_MARKER) & (F.length("value") <= max_value)))
+    def trimmed(c: Column) -> Column:
+        return F.regexp_replace(c, r"^[ |\s]+|[ |\s]+$", "")
+
+    # the text is cleaned as a whole; a line then only loses its ends
+    whole = tx.safe_text(F.regexp_replace("text", LINE_BREAK, "\n"), with_nfc=False)
+    lines = F.filter(F.transform(F.split(whole, "\n"), trimmed), lambda s: s != "")
+
+    def parsed(line: Column) -> Column:
+        label = F.regexp_replace(F.regexp_extract(line, "^([^:]*):", 1), r"^table_[0-9]+_row_[0-9]+\s*", "")
+        return F.struct(
+            line.alias("line"), F.contains(line, F.lit(":")).alias("colon"), tx.label_key(label, clean=True).alias("key"),
+            trimmed(F.regexp_extract(line, "(?s)^[^:]*:(.*)$", 1)).alias("value"))
+
+    def event(p: Column, i: Column) -> Column:
+        before = F.get(F.col("lines"), i - 1)
+        waits = (i > 0) & before["colon"] & (before["value"] == "")
+        return F.struct(
+            i.alias("i"), F.when(p["colon"], p["key"]).when(waits, before["key"]).alias("key"),
+            F.when(p["colon"], p["value"]).otherwise(p["line"]).alias("value"), (~p["colon"]).alias("carry"))
+
+    def counts(e: Column) -> Column:
+        usable = ~F.startswith(e["value"], F.lit(rules.REVIEW_MARKER)) & (F.length(e["value"]) <= max_value)
+        return (e["key"] != "") & (e["value"] != "") & (e["carry"] | usable)
+
+    rows = compute_once(docs.select(*keys, "text"), "lines", F.transform(lines, parsed))
+    events = rows.select(*keys, F.inline(F.filter(F.transform("lines", event), counts)))
     # the fold below runs over one key of one document
     ordered = events.groupBy(*keys, "key").agg(F.array_sort(F.collect_list(F.struct("i", "carry", "value"))).alias("events"))
 
     def step(acc: Column, e: Column) -> Column:
-        joined = tx.clean_cell(F.concat_ws(" ", F.element_at(acc, -1), e["value"]))
+        joined = F.concat_ws(" ", F.element_at(acc, -1), e["value"])
         return (
             F.when(e["carry"] & (F.size(acc) > 0), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined)))
             .when(F.array_contains(acc, e["value"]), acc)
@@ -92,7 +94,7 @@ def _row_classes(cells: DataFrame) -> DataFrame:
 
     A cell counts once per column it spans."""
     row = Window.partitionBy("doc", "tbl", "row")
-    c = cells.withColumn("text", tx.clean_cell(F.col("text")))
+    c = compute_once(cells, "text", tx.clean_cell(F.col("text")))
     c = c.withColumn("is_label", tx.looks_like_label(F.col("text"))).withColumn("is_value", tx.looks_like_value(F.col("text")))
 
     def width(cond: Column) -> Column:

@@ -242,7 +242,7 @@ ORACLES["evd12_fuzzy_labels"] = with_ctes("SELECT * FROM fuzzy_labels")
 # ------------------------------------------------------------------ scopes and ledger
 NAME_RULES = (("ONE", "src1"), ("TWO", "src.*2$"), ("ONE_TWO", "src12"))
 EXACT_RULES = (("MAIL", "@mail3"), ("PHONE", r"[+]1 [(]"))
-LOOSE_RULES = (("GERMAN", "(?i)heit|keit"), ("SPANISH", "(?i)ción"), ("FRENCH", "(?i)ement"))
+LOOSE_RULES = (("GERMAN", "(?iu)heit|keit"), ("SPANISH", "(?iu)ción"), ("FRENCH", "(?iu)ement"))
 
 
 def scoped(spark, sf):

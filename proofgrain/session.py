@@ -6,7 +6,7 @@ import os
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -33,15 +33,38 @@ def build_session(app: str = "proofgrain", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-_SCHEMAS: dict[str, StructType] = {}
+_KNOWN: dict[str, tuple[StructType, int]] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table; its footer is read for the schema once, not at every mention."""
+    """A parquet table.
+
+    Its footer is read for the schema once, not at every mention.  A table that comes in
+    fewer splits than there are cores is spread over the cores first; a large table has
+    splits enough and is read as it is.
+    """
     path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if path not in _KNOWN:
+        df = spark.read.parquet(path)
+        rows_wide = name in TEXT_TABLES and df.rdd.getNumPartitions() < cores
+        _KNOWN[path] = (df.schema, cores if rows_wide else 0)
+    schema, parts = _KNOWN[path]
+    df = spark.read.schema(schema).parquet(path)
+    return df.repartition(parts) if parts else df
+
+
+# tables whose rows are costly to process one by one
+TEXT_TABLES = ("documents", "orders", "part", "pages")
+
+
+def compute_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Adds or replaces a column that later steps use many times.
+
+    A generated column is not copied into the filters and expressions that refer to it, so
+    a costly text expression runs once per row.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(expr)).alias(name))
 
 
 def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
