@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofgrain.functions import rules
 from proofgrain.functions import text as tx
+from proofgrain.functions.ranking import number_repeats
 from proofgrain.session import compute_once
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
@@ -147,10 +148,10 @@ def left_label_pairs(cells: DataFrame) -> DataFrame:
         "label", F.last(F.when(F.col("text") != "", F.col("text")), ignorenulls=True).over(row))
     open_cell = (F.col("text") == "") | F.lower("text").isin(*PLACEHOLDERS)
     found = c.where(open_cell & F.col("label").isNotNull() & ~tx.looks_like_section(F.col("label"))).withColumn("base", field_slug(F.col("label")))
-    n = F.row_number().over(Window.partitionBy("doc", "base").orderBy("tbl", "row", "col"))
-    return found.withColumn("n", n).select(
+    repeats = number_repeats(found.select("doc", "base", "tbl", "row", "col"), ["doc", "base"], ["tbl", "row", "col"])
+    return found.join(repeats, ["doc", "base", "tbl", "row", "col"], "left").select(
         "doc", "tbl", "row", "col", "label",
-        F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))).alias("field_id"))
+        F.when(F.coalesce("n", F.lit(1)) == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))).alias("field_id"))
 
 
 # ------------------------------------------------------------------ rules

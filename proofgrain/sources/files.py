@@ -10,9 +10,9 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from proofgrain.functions import rules
+from proofgrain.functions.ranking import number_repeats
 
 
 def _stem_in(stem: Column, names: Sequence[str]) -> Column:
@@ -114,9 +114,8 @@ def expand_archives(
     rows = files.select("packet", "name", "path", "content").mapInPandas(
         unpack, "packet string, name string, path string, member int, content binary"
     )
-    # number clashing names without moving the contents: only the keys are sorted
-    order = Window.partitionBy("packet", "name").orderBy("path", "member")
-    numbered = rows.select("packet", "name", "path", "member").withColumn("n", F.row_number().over(order))
+    # number clashing names without moving the contents: only their keys are sorted
+    numbered = number_repeats(rows.select("packet", "name", "path", "member"), ["packet", "name"], ["path", "member"])
     fresh = F.when(F.col("n") == 1, F.col("name")).otherwise(
         F.concat(
             F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("_"), F.col("n").cast("string"),

@@ -206,3 +206,18 @@ def test_strict_gate_fallbacks(spark):
     got = {r.req_id: (r.resolved, r.action, r.valid) for r in answers.validate_answers_strict(d).collect()}
     none = "Not verified in provided source documents."
     assert got == {1: ("ok", "accepted", True), 2: ("", "blanked", False), 3: ("0 mm", "modified_by_fallback", False), 4: (none, "modified_by_fallback", False), 5: (none, "modified_by_fallback", False)}
+
+
+# ------------------------------------------------------------------ numbering
+@pytest.mark.parametrize("split", [1000, 5])
+def test_numbering_is_complete_in_small_and_split_groups(spark, split):
+    from proofgrain.functions.ranking import number_repeats
+
+    df = spark.createDataFrame([("hot", i) for i in range(300)] + [("two", 2), ("two", 1), ("single", 1)], "g string, o int")
+    got = {}
+    for r in number_repeats(df, ["g"], ["o"], split_above=split).collect():
+        got.setdefault(r.g, {})[r.o] = r.n
+    assert sorted(got) == ["hot", "two"]
+    assert sorted(got["hot"].values()) == list(range(1, 301)) and got["two"] == {1: 1, 2: 2}
+    if split == 1000:
+        assert got["hot"] == {i: i + 1 for i in range(300)}
