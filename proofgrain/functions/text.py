@@ -81,9 +81,15 @@ def tidy_spaces(col: Column, keep_lines: bool = True) -> Column:
 
 
 def safe_text(col: Column, keep_lines: bool = True, with_nfc: bool = True) -> Column:
-    """Text without hidden characters, with tidy spaces, in NFC."""
+    """Text without hidden characters, with tidy spaces, in NFC.
+
+    One line of printable ASCII with single blanks, as most table cells are, stays as it is.
+    """
+    plain = (
+        col.rlike("^[ -~]*$") & ~F.contains(col, F.lit("  ")) & ~F.contains(col, F.lit("???")) & (F.trim(col) == col)
+    )
     out = tidy_spaces(strip_hidden(col), keep_lines)
-    return nfc(out) if with_nfc else out
+    return F.when(plain, col).otherwise(nfc(out) if with_nfc else out)
 
 
 def clean_cell(col: Column, with_nfc: bool = False) -> Column:
