@@ -254,9 +254,9 @@ def streamed(spark, sf):
     """Two waves of files, one per source; the second wave changes some of them."""
     inbox, log, state = scratch(spark, "inbox"), scratch(spark, "index"), scratch(spark, "stream")
     docs = table(spark, sf, "documents")
-    docs.where("doc_id % 2 = 0").select("source", "text").write.partitionBy("source").text(f"{inbox}/w1")
+    docs.where("doc_id % 2 = 0").select("source", "text").repartition("source").write.partitionBy("source").text(f"{inbox}/w1")
     index.stream_index(spark, inbox, log, state, "*.txt").awaitTermination()
-    docs.where("doc_id % 2 = 1").select("source", "text").write.partitionBy("source").text(f"{inbox}/w2")
+    docs.where("doc_id % 2 = 1").select("source", "text").repartition("source").write.partitionBy("source").text(f"{inbox}/w2")
     index.stream_index(spark, inbox, log, state, "*.txt").awaitTermination()
     changes = spark.read.parquet(log)
     return changes.groupBy("batch_id", "change").agg((F.count("*") > 0).alias("any"), F.count_distinct("hash").alias("contents"))
