@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrain.llm import huffman, packing
+from proofgrain.llm import decontam, huffman, packing, secrets
 from proofgrain.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,5 +19,13 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_huffman_ids)}
-ORACLES: dict[str, str] = {}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_huffman_ids, op9_secret_scan, op10_decontamination)}
+ORACLES = {"op10_decontamination": decontam.SQL}
