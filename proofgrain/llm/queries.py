@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrain.llm import decontam, huffman, packing, secrets
+from proofgrain.llm import decontam, huffman, packing, secrets, topk, warc
 from proofgrain.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,14 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -27,5 +35,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_huffman_ids, op9_secret_scan, op10_decontamination)}
-ORACLES = {"op10_decontamination": decontam.SQL}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_huffman_ids, op7_warc, op8_exact_search, op9_secret_scan, op10_decontamination)}
+ORACLES = {"op7_warc": warc.SQL, "op8_exact_search": topk.SQL, "op10_decontamination": decontam.SQL}
