@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrain.llm import decontam, huffman, neardup, packing, secrets, suffixes, topk, warc
+from proofgrain.llm import classlm, cotrain, decontam, huffman, neardup, packing, secrets, suffixes, topk, warc
 from proofgrain.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -23,6 +27,10 @@ def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_huffman_ids, op4_repeated_bytes, op6_near_duplicates, op7_warc, op8_exact_search, op9_secret_scan, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_cotraining, op2_packing, op3_huffman_ids, op4_repeated_bytes, op5_class_ngrams, op6_near_duplicates, op7_warc, op8_exact_search, op9_secret_scan, op10_decontamination)}
 ORACLES = {"op6_near_duplicates": neardup.SQL, "op7_warc": warc.SQL, "op8_exact_search": topk.SQL, "op10_decontamination": decontam.SQL}
