@@ -59,6 +59,14 @@ def kept(name: str, build: Callable[[], Any]) -> Any:
     return getattr(store, name)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a like one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(*columns: str) -> Column:
     """A never-null 16-byte key of a row's content.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrain.llm.common import batch, kept, row_key, staged, utf8
+from proofgrain.llm.common import batch, kept, row_key, staged, unused, utf8
 
 LABELLED, HANDED, ROUNDS = 12_000, 3_000, 2
 CERTAIN = 0.99
@@ -253,5 +253,6 @@ def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     rows = staged(features(docs), "features")
-    bad = scored(rows, fitted(rows, labels, **bounds)).where("bad >= 0.5").select(F.col("key").alias("_key"))
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(bad, "_key", "left_anti").select(*docs.columns)
+    key = unused(docs, "row_key")
+    bad = scored(rows, fitted(rows, labels, **bounds)).where("bad >= 0.5").select(F.col("key").alias(key))
+    return docs.withColumn(key, row_key("doc_id", "text")).join(bad, key, "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrain.llm.common import row_key, staged
+from proofgrain.llm.common import row_key, staged, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -128,9 +128,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    found = hits(docs, benchmark, width).select(F.col("key").alias("_key"), F.col("n_hit").alias("_n_hit"))
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    tested = keyed.join(found, "_key", "left").where(F.col("_n_hit").isNull() | (F.col("_n_hit") * share < F.size(words(F.col("text")))))
+    key, n_hit = unused(docs, "row_key"), unused(docs, "n_hit")
+    found = hits(docs, benchmark, width).select(F.col("key").alias(key), F.col("n_hit").alias(n_hit))
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    tested = keyed.join(found, key, "left").where(F.col(n_hit).isNull() | (F.col(n_hit) * share < F.size(words(F.col("text")))))
     return tested.select(*docs.columns)
 
 

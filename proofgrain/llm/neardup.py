@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrain.llm.common import batch, kept, row_key, slices, staged, utf8
+from proofgrain.llm.common import batch, kept, row_key, slices, staged, unused, utf8
 
 WORDS, BANDS, ROWS = 5, 24, 5
 SIMILAR = 85  # percent
@@ -269,9 +269,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = groups(docs)
     alone = found.where("root IS NULL").select("key")
     chosen = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select("x.key")
-    stay = staged(alone.unionByName(chosen).distinct().withColumnRenamed("key", "_key"), "stay")
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    return keyed.join(stay, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    key = unused(docs, "row_key")
+    stay = staged(alone.unionByName(chosen).distinct().withColumnRenamed("key", key), "stay")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    return keyed.join(stay, key).dropDuplicates([key]).select(*docs.columns)
 
 
 

@@ -21,6 +21,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofgrain.llm.common import unused
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
@@ -88,7 +90,7 @@ def entropy_runs(value: Column, width: int, hex_bits: float, mixed_bits: float)
 
 
 def scan(docs: DataFrame, width: int = 20, hex_bits: float = 2.9, mixed_bits: float = 3.6, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """All columns of ``docs``, and ``_spans``: array of struct(start, rank of the kind, end)."""
+    """All columns of ``docs``, and last the spans: array of struct(start, rank of the kind, end)."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_kind(rank: int, found: Column, keep) -> Column:
@@ -108,7 +110,7 @@ def scan(docs: DataFrame, width: int = 20, hex_bits: float = 2.9, mixed_bits: fl
         of_kind(1, matches(text, "AKIA[A-Z0-9]{16,}"), lambda m: F.lit(True)),
         of_kind(2, matches(text, "[0-9a-f]{24,}"), lambda m: F.lit(True)),
         F.flatten(F.transform(F.filter(matches(text, CANDIDATE % width), suspect), hot)))
-    return docs.select("*", F.array_sort(spans).alias("_spans"))
+    return docs.select("*", F.array_sort(spans).alias(unused(docs, "spans")))
 
 
 def digest(spans: Column) -> Column:
@@ -121,18 +123,18 @@ def report(docs: DataFrame, **settings) -> DataFrame:
     found = scan(docs.select("doc_id", "text"), **settings)
 
     def count(rank: int) -> Column:
-        return F.size(F.filter("_spans", lambda s: s["rank"] == rank)).cast("bigint").alias(f"n_{KINDS[rank]}")
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("bigint").alias(f"n_{KINDS[rank]}")
 
-    return found.select("doc_id", count(0), count(1), count(2), F.sha2(digest(F.filter("_spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), digest(F.col("_spans")).alias("spans"))
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(digest(F.filter("spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", **settings) -> DataFrame:
     """The documents with every span, overlapping ones as one, replaced in the text."""
     found = scan(docs, **settings)
-    text = F.col("text")
+    spans, text = found.columns[-1], F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("_spans", start, lambda s, x: F.struct(
+    cut = F.aggregate(spans, start, lambda s, x: F.struct(
         F.greatest(s["at"], x["end"]).alias("at"),
         F.when((x["start"] < s["at"]) & (s["at"] > 0), s["out"]).otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).alias("out")))
-    clean = F.when(F.size("_spans") == 0, text).otherwise(let(cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+    clean = F.when(F.size(spans) == 0, text).otherwise(let(cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
     return found.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
