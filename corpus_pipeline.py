@@ -1,24 +1,52 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Every stage works on all documents that the one before kept, and all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from proofgrain.llm import packing
+from proofgrain.llm import cotrain, decontam, neardup, packing, secrets
 from proofgrain.llm.common import staged, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained views call low in quality or toxic go."""
+    return cotrain.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies, the one of the smallest doc_id stays."""
+    return neardup.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth of their words or more in benchmark windows go."""
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are replaced, and n_chars follows."""
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are left, packed into sequences."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", reject_bad), ("near duplicates", one_of_each_group), ("benchmark decontamination", drop_contaminated),
+    ("secret scan", redact_secrets), ("packing", pack)]
 
-#: Tokenization and iterative clustering cannot be said in SQL; tests hold the rows against brute force.
+#: Fitted views, tokenization and packing cannot be said in SQL; tests hold the rows against
+#: brute force.
 ORACLE_SQL = None
 
 
