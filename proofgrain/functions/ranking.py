@@ -7,23 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLIT_ABOVE = 1_000_000
+from proofgrain.session import cut_lineage
 
 
-def number_repeats(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "n", split_above: int = SPLIT_ABOVE) -> DataFrame:
+def number_repeats(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
     """The rows of groups with two or more members, numbered from 1 in ``order``.
 
-    Single rows are left out before anything is sorted.  A group above ``split_above`` is
-    cut into 256 hash buckets that are numbered apart and then shifted by the sizes of the
-    buckets before them, so one hot group never has to fit one task; inside such a group
-    the order is (bucket, order).
+    Single rows are left out before anything is sorted.  The rest is dealt in ranges of
+    (group, order), so a group of any size spreads over as many tasks as it needs.  Each slice
+    of a group is numbered by itself and then shifted by the sizes of the slices before it.
+    Both the given and the dealt rows are written: the first may be costly to make, and the
+    slices of the second must not change if a task runs again.
     """
     group, order = list(group), list(order)
-    size = df.groupBy(*group).agg(F.count("*").alias("_size")).where("_size > 1")
-    digest = F.substring(F.md5(F.concat_ws("\x00", *[F.col(c).cast("string") for c in order])), 1, 2)
-    rows = df.join(size, group).withColumn("_bucket", F.when(F.col("_size") > split_above, digest).otherwise(""))
-    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    numbered = rows.withColumn("_in", inside).join(shift.drop("_n"), [*group, "_bucket"])
-    return numbered.withColumn(name, F.col("_in") + F.col("_shift")).drop("_in", "_shift", "_bucket", "_size")
+    df = cut_lineage(df)
+    several = df.groupBy(*group).agg(F.count("*").alias("_size")).where("_size > 1").drop("_size")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.join(several, group).repartitionByRange(parts, *group, *order).withColumn("_slice", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shift = dealt.groupBy(*group, "_slice").agg(F.count("*").alias("_n")).select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    numbered = dealt.withColumn("_in", inside).join(shift, [*group, "_slice"])
+    return numbered.withColumn(name, F.col("_in") + F.col("_shift")).drop("_in", "_shift", "_slice")

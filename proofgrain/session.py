@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-# A rule table larger than this is data, not rules: it is joined without a hint so that
-# Spark decides from its measured size.
-RULE_ROWS_MAX = 5_000
-
 
 def build_session(app: str = "proofgrain", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on (adaptive plans, UTC)."""
@@ -33,29 +27,9 @@ def build_session(app: str = "proofgrain", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-_KNOWN: dict[str, tuple[StructType, int]] = {}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table.
-
-    Its footer is read for the schema once, not at every mention.  A table that comes in
-    fewer splits than there are cores is spread over the cores first; a large table has
-    splits enough and is read as it is.
-    """
-    path = f"{folder}/{name}.parquet"
-    cores = spark.sparkContext.defaultParallelism
-    if path not in _KNOWN:
-        df = spark.read.parquet(path)
-        rows_wide = name in TEXT_TABLES and df.rdd.getNumPartitions() < cores
-        _KNOWN[path] = (df.schema, cores if rows_wide else 0)
-    schema, parts = _KNOWN[path]
-    df = spark.read.schema(schema).parquet(path)
-    return df.repartition(parts) if parts else df
-
-
-# tables whose rows are costly to process one by one
-TEXT_TABLES = ("documents", "orders", "part", "pages")
+    """A parquet table, as its files are now."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def compute_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
@@ -68,22 +42,32 @@ def compute_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
 
 
 def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A rule table from plain Python rows, broadcast only while it is provably small."""
-    df = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(df) if len(rows) <= RULE_ROWS_MAX else df
+    """A table from plain Python rows.  Spark joins it as its measured size suggests."""
+    return spark.createDataFrame(list(rows), schema)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (as in tests) gets a temporary folder; any other
+    session is an error, since each executor would write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return os.path.join(tempfile.gettempdir(), "proofgrain-checkpoints")
+    if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-proofgrain-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage, so later stages survive lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder and read back, so later stages survive lost
+    executors.  The files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
