@@ -251,17 +251,41 @@ UNION ALL SELECT CASE c_custkey % 4 WHEN 0 THEN w || w WHEN 1 THEN 'Mc' || w ELS
 
 
 def streamed(spark, sf):
-    """Two waves of files, one per source; the second wave changes some of them."""
-    inbox, log, state = scratch(spark, "inbox"), scratch(spark, "index"), scratch(spark, "stream")
-    docs = table(spark, sf, "documents")
-    docs.where("doc_id % 2 = 0").select("source", "text").repartition("source").write.partitionBy("source").text(f"{inbox}/w1")
+    """A file per source; then one is rewritten, one is deleted, and one of an old date comes."""
+    inbox, log, state, made = (scratch(spark, x) for x in ("inbox", "index", "stream", "made"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fs = jvm.Path(inbox).getFileSystem(conf)
+
+    def put(rows, wave, folder):
+        rows.select("source", "text").repartition("source").write.partitionBy("source").text(f"{made}/{wave}")
+        fs.mkdirs(jvm.Path(f"{inbox}/{folder}"))
+        for of_source in fs.listStatus(jvm.Path(f"{made}/{wave}")):
+            if of_source.isDirectory():
+                target = jvm.Path(f"{inbox}/{folder}/{of_source.getPath().getName().partition('=')[2]}.txt")
+                fs.delete(target, False)
+                fs.rename(next(f.getPath() for f in fs.listStatus(of_source.getPath()) if f.getPath().getName().startswith("part-")), target)
+
+    put(docs.where("doc_id % 3 = 0"), "first", "main")
     index.stream_index(spark, inbox, log, state, "*.txt").awaitTermination()
-    docs.where("doc_id % 2 = 1").select("source", "text").repartition("source").write.partitionBy("source").text(f"{inbox}/w2")
+    put(docs.where("doc_id % 3 = 1 and source = 'src2'"), "second", "main")
+    put(docs.where("doc_id % 3 = 1 and source = 'src3'"), "third", "late")
+    fs.setTimes(jvm.Path(f"{inbox}/late/src3.txt"), 1_000_000_000_000, -1)
+    fs.delete(jvm.Path(f"{inbox}/main/src1.txt"), False)
     index.stream_index(spark, inbox, log, state, "*.txt").awaitTermination()
-    changes = spark.read.parquet(log)
-    return changes.groupBy("batch_id", "change").agg((F.count("*") > 0).alias("any"), F.count_distinct("hash").alias("contents"))
+    index.refresh_index(spark, inbox, log, 1, "*.txt")  # the batch once more
+    index.refresh_index(spark, inbox, log, 2, "*.txt")  # nothing has changed since
+    changes = spark.read.parquet(log).groupBy(F.col("batch_id").cast("int").alias("batch_id"), "change").agg(F.count("*").alias("files"))
+    return changes.unionByName(index.current_index(spark, log).agg(F.lit(-1).alias("batch_id"), F.lit("current").alias("change"), F.count("*").alias("files")))
 
 
 QUERIES["str1_stream_index"] = streamed
 ORACLES["str1_stream_index"] = """
-SELECT CAST(b AS INTEGER) AS batch_id, 'new' AS change, true AS "any", count(DISTINCT source) AS contents FROM documents, (VALUES (0), (1)) v(b) WHERE doc_id % 2 = b GROUP BY b"""
+WITH first AS (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 0), second AS (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 1),
+n AS (
+  SELECT 0 AS batch_id, 'new' AS change, count(*) AS files FROM first
+  UNION ALL SELECT 1, 'changed', count(*) FROM first JOIN second USING (source) WHERE source = 'src2'
+  UNION ALL SELECT 1, 'new', count(*) FROM second WHERE source = 'src3'
+  UNION ALL SELECT 1, 'deleted', count(*) FROM first WHERE source = 'src1')
+SELECT * FROM n WHERE files > 0
+UNION ALL SELECT -1, 'current', CAST(sum(CASE change WHEN 'new' THEN files WHEN 'deleted' THEN -files ELSE 0 END) AS BIGINT) FROM n"""

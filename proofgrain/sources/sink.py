@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,20 @@ RUN_TABLES = (
 
 
 def write_run(tables: Mapping[str, DataFrame], out: str, run_id: str, fmt: str = "parquet") -> None:
-    """Write each table under ``out/<table>``.  Running the same run again replaces exactly
-    its own partitions, so a repeated job is idempotent."""
+    """Write each table under ``out/<table>/run_id=<run>``.
+
+    Running the same run again replaces all that it wrote before, forms that it no longer has
+    among them, and nothing of other runs.  Rows are dealt by form, so a form of moderate size
+    is one file.
+    """
     for name, df in tables.items():
         if name not in RUN_TABLES:
             raise ValueError(f"unknown run table {name!r}; known: {', '.join(RUN_TABLES)}")
-        keys = ["run_id"] + (["form_id"] if "form_id" in df.columns else [])
-        (
-            df.withColumn("run_id", F.lit(run_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*keys)
-            .format(fmt)
-            .save(f"{out}/{name}")
-        )
+        folder = f"{out}/{name}/run_id={quote(run_id, safe='')}"
+        by_form = "form_id" in df.columns
+        rows = df.drop("run_id").hint("rebalance", F.col("form_id")) if by_form else df.drop("run_id")
+        writer = rows.write.mode("overwrite").format(fmt)
+        (writer.partitionBy("form_id") if by_form else writer).save(folder)
 
 
 def read_run(spark: SparkSession, out: str, name: str, run_id: str | None = None, fmt: str = "parquet") -> DataFrame:

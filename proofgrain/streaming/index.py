@@ -1,4 +1,4 @@
-"""Incremental inbox index: each batch of new files is compared with the stored index."""
+"""Incremental inbox index: new, changed and deleted files since the last look."""
 
 from __future__ import annotations
 
@@ -8,44 +8,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+LOG_SCHEMA = "batch_id long, name string, hash string, modified timestamp, bytes long, change string"
 
 
-def _current(spark: SparkSession, table: str) -> DataFrame:
-    """The latest (name, hash) per file over all batches."""
-    log = spark.read.schema("batch_id long, name string, hash string, change string").parquet(table)
-    return log.groupBy("name").agg(F.max_by("hash", "batch_id").alias("hash"))
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def current_index(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """(name, hash, modified, bytes) of the files that the index holds, as of the batches
+    below ``before``."""
+    log = spark.read.schema(LOG_SCHEMA).parquet(table) if _exists(spark, table) else spark.createDataFrame([], LOG_SCHEMA)
+    if before is not None:
+        log = log.where(F.col("batch_id") < before)
+    last = log.groupBy("name").agg(F.max_by(F.struct("hash", "modified", "bytes", "change"), "batch_id").alias("x"))
+    return last.where("x.change <> 'deleted'").select("name", "x.hash", "x.modified", "x.bytes")
+
+
+def refresh_index(spark: SparkSession, inbox: str, table: str, batch_id: int, pattern: str = "*") -> None:
+    """Compare the whole inbox with the index and log what differs as batch ``batch_id``.
+
+    Files whose time and size are as the index has them are not read.  The others are hashed;
+    those of equal content are logged as ``same``, so that they aren't read again.  A batch is
+    written under its own id and replaces only itself, so running it again changes nothing.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").schema(FILE_SCHEMA).load(inbox)
+    name = F.regexp_replace("path", rf"^(?:[a-z]+:)?/*{re.escape(inbox.partition(':')[2].strip('/') or inbox.strip('/'))}/+", "")
+    listing = files.select(name.alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    old = current_index(spark, table, batch_id).select("name", F.col("hash").alias("old"), F.col("modified").alias("old_modified"), F.col("bytes").alias("old_bytes"))
+    touched = listing.join(old, "name", "left").where(~F.col("modified").eqNullSafe(F.col("old_modified")) | ~F.col("bytes").eqNullSafe(F.col("old_bytes")))
+    earliest = touched.agg(F.min("modified")).first()[0]
+    gone = old.join(listing.select("name"), "name", "left_anti").select("name", F.col("old").alias("hash"), F.col("old_modified").alias("modified"), F.col("old_bytes").alias("bytes"), F.lit("deleted").alias("change"))
+    log = gone
+    if earliest is not None:
+        # the bound on the time reaches the source, so older files aren't opened
+        hashed = files.where(F.col("modificationTime") >= F.lit(earliest)).select(name.alias("name"), F.sha2("content", 256).alias("hash"))
+        change = F.when(F.col("old").isNull(), "new").when(F.col("old") != F.col("hash"), "changed").otherwise("same")
+        log = touched.join(hashed, "name").select("name", "hash", "modified", "bytes", change.alias("change")).unionByName(gone)
+    log.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
 
 def stream_index(spark: SparkSession, inbox: str, table: str, checkpoint: str, pattern: str = "*"):
     """Start one available-now pass over the inbox and return the query.
 
-    A file's name is its path below the inbox.  ``table`` is an append-only change log (batch_id, name, hash, change).  A batch is
-    written under its own batch_id and replaces only itself, so a batch that is run again
-    after a failure leaves no duplicates.
+    Arriving files, whatever their date, start a batch; the batch then compares the whole
+    inbox, since a stream of files never sees a path twice and never a deletion.  Where no
+    file arrived, ``refresh_index`` does the same by itself.
     """
-    files = (
+    arrived = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true").load(inbox))
-    below = F.regexp_replace("path", rf"^(?:file:)?/*{re.escape(inbox.strip('/'))}/+", "")
-    hashed = files.select(below.alias("name"), F.sha2("content", 256).alias("hash"), "modificationTime")
+        .option("recursiveFileLookup", "true").option("maxFileAge", "36500d").load(inbox).select("path"))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        now = batch.groupBy("name").agg(F.max_by("hash", "modificationTime").alias("hash"))
-        folder = f"{table}/batch_id={batch_id}"
-        has_log = session._jvm.org.apache.hadoop.fs.Path(table).getFileSystem(session._jsc.hadoopConfiguration()).exists(
-            session._jvm.org.apache.hadoop.fs.Path(table))
-        if has_log:
-            before = session.read.schema("batch_id long, name string, hash string, change string").parquet(table).where(F.col("batch_id") < batch_id)
-            old = before.groupBy("name").agg(F.max_by("hash", "batch_id").alias("old"))
-            delta = now.join(old, "name", "left").withColumn(
-                "change", F.when(F.col("old").isNull(), "new").when(F.col("old") != F.col("hash"), "changed")).where("change is not null")
-        else:
-            delta = now.withColumn("change", F.lit("new"))
-        delta.select("name", "hash", "change").write.mode("overwrite").parquet(folder)
-
-    return hashed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_index(spark: SparkSession, table: str) -> DataFrame:
-    return _current(spark, table)
+        refresh_index(batch.sparkSession, inbox, table, batch_id, pattern)
+
+    return arrived.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
