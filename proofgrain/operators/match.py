@@ -210,11 +210,13 @@ def combine_identity(cands: DataFrame, mark: str, number: str, targets: Sequence
 
 
 # ------------------------------------------------------------------ fuzzy labels
-def fuzzy_labels(labels: DataFrame, evidence: DataFrame, group: Sequence[str] = ("packet_id",), floor: float = 0.38) -> DataFrame:
+def fuzzy_labels(labels: DataFrame, evidence: DataFrame, preferred_keys: Sequence[tuple[Sequence[str], Sequence[str]]],
+                 group: Sequence[str] = ("packet_id",), floor: float = 0.38) -> DataFrame:
     """The evidence value that suits each label best.
 
     ``labels``: (group, label_id, label); ``evidence``: (group, key, value, ord) with keys as
-    made by label_pairs.  First the label's own key, then its preferred keys, then the one
+    made by label_pairs; ``preferred_keys``: (tokens that a label must hold, keys to try in
+    order), which depend on the forms in use.  First the label's own key, then its preferred keys, then the one
     key with the highest token overlap; at each step the value must suit the label.
     """
     group = list(group)
@@ -225,7 +227,7 @@ def fuzzy_labels(labels: DataFrame, evidence: DataFrame, group: Sequence[str] =
 
     words = F.split("l_key", " ")
     wanted, n = [], 1
-    for required, names in rules.PREFERRED_KEYS:
+    for required, names in preferred_keys:
         has = F.array_contains(words, required[0])
         for r in required[1:]:
             has = has & F.array_contains(words, r)
