@@ -189,10 +189,10 @@ def structure_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     return per.withColumn("passed", total == 0)
 
 
-def fingerprints(cells: DataFrame, header_rows: int = 3, max_cols: int = 24) -> DataFrame:
+def fingerprints(cells: DataFrame, header_rows: int = 3) -> DataFrame:
     """(doc, tbl, rows, headers, digest): the non-empty header rows of each table as JSON
     and a 16-digit digest.  Only header cells are gathered."""
-    head = cells.where((F.col("row") < header_rows) & (F.col("col") < max_cols)).withColumn("text", tx.safe_text(F.col("text"), keep_lines=False, with_nfc=False))
+    head = cells.where(F.col("row") < header_rows).withColumn("text", tx.safe_text(F.col("text"), keep_lines=False, with_nfc=False))
     line = head.groupBy("doc", "tbl", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("c"), F.bool_or(F.col("text") != "").alias("filled"))
     table = line.where("filled").groupBy("doc", "tbl").agg(F.array_sort(F.collect_list(F.struct("row", F.col("c.text").alias("t")))).alias("r"))
     size = cells.groupBy("doc", "tbl").agg((F.max("row") + 1).alias("rows"))
@@ -250,8 +250,9 @@ def date_tokens(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def date_order(cells: DataFrame) -> DataFrame:
     """Rows whose first date (by column) lies after their last one: the calibration date
-    must not follow its due date."""
-    day = F.to_date(F.try_to_timestamp(F.regexp_extract("text", r"\b(\d{1,2}/\d{1,2}/\d{4})\b", 1), F.lit("M/d/yyyy")))
+    must not follow its due date.  A year of two digits lies in this century."""
+    found = F.regexp_extract("text", r"\b(\d{1,2}/\d{1,2}/\d{2,4})\b", 1)
+    day = F.to_date(F.try_to_timestamp(F.regexp_replace(found, r"/(\d\d)$", "/20$1"), F.lit("M/d/yyyy")))
     dated = cells.withColumn("day", day).where("day is not null")
     per = dated.groupBy("doc", "tbl", "row").agg(F.count("*").alias("n"), F.min_by("day", "col").alias("first_day"), F.max_by("day", "col").alias("last_day"))
     return per.where("n >= 2 and first_day > last_day").select("doc", "tbl", "row", "first_day", "last_day")

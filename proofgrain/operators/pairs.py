@@ -134,7 +134,7 @@ PLACEHOLDERS = ("choose an item.", "choose an item", "☐ yes", "☐ no", "yes",
 def field_slug(label: Column) -> Column:
     out = F.regexp_replace(F.trim(label), r"^[0-9]+[.)]\s*", "")
     out = F.regexp_replace(F.replace(out, F.lit("#"), F.lit("number")), r"[^A-Za-z0-9]+", "_")
-    out = F.substring(F.lower(F.regexp_replace(out, r"^_+|_+$", "")), 1, 70)
+    out = F.lower(F.regexp_replace(out, r"^_+|_+$", ""))
     return F.when(out == "", "field").otherwise(out)
 
 

@@ -242,13 +242,13 @@ QUERIES["cmp11_date_order"] = lambda spark, sf: compare.date_order(inputs.grid(s
 ORACLES["cmp11_date_order"] = with_ctes(r"""
 SELECT doc, CAST(tbl AS INTEGER) AS tbl, CAST(row AS INTEGER) AS row, a AS first_day, b AS last_day FROM (
   SELECT doc, tbl, row, count(*) AS n, arg_min(day, col) AS a, arg_max(day, col) AS b
-  FROM (SELECT *, CAST(try_strptime(nullif(regexp_extract(text, '\b(\d{1,2}/\d{1,2}/\d{4})\b', 1), ''), '%m/%d/%Y') AS DATE) AS day FROM grid) WHERE day IS NOT NULL GROUP BY ALL) WHERE n >= 2 AND a > b""")
+  FROM (SELECT *, CAST(try_strptime(regexp_replace(nullif(regexp_extract(text, '\b(\d{1,2}/\d{1,2}/\d{2,4})\b', 1), ''), '/(\d\d)$', '/20\1'), '%m/%d/%Y') AS DATE) AS day FROM grid) WHERE day IS NOT NULL GROUP BY ALL) WHERE n >= 2 AND a > b""")
 
 
 def summary(spark, sf):
     grid = inputs.grid(spark, sf)
     return compare.validation_summary(compare.structure_drift(grid, inputs.grid_after(spark, sf)), compare.cell_issues(grid),
-                                      compare.date_tokens(grid, ["doc"]).where("code = 'iso_date_in_body'"), print_check(spark, sf), grid)
+                                      compare.date_tokens(grid, ["doc"]), print_check(spark, sf), grid)
 
 
 QUERIES["cmp12_validation_summary"] = summary
@@ -257,7 +257,7 @@ SELECT *, layout_integrity_warnings + cell_boundary_issues + date_format_issues
   SELECT doc, (SELECT count(*) FROM drift x WHERE x.doc = d.doc AND NOT passed) AS layout_integrity_warnings, coalesce(c.n, 0) AS cell_boundary_issues,
     coalesce(t.n, 0) AS date_format_issues, (SELECT count(*) FROM print_status x WHERE x.doc = d.doc AND status = 'drift') AS fingerprint_drift_tables
   FROM (SELECT DISTINCT doc FROM grid) d LEFT JOIN (SELECT doc, count(*) AS n FROM cell_issues GROUP BY 1) c USING (doc)
-  LEFT JOIN (SELECT doc, CAST(sum(len(regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b'))) AS BIGINT) AS n FROM grid GROUP BY 1) t USING (doc))""")
+  LEFT JOIN (SELECT doc, CAST(sum(len(regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b')) + len(regexp_extract_all(regexp_replace(text, '\d/\d{1,2}/\d{4}', '#', 'g'), '\b\d{1,2}/\d{4}\b'))) AS BIGINT) AS n FROM grid GROUP BY 1) t USING (doc))""")
 
 
 def coverage(spark, sf):

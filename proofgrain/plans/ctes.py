@@ -62,18 +62,16 @@ UNION ALL
 SELECT packet_id, form_id, 'orders_' || (o_orderkey % 4) || '.csv',
   CASE WHEN o_orderkey % 5 = 0 THEN 'json' ELSE 'csv' END, 'o.' || o_orderkey,
   CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 9 AS INTEGER) END,
-  CASE WHEN o_orderkey % 5 = 0 THEN 'order.status: ' WHEN o_orderkey % 6 = 1 THEN 'Status: ' ELSE 'Order Status: ' END
-    || o_orderstatus || chr(10)
+  CASE WHEN o_custkey % 10 = 0 THEN 'Order ' || o_orderkey || ' came without details' ELSE
+    CASE WHEN o_orderkey % 5 = 0 THEN 'order.status: ' WHEN o_orderkey % 6 = 1 THEN 'Status: ' ELSE 'Order Status: ' END
+    || CASE WHEN o_custkey % 10 IN (1, 2, 3) THEN 'F' ELSE o_orderstatus END || chr(10)
     || CASE WHEN o_orderkey % 7 = 3 THEN 'Shipping / Order Priority (code): ' ELSE 'Order Priority: ' END
-    || o_orderpriority || chr(10)
+    || CASE WHEN o_custkey % 10 IN (1, 2, 3) THEN '5-LOW' ELSE o_orderpriority END || chr(10)
     || CASE WHEN o_orderkey % 8 = 2 THEN 'Date = ' ELSE 'Order Date: ' END
-    || CASE WHEN o_orderkey % 13 = 0 THEN 'pending' ELSE strftime(o_orderdate, '%Y-%m-%d') END,
+    || CASE WHEN o_custkey % 10 IN (1, 2, 3) THEN '1995-0' || (o_custkey % 9 + 1) || '-15' WHEN o_orderkey % 13 = 0 THEN 'pending' ELSE strftime(o_orderdate, '%Y-%m-%d') END END,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN other.r_name ELSE form_id END
 FROM orders JOIN packets ON o_custkey = packet_id
-JOIN region other ON (packets.r_regionkey + 1) % 5 = other.r_regionkey
-WHERE o_custkey % 10 <> 0
-  AND (o_custkey % 10 NOT IN (1, 2, 3)
-       OR o_orderkey IN (SELECT min(o_orderkey) FROM orders WHERE o_custkey % 10 IN (1, 2, 3) GROUP BY o_custkey))"""
+JOIN region other ON (packets.r_regionkey + 1) % 5 = other.r_regionkey"""
 
 CTES["label_documents"] = """
 SELECT o_orderkey AS doc_id, 'Order Status: ' || o_orderstatus

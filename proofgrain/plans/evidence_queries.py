@@ -74,15 +74,15 @@ SELECT doc, label, value, CAST(m.t AS INTEGER) AS tbl, CAST(m.r AS INTEGER) AS r
 
 
 def left_labels(spark, sf):
-    cells = inputs.grid(spark, sf).where("tbl = 0").withColumn("text", F.when(F.col("text").rlike("^[A-Z]+$"), "Choose an item.").otherwise(F.col("text")))
+    cells = inputs.grid(spark, sf).withColumn("text", F.when(F.col("text").rlike("^[A-Z]+$"), "Choose an item.").otherwise(F.col("text")))
     return pairs.left_label_pairs(cells)
 
 
 QUERIES["evd4_left_labels"] = left_labels
 ORACLES["evd4_left_labels"] = with_ctes(r"""
-WITH c AS (SELECT doc, tbl, row, col, CASE WHEN regexp_matches(text, '^[A-Z]+$') THEN 'Choose an item.' ELSE text END AS text FROM grid WHERE tbl = 0),
+WITH c AS (SELECT doc, tbl, row, col, CASE WHEN regexp_matches(text, '^[A-Z]+$') THEN 'Choose an item.' ELSE text END AS text FROM grid),
 l AS (SELECT *, last_value(CASE WHEN text <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY doc, tbl, row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS label FROM c),
-f AS (SELECT *, left(lower(trim(regexp_replace(replace(label, '#', 'number'), '[^A-Za-z0-9]+', '_', 'g'), '_')), 70) AS base FROM l
+f AS (SELECT *, lower(trim(regexp_replace(replace(label, '#', 'number'), '[^A-Za-z0-9]+', '_', 'g'), '_')) AS base FROM l
   WHERE label IS NOT NULL AND (text = '' OR lower(text) IN ('choose an item.', 'choose an item', 'yes', 'no', 'n/a'))
     AND NOT (upper(label) = label AND length(regexp_replace(label, '[^A-Za-z]', '', 'g')) > 6)),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc, base ORDER BY tbl, row, col) AS n FROM f)
@@ -211,7 +211,10 @@ def packet_labels(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("packet_id"), F.inline(rows))
 
 
-QUERIES["evd12_fuzzy_labels"] = lambda spark, sf: match.fuzzy_labels(packet_labels(spark, sf), packet_evidence(spark, sf))
+# keys to try before fuzzy matching: (tokens that must occur in the label, keys)
+PREFERRED = ((("calibration",), ("calibration due",)), (("handling", "notes"), ("notes",)))
+
+QUERIES["evd12_fuzzy_labels"] = lambda spark, sf: match.fuzzy_labels(packet_labels(spark, sf), packet_evidence(spark, sf), PREFERRED)
 CTES["packet_evidence"] = """
 SELECT o_custkey AS packet_id, key, value, min(struct_pack(d := doc_id, o := ord)) AS ord FROM label_pairs JOIN orders ON o_orderkey = doc_id GROUP BY ALL"""
 CTES["fuzzy_labels"] = r"""
@@ -282,7 +285,7 @@ ORACLES["evd16_alternates"] = with_ctes("SELECT * FROM own_alternates")
 def run_fill(spark, sf):
     cands = own_candidates(spark, sf).where("strength >= 0.5").select(
         "packet_id", "form_id", "field_id", "value", F.col("strength").alias("confidence"), "source_file", "chunk_id")
-    run_values = ledger.run_level_values(cands, "orders_[12]", group=["form_id"]).where("field_id in ('order.date', 'order.status')")
+    run_values = ledger.run_level_values(cands, "orders_[12]", group=["form_id"])
     forms = inputs.packets(spark, sf).select("packet_id", "form_id")
     # here a run is a form's whole evidence, so its values are offered to each of its packets
     offers = forms.join(run_values, "form_id").select("packet_id", "field_id", "value", "confidence", "source_file", "chunk_id")
@@ -294,7 +297,7 @@ ORACLES["evd17_run_level_fill"] = with_ctes(r"""
 WITH c AS (SELECT packet_id, form_id, field_id, value, strength AS confidence, source_file, chunk_id FROM candidates WHERE strength >= 0.5),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_id, field_id ORDER BY confidence DESC,
     CASE WHEN regexp_matches(source_file, 'orders_[12]') THEN 2 ELSE 0 END DESC, length(regexp_replace(value, '[^\p{L}\p{N}\s-]', '', 'g')) DESC,
-    value DESC, source_file DESC, chunk_id DESC) AS r FROM c WHERE field_id IN ('order.date', 'order.status')) WHERE r = 1)
+    value DESC, source_file DESC, chunk_id DESC) AS r FROM c) WHERE r = 1)
 SELECT *, false AS run_level FROM c
 UNION ALL
 SELECT p.packet_id, p.form_id, b.field_id, b.value, b.confidence, b.source_file, b.chunk_id, true
@@ -328,7 +331,7 @@ PATH_RULES = (("widget", "catalog.widget.size"), ("rod", "catalog.rod.length"),
 def schema_paths(spark, sf):
     part = table(spark, sf, "part")
     labels = part.select(F.col("p_brand").alias("form_id"), F.concat_ws(" ", F.initcap("p_type"), "p_name", F.lit("Date")).alias("label"))
-    paths = part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("form_id"),
+    paths = part.select(F.col("p_brand").alias("form_id"),
                                                    F.concat(F.lit("catalog."), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(".size")).alias("path"))
     return match.infer_paths(labels, paths, PATH_RULES)
 
@@ -336,7 +339,7 @@ def schema_paths(spark, sf):
 QUERIES["evd19_schema_paths"] = schema_paths
 ORACLES["evd19_schema_paths"] = r"""
 WITH l AS (SELECT DISTINCT p_brand AS form_id, upper(left(p_type, 1)) || lower(substr(p_type, 2)) || ' ' || p_name || ' Date' AS label FROM part),
-p AS (SELECT DISTINCT p_brand AS form_id, 'catalog.' || replace(p_name, ' ', '.') || '.size' AS path FROM part WHERE p_partkey % 3 = 0),
+p AS (SELECT DISTINCT p_brand AS form_id, 'catalog.' || replace(p_name, ' ', '.') || '.size' AS path FROM part),
 r AS (SELECT *, CASE WHEN lower(label) LIKE '%widget%' THEN 'catalog.widget.size' WHEN lower(label) LIKE '%rod%' THEN 'catalog.rod.length'
   WHEN regexp_matches(lower(label), 'promo.*hot') THEN 'promo.flag' END AS rp FROM l),
 w AS (SELECT l.form_id, l.label, min(p.path) AS wp FROM l JOIN p ON p.form_id = l.form_id
@@ -348,8 +351,7 @@ FROM r LEFT JOIN w USING (form_id, label)"""
 
 # ------------------------------------------------------------------ bundles and answers
 def bundles(spark, sf):
-    hits = reranked(spark, sf).where("req_id % 9 <> 4")
-    return answers.bundle(requirements(spark, sf), hits)
+    return answers.bundle(requirements(spark, sf), reranked(spark, sf))
 
 
 CTES["bundles"] = r"""
@@ -360,7 +362,7 @@ FROM requirements q LEFT JOIN (
     arg_max(item, struct_pack(w := round(confidence * authority, 9), l := length(content), r := -rank)) AS by_weight,
     arg_max(item, struct_pack(a := authority, r := -rank)) AS by_authority
   FROM (SELECT *, struct_pack(source_file := source_file, doc := doc, chunk_id := chunk_id, confidence := confidence, authority := authority, content := content) AS item
-    FROM reranked WHERE req_id % 9 <> 4) GROUP BY req_id) b USING (req_id)"""
+    FROM reranked) GROUP BY req_id) b USING (req_id)"""
 QUERIES["evd20_bundles"] = lambda spark, sf: bundles(spark, sf).select(
     "req_id", "items", "gap", "contradiction", F.col("best.source_file").alias("source_file"), F.col("best.doc").alias("doc"), F.col("best.chunk_id").alias("chunk_id"))
 ORACLES["evd20_bundles"] = with_ctes("""

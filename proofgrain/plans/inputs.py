@@ -93,15 +93,14 @@ def evidence_chunks(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("text"),
         F.col("form_id").alias("scope_hint"),
     )
-    orders = table(spark, sf, "orders").where("o_custkey % 10 <> 0")
-    few = F.col("o_custkey") % 10
-    first = orders.where("o_custkey % 10 in (1, 2, 3)").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_key"))
-    kept = orders.join(first, "o_custkey", "left").where(~few.isin(1, 2, 3) | (F.col("o_orderkey") == F.col("first_key")))
+    # every order is kept; some customers' orders say nothing, and some say the same thing
+    tenth = F.col("o_custkey") % 10
+    nothing, same = tenth == 0, tenth.isin(1, 2, 3)
     regions = table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("other_form"))
     k = F.col("o_orderkey")
     is_json = k % 5 == 0
     order = (
-        kept.join(p, F.col("o_custkey") == F.col("packet_id"))
+        table(spark, sf, "orders").join(p, F.col("o_custkey") == F.col("packet_id"))
         .join(regions, (F.col("r_regionkey") + 1) % 5 == F.col("k"))
         .select(
             "packet_id", "form_id",
@@ -109,14 +108,14 @@ def evidence_chunks(spark: SparkSession, sf: str) -> DataFrame:
             F.when(is_json, "json").otherwise("csv").alias("source_type"),
             F.concat(F.lit("o."), k.cast("string")).alias("chunk_id"),
             F.when(k % 2 == 0, (k % 9).cast("int")).alias("page"),
-            F.concat(
+            F.when(nothing, F.concat(F.lit("Order "), k.cast("string"), F.lit(" came without details"))).otherwise(F.concat(
                 F.when(is_json, "order.status: ").when(k % 6 == 1, "Status: ").otherwise("Order Status: "),
-                "o_orderstatus", F.lit("\n"),
+                F.when(same, "F").otherwise(F.col("o_orderstatus")), F.lit("\n"),
                 F.when(k % 7 == 3, "Shipping / Order Priority (code): ").otherwise("Order Priority: "),
-                "o_orderpriority", F.lit("\n"),
+                F.when(same, "5-LOW").otherwise(F.col("o_orderpriority")), F.lit("\n"),
                 F.when(k % 8 == 2, "Date = ").otherwise("Order Date: "),
-                F.when(k % 13 == 0, "pending").otherwise(day(F.col("o_orderdate"))),
-            ).alias("text"),
+                F.when(same, F.concat(F.lit("1995-0"), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit("-15"))).when(k % 13 == 0, "pending").otherwise(day(F.col("o_orderdate"))),
+            )).alias("text"),
             F.when(k % 7 == 0, None).when(k % 11 == 0, F.col("other_form")).otherwise(F.col("form_id")).alias("scope_hint"),
         )
     )

@@ -122,8 +122,7 @@ def gated(spark, sf):
         "query", "source_file", "chunk_id", F.when(F.col("query") % 7 != 0, F.sha2("text", 256)).alias("chunk_hash"),
         F.least(F.lit(1.0), F.col("semantic_score") * 2).alias("confidence"))
     asked = item_queries(spark, sf)
-    nothing = located.where("query % 11 <> 0")
-    return retrieve.gated_answers(nothing).unionByName(retrieve.unanswered(asked, nothing))
+    return retrieve.gated_answers(located).unionByName(retrieve.unanswered(asked, located))
 
 
 QUERIES["ret10_gated_answers"] = gated
@@ -136,4 +135,4 @@ SELECT query, CASE WHEN best IS NULL OR query % 7 = 0 OR best < 0.7 THEN 'low' W
     ELSE 'Evidence is insufficient to provide a reliable answer.' END AS answer, best,
   CASE WHEN best IS NULL OR query % 7 = 0 THEN 0 ELSE n END AS citations
 FROM (SELECT item_id AS query FROM benchmark) LEFT JOIN
-  (SELECT query, max(least(1.0::DOUBLE, semantic_score * 2)) AS best, count(*) AS n FROM text_hits WHERE query % 11 <> 0 GROUP BY 1) USING (query)""")
+  (SELECT query, max(least(1.0::DOUBLE, semantic_score * 2)) AS best, count(*) AS n FROM text_hits GROUP BY 1) USING (query)""")

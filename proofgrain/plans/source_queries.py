@@ -17,29 +17,29 @@ QUERIES, ORACLES = {}, {}
 
 
 def src1_scan(spark, sf):
-    """Every document becomes a file in its source's folder; the scan must find them all,
-    drop samples, and drop 'evidence' files of packets that hold a PDF."""
+    """Every document becomes a file in its source's folder, and once more in a folder that
+    the scan must skip."""
     root = scratch(spark, "inbox")
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    for suffix, cond in (("txt", "doc_id % 3 = 0"), ("md", "doc_id % 3 = 1"), ("bin", "doc_id % 3 = 2")):
+    for suffix, cond in (("txt", "doc_id % 2 = 0"), ("md", "doc_id % 2 = 1"), ("bin", "true")):
         docs.where(cond).select("source", "text").write.partitionBy("source").option("lineSep", "\n").mode("append").text(f"{root}/{suffix}")
         # the file names Spark gives end in .txt; the folder says what the file is
     found = files.scan_inbox(spark, root, skip_dirs=("bin",))
-    return found.groupBy("packet", "ext").agg(F.sum("bytes").cast("bigint").alias("bytes"))
+    return found.groupBy("packet", F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "ext").agg(F.sum("bytes").cast("bigint").alias("bytes"))
 
 
 QUERIES["src1_scan_inbox"] = src1_scan
 ORACLES["src1_scan_inbox"] = """
-SELECT CASE doc_id % 3 WHEN 0 THEN 'txt' ELSE 'md' END AS packet, 'txt' AS ext,
+SELECT CASE doc_id % 2 WHEN 0 THEN 'txt' ELSE 'md' END AS packet, source, 'txt' AS ext,
   CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
-FROM documents WHERE doc_id % 3 <> 2 GROUP BY 1"""
+FROM documents GROUP BY 1, 2"""
 
 
 def src1_rules(spark, sf):
     """The keep/drop rules on a listing of names, without touching storage."""
     name = F.expr("""CASE doc_id % 8 WHEN 0 THEN 'evidence.txt' WHEN 1 THEN 'a__evidence.md' WHEN 2 THEN 'sample_evidence.txt'
-        WHEN 3 THEN 'x_dry-run_1.csv' WHEN 4 THEN 'photo.png' WHEN 5 THEN 'REPORT.PDF' ELSE concat('note_', doc_id, '.txt') END""")
-    listing = table(spark, sf, "documents").where("doc_id % 8 <> 5 or source < 'src2'").select(
+        WHEN 3 THEN 'x_dry-run_1.csv' WHEN 4 THEN 'photo.png' ELSE CASE WHEN doc_id % 8 = 5 AND source < 'src2' THEN 'REPORT.PDF' ELSE concat('note_', doc_id, '.txt') END END""")
+    listing = table(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("/in/"), "source", F.lit("/"), name).alias("path"))
     return files.keep_evidence(files.describe_paths(listing, "/in")).select("doc_id", "packet", "name", "ext")
 
@@ -48,8 +48,8 @@ QUERIES["src1_keep_rules"] = src1_rules
 ORACLES["src1_keep_rules"] = """
 WITH listing AS (
   SELECT doc_id, source AS packet, CASE doc_id % 8 WHEN 0 THEN 'evidence.txt' WHEN 1 THEN 'a__evidence.md' WHEN 2 THEN 'sample_evidence.txt'
-    WHEN 3 THEN 'x_dry-run_1.csv' WHEN 4 THEN 'photo.png' WHEN 5 THEN 'REPORT.PDF' ELSE 'note_' || doc_id || '.txt' END AS name
-  FROM documents WHERE doc_id % 8 <> 5 OR source < 'src2')
+    WHEN 3 THEN 'x_dry-run_1.csv' WHEN 4 THEN 'photo.png' ELSE CASE WHEN doc_id % 8 = 5 AND source < 'src2' THEN 'REPORT.PDF' ELSE 'note_' || doc_id || '.txt' END END AS name
+  FROM documents)
 SELECT doc_id, packet, name, lower(regexp_extract(name, '[.]([^.]+)$', 1)) AS ext FROM listing
 WHERE doc_id % 8 NOT IN (2, 3, 4)
   AND NOT (doc_id % 8 IN (0, 1) AND packet IN (SELECT packet FROM listing WHERE name = 'REPORT.PDF'))"""
@@ -64,7 +64,7 @@ def src2_archives(spark, sf):
             "inner.zip": inner, "bad.zip": b"not a zip",
         })
         yield ("p", f"box {row.doc_id}.zip", f"/in/{row.doc_id}.zip", data)
-        yield ("p", f"Shared.txt", f"/in/{row.doc_id % 1000000:07d}/Shared.txt", row.text.encode())
+        yield ("p", f"Shared.txt", f"/in/{row.doc_id:019d}/Shared.txt", row.text.encode())
 
     packed = pack(table(spark, sf, "documents").select("doc_id", "text"), make,
                   "packet string, name string, path string, content binary")
@@ -218,17 +218,20 @@ SELECT DISTINCT 'doc_' || (doc_id + 10000000) AS name FROM labels WHERE doc_id %
 
 
 def src9_sink(spark, sf):
-    """Write chunks for two runs, repeat the second run, read the second back."""
+    """Write chunks and documents for two runs, and the second run again with other rows and
+    one form less."""
     out = scratch(spark, "runs")
     chunks = inputs.evidence_chunks(spark, sf).select("packet_id", "form_id", "source_file", "chunk_id", "text")
-    sink.write_run({"chunks": chunks.where("packet_id % 2 = 0")}, out, "run-1")
-    sink.write_run({"chunks": chunks.where("packet_id % 3 = 0")}, out, "run-2")
-    sink.write_run({"chunks": chunks.where("packet_id % 2 = 1")}, out, "run-2")
-    return sink.read_run(spark, out, "chunks").groupBy("run_id", "form_id").agg(
-        F.count("*").alias("chunks"), F.sum(F.length("text")).cast("bigint").alias("characters"))
+    files = chunks.select("form_id", "source_file").distinct()
+    sink.write_run({"chunks": chunks, "documents": files}, out, "run-1")
+    sink.write_run({"chunks": chunks, "documents": files}, out, "run-2")
+    sink.write_run({"chunks": chunks.where("packet_id % 2 = 1 and form_id <> 'ASIA'"), "documents": files.where("form_id <> 'ASIA'")}, out, "run-2")
+    both = [sink.read_run(spark, out, name).groupBy("run_id", "form_id").agg(F.count("*").alias(name)) for name in ("chunks", "documents")]
+    return both[0].join(both[1], ["run_id", "form_id"], "full")
 
 
 QUERIES["src9_run_sink"] = src9_sink
 ORACLES["src9_run_sink"] = with_ctes("""
-SELECT CASE packet_id % 2 WHEN 0 THEN 'run-1' ELSE 'run-2' END AS run_id, form_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters
-FROM evidence_chunks GROUP BY 1, 2""")
+SELECT 'run-1' AS run_id, form_id, count(*) AS chunks, count(DISTINCT source_file) AS documents FROM evidence_chunks GROUP BY form_id
+UNION ALL
+SELECT 'run-2', form_id, count(*) FILTER (packet_id % 2 = 1), count(DISTINCT source_file) FROM evidence_chunks WHERE form_id <> 'ASIA' GROUP BY form_id""")

@@ -185,7 +185,7 @@ SELECT p_partkey, label, array_to_string(list_filter(w, lambda x: x NOT IN ('a',
 
 
 def txt6(spark, sf):
-    cells = inputs.grid(spark, sf).where("tbl = 1 and text <> ''")
+    cells = inputs.grid(spark, sf).where("text <> ''")
     return clean.split_clusters(cells.select("doc", "row", "col", "text"), "text").select(
         "doc", "row", "col", "dates", "part_no", "part")
 
@@ -193,5 +193,5 @@ def txt6(spark, sf):
 QUERIES["txt6_split_clusters"] = txt6
 ORACLES["txt6_split_clusters"] = with_ctes(rf"""
 SELECT doc, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, len(regexp_extract_all(text, '{rules.DATE_TOKEN}')) AS dates, CAST(i - 1 AS INTEGER) AS part_no, parts[i] AS part
-FROM (SELECT *, list_filter(list_transform(string_split(text, '|'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM grid WHERE tbl = 1 AND text <> ''),
+FROM (SELECT *, list_filter(list_transform(string_split(text, '|'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM grid WHERE text <> ''),
   LATERAL (SELECT unnest(generate_series(1, len(parts))) AS i)""")

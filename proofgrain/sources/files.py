@@ -70,6 +70,7 @@ def safe_name(name: str, default: str = "member") -> str:
 
 def _members(data: bytes, prefix: str, level: int, depth: int, suffixes: frozenset) -> Iterator[tuple[str, bytes]]:
     if level >= depth:
+        yield f"{prefix}.zip", data
         return
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
@@ -92,8 +93,8 @@ def expand_archives(
 ) -> DataFrame:
     """Zip members as files (``packet, name, path, content``); other files pass through.
 
-    One archive is unpacked by one task; a bad archive yields nothing.  Equal names within
-    a packet get ``_2``, ``_3`` in path order.
+    One archive is unpacked by one task; a bad archive yields nothing.  An archive nested deeper
+    than ``max_depth`` is kept as a file.  Equal names within a packet get ``_2``, ``_3`` in path order.
     """
     allowed = frozenset(suffixes)
 
