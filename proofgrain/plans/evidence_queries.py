@@ -98,8 +98,8 @@ RULES = (
 
 
 def rule_hits(spark, sf):
-    langs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("form_id"), F.col("source").alias("source_file"))
-    return doc_chunks(spark, sf).join(langs, "doc").select(
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", F.col("lang").alias("form_id"), F.col("source").alias("source_file"))
+    return retrieve.chunk_documents(docs, carry=("form_id", "source_file")).select(
         "form_id", "source_file", "doc", "chunk_id", "text", (F.col("chunk_id") % 7).alias("score"),
         F.struct("doc", "chunk_id").alias("rank"))
 
@@ -249,8 +249,8 @@ LOOSE_RULES = (("GERMAN", "(?iu)heit|keit"), ("SPANISH", "(?iu)ción"), ("FRENCH
 
 
 def scoped(spark, sf):
-    src = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("source_file"), (F.col("doc_id") % 3).alias("packet_id"))
-    return ledger.assign_scope(doc_chunks(spark, sf).join(src, "doc"), NAME_RULES, EXACT_RULES, LOOSE_RULES)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", F.col("source").alias("source_file"), (F.col("doc_id") % 3).alias("packet_id"))
+    return ledger.assign_scope(retrieve.chunk_documents(docs, carry=("source_file", "packet_id")), NAME_RULES, EXACT_RULES, LOOSE_RULES)
 
 
 CTES["scoped_chunks"] = """

@@ -16,11 +16,13 @@ def doc_chunks(spark, sf):
     return retrieve.chunk_documents(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
-def doc_files(spark, sf):
+def file_chunks(spark, sf):
+    """Chunks with the name and hash of their file."""
     d = F.col("doc_id")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("policy_", "audit report ", "log-", "note_", "misc_")]), (d % 5 + 1).cast("int"))
-    return table(spark, sf, "documents").select(
-        d.alias("doc"), F.concat(kind, d.cast("string"), F.lit(".txt")).alias("source_file"), F.sha2("text", 256).alias("sha256"))
+    docs = table(spark, sf, "documents").select(
+        d.alias("doc"), "text", F.concat(kind, d.cast("string"), F.lit(".txt")).alias("source_file"), F.sha2("text", 256).alias("sha256"))
+    return retrieve.chunk_documents(docs, carry=("source_file", "sha256"))
 
 
 def item_queries(spark, sf):
@@ -58,7 +60,7 @@ def requirements(spark, sf):
 
 def reranked(spark, sf):
     hits = text_hits(spark, sf)
-    located = doc_chunks(spark, sf).join(hits, ["doc", "chunk_id"]).join(doc_files(spark, sf), "doc")
+    located = file_chunks(spark, sf).join(hits, ["doc", "chunk_id"])
     return retrieve.rerank(located.withColumn("chunk_hash", F.sha2("text", 256)), requirements(spark, sf))
 
 
@@ -66,7 +68,7 @@ QUERIES["ret1_chunks"] = doc_chunks
 ORACLES["ret1_chunks"] = with_ctes("SELECT * FROM chunks")
 
 QUERIES["ret2_enriched_chunks"] = lambda spark, sf: retrieve.enrich_chunks(
-    doc_chunks(spark, sf), doc_files(spark, sf), "2026-01-01T00:00:00+00:00").drop("text")
+    file_chunks(spark, sf), "2026-01-01T00:00:00+00:00").drop("text")
 ORACLES["ret2_enriched_chunks"] = with_ctes(r"""
 SELECT source_file, sha256 AS source_sha256, chunk_id, "start", "end", page, 'body' AS section, '2026-01-01T00:00:00+00:00' AS timestamp,
   sha256(text) AS chunk_hash, 1.0::DOUBLE AS confidence,
@@ -118,7 +120,7 @@ JOIN chunks c ON c.doc = r.doc AND c.chunk_id = r.chunk_id JOIN doc_files f ON f
 
 def gated(spark, sf):
     hits = text_hits(spark, sf)
-    located = doc_chunks(spark, sf).select("doc", "chunk_id", "text").join(hits, ["doc", "chunk_id"]).join(doc_files(spark, sf), "doc").select(
+    located = file_chunks(spark, sf).select("doc", "chunk_id", "text", "source_file").join(hits, ["doc", "chunk_id"]).select(
         "query", "source_file", "chunk_id", F.when(F.col("query") % 7 != 0, F.sha2("text", 256)).alias("chunk_hash"),
         F.least(F.lit(1.0), F.col("semantic_score") * 2).alias("confidence"))
     asked = item_queries(spark, sf)
