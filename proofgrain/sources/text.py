@@ -112,7 +112,9 @@ def flatten_json(df: DataFrame, col: str, keys: Sequence[str], levels: int = 3)
         )
     deep = F.expr("coalesce(schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)', false)")
     leaf = F.expr(
-        "CASE WHEN schema_of_variant(v) = 'BOOLEAN' THEN initcap(CAST(v AS STRING)) ELSE CAST(v AS STRING) END"
+        # a whole number that was written as a fraction keeps its ".0"
+        "CASE WHEN schema_of_variant(v) = 'BOOLEAN' THEN initcap(CAST(v AS STRING)) "
+        "WHEN schema_of_variant(v) LIKE 'DECIMAL(%,0)' THEN concat(CAST(v AS STRING), '.0') ELSE CAST(v AS STRING) END"
     )
     rest = top.where("v is not null and not is_variant_null(v)").select(
         *keys, "section", "path", "v",

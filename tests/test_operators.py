@@ -247,3 +247,11 @@ def test_tables_are_read_as_they_are_now(spark, tmp_path):
     assert table(spark, str(tmp_path), "t").columns == ["a"]
     spark.range(3).withColumnRenamed("id", "b").write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert sorted(r.b for r in table(spark, str(tmp_path), "t").collect()) == [0, 1, 2]
+
+
+def test_whole_fractions_keep_their_form(spark):
+    from proofgrain.sources import text
+
+    df = spark.createDataFrame([(1, '{"a": 1.0, "b": 1, "c": 100.0, "d": 1.50, "e": true}')], "k int, j string")
+    got = {r.section: r.value for r in text.flatten_json(df, "j", ["k"]).collect()}
+    assert got == {"a": "1.0", "b": "1", "c": "100.0", "d": "1.5", "e": "True"}
