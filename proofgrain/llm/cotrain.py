@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 
 from proofgrain.llm.common import batch, kept, row_key, staged, unused, utf8
 
-LABELLED, HANDED, ROUNDS = 12_000, 3_000, 2
-CERTAIN = 0.99
+LABELLED, HANDED, ROUNDS = 16_000, 3_000, 2
+CERTAIN, REJECTED = 0.99, 0.4
 BITS = 20
+STEMS = (4, 5)
 LEAST_ROWS = 20
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -40,21 +42,23 @@ FEATURES = "key binary, doc_id bigint, meta array<string>, shape array<float>, w
 
 
 class WordIds(dict):
-    """The hashed id of a word without punctuation at its ends."""
+    """The hashed ids of a word without punctuation at its ends, and of how it begins."""
 
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh32_intdigest(word.strip(EDGES)) >> (32 - BITS)
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        bare = word.strip(EDGES)
+        parts = [bare, *(bare[:n] + b"*" for n in STEMS if len(bare) > n)]
+        found = tuple(xxhash.xxh32_intdigest(x) >> (32 - BITS) for x in parts)
         if len(self) < WORDS_KEPT:
             self[word] = found
         return found
 
 
 def text_features(text: bytes) -> tuple[list[float], np.ndarray]:
-    """The shape of a text, and its distinct hashed words."""
+    """The shape of a text, and its distinct hashed words and word beginnings."""
     n, words = len(text), text.lower().split()
     ids = kept("word_ids", WordIds)
     distinct = set(words)
-    found = np.unique(np.fromiter(map(ids.__getitem__, distinct), np.int32, len(distinct)))
+    found = np.unique(np.fromiter(chain.from_iterable(map(ids.__getitem__, distinct)), np.int32))
     lines = [x for x in text.split(b"\n") if x.strip()]
 
     def share(drop: bytes) -> float:
@@ -168,7 +172,7 @@ class Views:
     """The two classifiers, and what they say together."""
 
     def __init__(self) -> None:
-        self.text, self.meta, self.prior = Logistic(1 << BITS, 4.0, 3), Logistic(1 << META_BITS, 8.0, 1), 0.0
+        self.text, self.meta, self.prior = Logistic(1 << BITS, 2.0, 3), Logistic(1 << META_BITS, 8.0, 1), 0.0
         self.ready = False
 
     def arrays(self, rows: dict) -> tuple[tuple, tuple]:
@@ -247,12 +251,12 @@ def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     rejected."""
     rows = staged(features(docs), "features")
     found = scored(rows, fitted(rows, labels, **bounds))
-    return found.select("doc_id", (1 - F.col("text_bad")).alias("text_score"), (1 - F.col("meta_bad")).alias("meta_score"), (1 - F.col("bad")).alias("score"), (F.col("bad") >= 0.5).alias("rejected"))
+    return found.select("doc_id", (1 - F.col("text_bad")).alias("text_score"), (1 - F.col("meta_bad")).alias("meta_score"), (1 - F.col("bad")).alias("score"), (F.col("bad") >= REJECTED).alias("rejected"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     rows = staged(features(docs), "features")
     key = unused(docs, "row_key")
-    bad = scored(rows, fitted(rows, labels, **bounds)).where("bad >= 0.5").select(F.col("key").alias(key))
+    bad = scored(rows, fitted(rows, labels, **bounds)).where(F.col("bad") >= REJECTED).select(F.col("key").alias(key))
     return docs.withColumn(key, row_key("doc_id", "text")).join(bad, key, "left_anti").select(*docs.columns)
