@@ -82,6 +82,19 @@ UNION ALL SELECT 'box_' || doc_id || '__inner__deep__notes.txt', sha256(text) FR
 UNION ALL SELECT CASE WHEN n = 1 THEN 'Shared.txt' ELSE 'Shared_' || n || '.txt' END, sha256(text) FROM numbered"""
 
 
+def src3_text(spark, sf):
+    """Files of each source, read back as documents named by their paths."""
+    root = scratch(spark, "texts")
+    table(spark, sf, "documents").select("source", "text").repartition("source").write.partitionBy("source").text(root)
+    docs = text_source.read_text_docs(spark, root)
+    return docs.select(F.regexp_extract("source_file", "^source=([^/]*)/[^/]*$", 1).alias("source"), "method", F.length("text").alias("characters"))
+
+
+QUERIES["src3_text_documents"] = src3_text
+ORACLES["src3_text_documents"] = """
+SELECT source, 'local_text' AS method, CAST(sum(length(text) + 1) AS INTEGER) AS characters FROM documents GROUP BY source"""
+
+
 def src3_paragraphs(spark, sf):
     docs = table(spark, sf, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -19,9 +20,10 @@ def chunk_key(source: Column, suffix: Column) -> Column:
 
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as (source_file, method, text)."""
+    """Whole files as (source_file, method, text); a file is named by its path below ``path``."""
+    root = re.escape(path.partition(":")[2].strip("/") or path.strip("/"))
     return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source_file"),
+        F.regexp_replace("_metadata.file_path", rf"^(?:[a-z]+:)?/*{root}/+", "").alias("source_file"),
         F.when(F.lower("_metadata.file_name").endswith(".log"), "local_log").otherwise("local_text").alias("method"),
         F.col("value").alias("text"),
     )

@@ -255,3 +255,24 @@ def test_whole_fractions_keep_their_form(spark):
     df = spark.createDataFrame([(1, '{"a": 1.0, "b": 1, "c": 100.0, "d": 1.50, "e": true}')], "k int, j string")
     got = {r.section: r.value for r in text.flatten_json(df, "j", ["k"]).collect()}
     assert got == {"a": "1.0", "b": "1", "c": "100.0", "d": "1.5", "e": "True"}
+
+
+def test_shape_of_office_files_and_guard_against_entities(spark):
+    from proofgrain.plans.scratch import docx_bytes, docx_table_bytes, zip_bytes
+    from proofgrain.sources import containers
+
+    bomb = zip_bytes({"word/document.xml": b'<!DOCTYPE d [<!ENTITY a "aaaa">]><d>&a;</d>'})
+    rows = [("a.docx", docx_bytes("one\ntwo")), ("b.docx", docx_table_bytes([[(1, "x"), (1, "y")]])), ("c.docx", bomb), ("d.txt", b"no")]
+    df = spark.createDataFrame(rows, "name string, content binary")
+    assert sorted(map(tuple, containers.extract_shape(df).collect())) == [("a.docx", 2, 0), ("b.docx", 2, 1), ("c.docx", 0, 0)]
+    assert {r.source_file: r.method for r in containers.extract_container_text(df).collect()}["c.docx"] == "local_docx_failed:ParseError"
+
+
+def test_combined_identity(spark):
+    from proofgrain.operators import match
+
+    rows = [(1, "f", "mark", "ABCX 1", 0.5), (1, "f", "number", "ABCX 123456", 0.6), (1, "f", "id", "old", 0.4), (2, "f", "mark", "XYZ 9", 0.5), (2, "f", "id", "", 0.99), (3, "f", "id", "stays", 0.1)]
+    df = spark.createDataFrame(rows, "packet_id int, form_id string, field_id string, value string, confidence double")
+    got = {(r.packet_id, r.field_id): (r.value, r.confidence) for r in match.combine_identity(df, "mark", "number", ["id"]).collect()}
+    assert got[1, "id"] == ("ABCX 123456", 0.95)
+    assert got[2, "id"][1] == 0.99 and got[2, "id"][0] and got[3, "id"] == ("stays", 0.1) and got[1, "mark"] == ("ABCX 1", 0.5)
