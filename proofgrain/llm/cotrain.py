@@ -223,7 +223,7 @@ def fitted(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed:
     known = staged(labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.max(F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("is_bad")), "labels")
     own = picked(rows, known.where(share_of(labelled, known.count())))
-    aside = [i % 4 == 0 for i in range(len(own["doc_id"]))]
+    aside = [xxhash.xxh32_intdigest(str(x)) % 4 == 0 for x in own["doc_id"]]
     train, held = ({c: [x for x, a in zip(v, aside, strict=True) if a == side] for c, v in own.items()} for side in (False, True))
     if min(sum(train["is_bad"]), sum(held["is_bad"]), len(train["is_bad"]) - sum(train["is_bad"]), len(held["is_bad"]) - sum(held["is_bad"])) < 1 or len(own["doc_id"]) < LEAST_ROWS:
         return views
