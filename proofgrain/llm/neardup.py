@@ -10,7 +10,8 @@ round leaves out pairs that are connected already:
 1. every node with the smallest node of any of its buckets,
 2. every node with the smallest node of each of its buckets,
 3. in buckets that still hold several components, the nodes outside the largest one with all
-   others, in blocks of bounded size, where the signatures agree well enough.
+   others, in blocks of bounded size, where the signatures agree well enough: first to see
+   which nodes have anything to be compared with, then with the sets of these.
 Round 3 looks at every pair that could still join two components, so no group is missed.
 
 With 24 bands of 5 minima, two documents of similarity 0.85 share no bucket with a chance of
@@ -181,8 +182,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-def across(buckets: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame:
-    """Round 3: pairs (a, b) of one bucket in different components, with agreeing signatures."""
+BESIDE = "band int, bucket bigint, m int, s int, side int, node binary, root binary, signature binary"
+KEYS = ["band", "bucket", "m", "s"]
+
+
+def mixed_blocks(buckets: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame:
+    """The buckets that still hold several components, in blocks: nodes outside the largest
+    component (side 0) beside nodes of the whole bucket (side 1)."""
     rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per_root = rooted.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
     mixed = per_root.groupBy("band", "bucket").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1").select(
@@ -191,34 +197,91 @@ def across(buckets: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame
     place = F.xxhash64("node")
     every = members.select("band", "bucket", F.pmod(place, F.col("m_blocks")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1)).alias("s"), F.lit(1).alias("side"), "node", "root", "signature")
     strays = members.where("root <> top").select("band", "bucket", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m"), F.pmod(place, F.col("s_blocks")).cast("int").alias("s"), F.lit(0).alias("side"), "node", "root", "signature")
-    keys = ["band", "bucket", "m", "s"]
-    dealt = strays.unionByName(every).repartition(*keys).sortWithinPartitions(*keys, "side", "node")
+    return strays.unionByName(every)
+
+
+def dealt_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "side", "node")
+
+
+def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """The rows of each block, which arrive together."""
+    mine, rows = None, []
+    for part in batches:
+        for row in part.to_pylist():
+            key = tuple(row[k] for k in KEYS)
+            if key != mine:
+                if rows:
+                    yield mine, rows
+                mine, rows = key, []
+            rows.append(row)
+    if rows:
+        yield mine, rows
+
+
+def worth_comparing(strays: np.ndarray, roots: list[bytes], member: dict, band: int) -> np.ndarray:
+    """The strays of another component whose signatures agree well enough with a member's, and
+    share no earlier band with it (there, the pair has its turn)."""
+    same = strays == np.frombuffer(member["signature"], np.uint32)
+    earlier = same.reshape(len(strays), BANDS, ROWS)[:, :band].all(axis=2).any(axis=1)
+    return np.array([i for i in np.flatnonzero((same.mean(axis=1) >= AGREEING) & ~earlier) if roots[i] != member["root"]], np.int64)
+
+
+def promising(blocks: DataFrame) -> DataFrame:
+    """The rows of the blocks that have anything to be compared with."""
+    schema = pa.schema([("band", pa.int32()), ("bucket", pa.int64()), ("m", pa.int32()), ("s", pa.int32()), ("side", pa.int32()), ("node", pa.binary()), ("root", pa.binary()), ("signature", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in block_runs(batches):
+            strays = [r for r in rows if r["side"] == 0]
+            prints, roots = np.array([np.frombuffer(r["signature"], np.uint32) for r in strays]), [r["root"] for r in strays]
+            wanted, out = set(), []
+            for row in rows[len(strays) :] if strays else ():
+                found = worth_comparing(prints, roots, row, key[0])
+                if len(found):
+                    wanted.update(found.tolist())
+                    out.append(row)
+            out += [strays[i] for i in sorted(wanted)]
+            if out:
+                yield batch(schema, *([r[f.name] for r in out] for f in schema))
+
+    return dealt_blocks(blocks).mapInArrow(run, BESIDE)
+
+
+def across(buckets: DataFrame, roots: DataFrame, prints: DataFrame, sets: DataFrame) -> DataFrame:
+    """Round 3: links (a, b) between components, found inside the buckets that hold several.
+
+    A block passes over pairs that its own links have connected already, so it never makes
+    more links than it has nodes.
+    """
+    some = staged(promising(mixed_blocks(buckets, roots, prints)), "promising")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, nodes, roots, prints, stacked = None, [], [], [], None
-        for part in batches:
+        for key, rows in block_runs(batches):
+            strays = [r for r in rows if r["side"] == 0]
+            prints, roots = np.array([np.frombuffer(r["signature"], np.uint32) for r in strays]), [r["root"] for r in strays]
+            held = [np.frombuffer(r["hashes"], np.uint64) for r in strays]
+            joined: dict[bytes, bytes] = {}
+
+            def top(x: bytes) -> bytes:
+                while x in joined:
+                    x = joined[x]
+                return x
+
             out: tuple[list, list] = ([], [])
-            for row in zip(*(part.column(c).to_pylist() for c in (*keys, "side", "node", "root", "signature")), strict=True):
-                group, (side, node, root, data) = row[:4], row[4:]
-                if group != mine:
-                    mine, nodes, roots, prints, stacked = group, [], [], [], None
-                values = np.frombuffer(data, np.uint32)
-                if side == 0:
-                    nodes.append(node)
-                    roots.append(root)
-                    prints.append(values)
-                    continue
-                if stacked is None:
-                    stacked = np.array(prints)
-                if len(nodes):
-                    for i in np.flatnonzero((stacked == values).mean(axis=1) >= AGREEING):
-                        if roots[i] != root:
-                            out[0].append(min(node, nodes[i]))
-                            out[1].append(max(node, nodes[i]))
-            yield batch(schema, *out)
+            for row in rows[len(strays) :] if strays else ():
+                values = np.frombuffer(row["hashes"], np.uint64)
+                for i in worth_comparing(prints, roots, row, key[0]):
+                    one, other = top(roots[i]), top(row["root"])
+                    if one != other and similar(held[i], values):
+                        joined[one] = other
+                        out[0].append(strays[i]["node"])
+                        out[1].append(row["node"])
+            if out[0]:
+                yield batch(schema, *out)
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt_blocks(some.join(sets, "node").select(*KEYS, "side", "node", "root", "signature", "hashes")).mapInArrow(run, "a binary, b binary")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -247,10 +310,13 @@ def groups(docs: DataFrame) -> DataFrame:
             out = out.join(roots().select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
         return out.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
-    for pairs in (lambda: rooted(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()), lambda: across(buckets.drop("head"), roots(), nodes.select("node", "signature"))):
-        more = staged(linked(staged(pairs(), "pairs"), sets), "links")
-        if not more.isEmpty():
-            forest = components(forest.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+    def heads() -> DataFrame:
+        return linked(staged(rooted(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()), "pairs"), sets)
+
+    for more in (heads, lambda: across(buckets.drop("head"), roots(), nodes.select("node", "signature"), sets)):
+        links = staged(more(), "links")
+        if not links.isEmpty():
+            forest = components(forest.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links))
 
     labelled = nodes.select("node", "least_id").join(roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -68,23 +68,29 @@ def test_groups_equal_brute_force(spark, monkeypatch, seed, block):
     assert found(neardup.near_duplicates(docs)) == brute(rows)
 
 
-def test_third_round_joins_what_no_head_joins(spark):
-    """Two nodes of one bucket, both unlike the bucket's head but like each other."""
+@pytest.mark.parametrize("block", [2048, 4])
+def test_third_round_alone_finds_every_group(spark, monkeypatch, block):
+    """All nodes in one bucket, none connected so far."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = near_copies(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = neardup.signatures(docs).where("node IS NOT NULL").select("node", "signature").distinct()
+    marked = neardup.signatures(docs).where("node IS NOT NULL")
+    nodes = marked.groupBy("node").agg({"signature": "min", "key": "min"}).toDF("node", "signature", "key")
     one_bucket = nodes.selectExpr("0 AS band", "0L AS bucket", "node")
-    pairs = neardup.across(one_bucket, nodes.selectExpr("node", "node AS root").limit(0), nodes)
-    named = {bytes(r.node): r.text for r in neardup.signatures(docs).join(docs, "doc_id").select("node", "text").where("node IS NOT NULL").collect()}
-    got = {frozenset((shingles_key(named[bytes(r.a)]), shingles_key(named[bytes(r.b)]))) for r in pairs.collect()}
-    texts = {shingles_key(t): shingles(t) for t in named.values()}
-    keys = list(texts)
-    want = {frozenset((x, y)) for i, x in enumerate(keys) for y in keys[:i] if 100 * len(texts[x] & texts[y]) >= 85 * len(texts[x] | texts[y])}
-    assert want <= got
+    links = neardup.across(one_bucket, nodes.selectExpr("node", "node AS root").limit(0), nodes.select("node", "signature"), neardup.whole_sets(docs, nodes.select("key", "node")))
+    least = {bytes(r.node): r.d for r in marked.groupBy("node").agg({"doc_id": "min"}).toDF("node", "d").collect()}
+    root = {i: i for i in least.values()}
 
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-def shingles_key(text):
-    return tuple(sorted(shingles(text)))
+    for r in links.collect():
+        x, y = find(least[bytes(r.a)]), find(least[bytes(r.b)])
+        root[max(x, y)] = min(x, y)
+    want = {i: c for i, n, c, _ in brute(rows) if n}
+    assert {i: find(i) for i in root} == {i: want[i] for i in root}
 
 
 def test_components_of_a_path_and_a_star(spark):
