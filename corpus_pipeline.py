@@ -14,6 +14,7 @@ from proofgrain.llm import cotrain, decontam, neardup, packing, secrets
 from proofgrain.llm.common import staged, table
 
 TOKENIZER = "word_bpe_49k.json"
+NEAR = 80  # percent of shared five-word shingles
 
 
 def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +24,7 @@ def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies, the one of the smallest doc_id stays."""
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ round leaves out pairs that are connected already:
    which nodes have anything to be compared with, then with the sets of these.
 Round 3 looks at every pair that could still join two components, so no group is missed.
 
-With 24 bands of 5 minima, two documents of similarity 0.85 share no bucket with a chance of
-8e-7; in round 3, the agreement asked for is 6 standard deviations below theirs.
+The similarity asked for is given in percent, and a ``Rule`` follows from it: as many bands of
+5 minima as it takes for two documents at it to share no bucket with a chance of at most 1e-6
+(24 at 85 percent, 35 at 80), and for round 3 an agreement of signatures 6 standard deviations
+below theirs.
 
 Null text has no words.  Rows that repeat a doc_id and text get the same result each.  A null
 doc_id counts as the largest.  Empty tables give no rows; other columns are ignored.
@@ -23,6 +25,8 @@ doc_id counts as the largest.  Empty tables give no rows; other columns are igno
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +37,33 @@ from pyspark.sql import functions as F
 
 from proofgrain.llm.common import batch, kept, row_key, slices, staged, unused, utf8
 
-WORDS, BANDS, ROWS = 5, 24, 5
+WORDS, ROWS = 5, 5
 SIMILAR = 85  # percent
-AGREEING = 0.65
+MISSED, DEVIATIONS = 1e-6, 6
 BLOCK = 2048
 WORDS_KEPT = 600_000
-SEED = np.random.RandomState(20240501)
-FACTORS = (SEED.randint(0, 2**31, (BANDS * ROWS, 1)).astype(np.uint32) << 1) | np.uint32(1)
-OFFSETS = SEED.randint(0, 2**31, (BANDS * ROWS, 1)).astype(np.uint32) * np.uint32(2) + SEED.randint(0, 2, (BANDS * ROWS, 1)).astype(np.uint32)
+SEED = 20240501
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
+class Rule:
+    """The bands, hash functions and agreement of signatures that a similarity asks for."""
+
+    def __init__(self, percent: int):
+        alike = percent / 100
+        self.percent, self.bands = percent, math.ceil(math.log(MISSED) / math.log1p(-(alike**ROWS))) if percent < 100 else 1
+        self.minima = self.bands * ROWS
+        self.agreeing = math.floor(100 * (alike - DEVIATIONS * math.sqrt(alike * (1 - alike) / self.minima))) / 100
+        seed = np.random.RandomState(SEED)
+        self.factors = (seed.randint(0, 2**31, (self.minima, 1)).astype(np.uint32) << 1) | np.uint32(1)
+        self.offsets = seed.randint(0, 2**31, (self.minima, 1)).astype(np.uint32) * np.uint32(2) + seed.randint(0, 2, (self.minima, 1)).astype(np.uint32)
+
+
+@functools.cache
+def rule(percent: int) -> Rule:
+    return Rule(percent)
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -72,16 +92,17 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
             hashes.popitem()
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """The minima of BANDS * ROWS universal hash functions over a set."""
+def signature(values: np.ndarray, percent: int = SIMILAR) -> np.ndarray:
+    """The minima of the rule's universal hash functions over a set."""
+    asked = rule(percent)
     x = (values >> np.uint64(32)).astype(np.uint32)
-    best = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    best = np.full(asked.minima, 2**32 - 1, np.uint32)
     for i in range(0, len(x), 4096):
-        np.minimum(best, (FACTORS * x[i : i + 4096] + OFFSETS).min(axis=1), out=best)
+        np.minimum(best, (asked.factors * x[i : i + 4096] + asked.offsets).min(axis=1), out=best)
     return best
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """key, doc_id, n_shingles, node (digest of the set, null if empty), signature."""
     rows = docs.select("doc_id", "text").select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.binary())])
@@ -92,7 +113,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for values in shingle_sets(utf8(part.column("text"))):
                 sizes.append(len(values))
                 nodes.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
-                found.append(signature(values).tobytes() if len(values) else None)
+                found.append(signature(values, percent).tobytes() if len(values) else None)
             yield batch(schema, part.column("key"), part.column("doc_id"), sizes, nodes, found)
 
     return rows.mapInArrow(run, "key binary, doc_id bigint, n_shingles bigint, node binary, signature binary")
@@ -120,7 +141,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILAR) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar.
 
     The set of ``a`` is sent once to each block of at most about BLOCK partners.
@@ -141,7 +162,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 values = np.frombuffer(hashes, np.uint64)
                 if b is None:
                     mine, head = a, values
-                elif a == mine and similar(head, values):
+                elif a == mine and similar(head, values, percent):
                     out[0].append(a)
                     out[1].append(b)
             yield batch(schema, *out)
@@ -219,15 +240,16 @@ def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[
         yield mine, rows
 
 
-def worth_comparing(strays: np.ndarray, roots: list[bytes], member: dict, band: int) -> np.ndarray:
+def worth_comparing(strays: np.ndarray, roots: list[bytes], member: dict, band: int, percent: int) -> np.ndarray:
     """The strays of another component whose signatures agree well enough with a member's, and
     share no earlier band with it (there, the pair has its turn)."""
+    asked = rule(percent)
     same = strays == np.frombuffer(member["signature"], np.uint32)
-    earlier = same.reshape(len(strays), BANDS, ROWS)[:, :band].all(axis=2).any(axis=1)
-    return np.array([i for i in np.flatnonzero((same.mean(axis=1) >= AGREEING) & ~earlier) if roots[i] != member["root"]], np.int64)
+    earlier = same.reshape(len(strays), asked.bands, ROWS)[:, :band].all(axis=2).any(axis=1)
+    return np.array([i for i in np.flatnonzero((same.mean(axis=1) >= asked.agreeing) & ~earlier) if roots[i] != member["root"]], np.int64)
 
 
-def promising(blocks: DataFrame) -> DataFrame:
+def promising(blocks: DataFrame, percent: int) -> DataFrame:
     """The rows of the blocks that have anything to be compared with."""
     schema = pa.schema([("band", pa.int32()), ("bucket", pa.int64()), ("m", pa.int32()), ("s", pa.int32()), ("side", pa.int32()), ("node", pa.binary()), ("root", pa.binary()), ("signature", pa.binary())])
 
@@ -237,7 +259,7 @@ def promising(blocks: DataFrame) -> DataFrame:
             prints, roots = np.array([np.frombuffer(r["signature"], np.uint32) for r in strays]), [r["root"] for r in strays]
             wanted, out = set(), []
             for row in rows[len(strays) :] if strays else ():
-                found = worth_comparing(prints, roots, row, key[0])
+                found = worth_comparing(prints, roots, row, key[0], percent)
                 if len(found):
                     wanted.update(found.tolist())
                     out.append(row)
@@ -248,13 +270,13 @@ def promising(blocks: DataFrame) -> DataFrame:
     return dealt_blocks(blocks).mapInArrow(run, BESIDE)
 
 
-def across(buckets: DataFrame, roots: DataFrame, prints: DataFrame, sets: DataFrame) -> DataFrame:
+def across(buckets: DataFrame, roots: DataFrame, prints: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """Round 3: links (a, b) between components, found inside the buckets that hold several.
 
     A block passes over pairs that its own links have connected already, so it never makes
     more links than it has nodes.
     """
-    some = staged(promising(mixed_blocks(buckets, roots, prints)), "promising")
+    some = staged(promising(mixed_blocks(buckets, roots, prints), percent), "promising")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +294,9 @@ def across(buckets: DataFrame, roots: DataFrame, prints: DataFrame, sets: DataFr
             out: tuple[list, list] = ([], [])
             for row in rows[len(strays) :] if strays else ():
                 values = np.frombuffer(row["hashes"], np.uint64)
-                for i in worth_comparing(prints, roots, row, key[0]):
+                for i in worth_comparing(prints, roots, row, key[0], percent):
                     one, other = top(roots[i]), top(row["root"])
-                    if one != other and similar(held[i], values):
+                    if one != other and similar(held[i], values, percent):
                         joined[one] = other
                         out[0].append(strays[i]["node"])
                         out[1].append(row["node"])
@@ -284,11 +306,11 @@ def across(buckets: DataFrame, roots: DataFrame, prints: DataFrame, sets: DataFr
     return dealt_blocks(some.join(sets, "node").select(*KEYS, "side", "node", "root", "signature", "hashes")).mapInArrow(run, "a binary, b binary")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """Per row: key, doc_id, n_shingles, node, component_id (the smallest doc_id reachable)."""
-    rows = staged(signatures(docs), "signatures")
+    rows = staged(signatures(docs, percent), "signatures")
     nodes = staged(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.min("signature").alias("signature")), "nodes")
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS)).alias("bucket")) for b in range(BANDS)])
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS)).alias("bucket")) for b in range(rule(percent).bands)])
     members = nodes.select("node", F.explode(bands).alias("x")).select("x.band", "x.bucket", "node")
     heads = members.groupBy("band", "bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "bucket", "head")
     buckets = staged(members.join(heads, ["band", "bucket"]), "buckets")
@@ -297,7 +319,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
     stars = buckets.where("node <> head").select("head", "node")
     first = stars.groupBy("node").agg(F.min("head").alias("a")).select("a", F.col("node").alias("b"))
-    edges = staged(linked(first, sets), "links")
+    edges = staged(linked(first, sets, percent), "links")
     forest = components(edges)
 
     def roots() -> DataFrame:
@@ -311,9 +333,9 @@ def groups(docs: DataFrame) -> DataFrame:
         return out.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
     def heads() -> DataFrame:
-        return linked(staged(rooted(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()), "pairs"), sets)
+        return linked(staged(rooted(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()), "pairs"), sets, percent)
 
-    for more in (heads, lambda: across(buckets.drop("head"), roots(), nodes.select("node", "signature"), sets)):
+    for more in (heads, lambda: across(buckets.drop("head"), roots(), nodes.select("node", "signature"), sets, percent)):
         links = staged(more(), "links")
         if not links.isEmpty():
             forest = components(forest.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links))
@@ -330,9 +352,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """The documents without near copies of a smaller doc_id; rows that repeat stay once."""
-    found = groups(docs)
+    found = groups(docs, percent)
     alone = found.where("root IS NULL").select("key")
     chosen = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select("x.key")
     key = unused(docs, "row_key")

@@ -106,3 +106,65 @@ def test_awkward_rows(awkward, no_docs):
     left = neardup.one_of_each(awkward)
     assert left.columns == awkward.columns
     assert sorted(r.doc_id or -1 for r in left.collect()) == [-1, 1, 2, 3, 4, 6, 9, 10, 11]
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_stage_at_80_percent_equals_brute_force(spark, monkeypatch, block):
+    """Pairs between 0.80 and 0.85 as well, one of them at 0.80 exactly."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = near_copies(4)
+    base = [f"v{i}" for i in range(200)]
+    for place in ((100,), (40, 80), (20, 60, 100, 140), (20, 60, 100, 140, 180)):
+        rows.append((len(rows), " ".join(f"x{len(rows)}" if i in place else w for i, w in enumerate(base))))
+    exact = [f"u{i}" for i in range(13)]
+    rows += [(len(rows), " ".join(exact[:12])), (len(rows) + 1, " ".join(exact[:11] + ["z"])), (len(rows) + 2, " ".join(exact))]
+    exact = [f"t{i}" for i in range(14)]
+    rows += [(len(rows), " ".join(exact[:12])), (len(rows) + 1, " ".join(exact))]
+    sets = [shingles(t) for _, t in rows]
+    near = [100 * len(x & y) / len(x | y) for i, x in enumerate(sets) for y in sets[:i] if x and y]
+    assert any(p == 80 for p in near) and sum(80 <= p < 85 for p in near) > 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
+    assert kept == {i for i, least in enumerate(components_at(sets, 80)) if i == least}
+    assert kept != {i for i, least in enumerate(components_at(sets, 85)) if i == least}
+
+
+def components_at(sets, percent):
+    """The smallest position that each position reaches."""
+    least = list(range(len(sets)))
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                least[high] = low
+    return [find(i) for i in range(len(sets))]
+
+
+def test_rules_follow_from_the_similarity():
+    for percent, bands in ((85, 24), (80, 35), (100, 1)):
+        asked = neardup.rule(percent)
+        alike = percent / 100
+        assert asked.bands == bands and (1 - alike**neardup.ROWS) ** bands <= 1e-6
+        assert alike - asked.agreeing >= 6 * (alike * (1 - alike) / asked.minima) ** 0.5
+
+
+def test_pipeline_stages_at_80(spark, monkeypatch):
+    """Every check of the pipeline's stages, with the near copies of 0.80 and more."""
+    import test_cotrain_pipeline
+    import test_neardup
+
+    def at_80(rows):
+        rows = sorted(rows)
+        least = components_at([shingles(t) for _, t in rows], 80)
+        return [(i, 0, rows[c][0], c == at) for at, ((i, _), c) in enumerate(zip(rows, least, strict=True))]
+
+    monkeypatch.setattr(test_neardup, "brute", at_80)
+    test_cotrain_pipeline.test_pipeline_stages(spark)
