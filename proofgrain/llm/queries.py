@@ -44,7 +44,7 @@ def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.report(table(spark, sf_dir, "documents"), others=secrets.OTHERS)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

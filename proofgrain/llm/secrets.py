@@ -5,8 +5,10 @@ adds ``entropy`` spans.  A candidate is a maximal run of key characters.  A wind
 width slides over it; the counts of its characters, and the sum of c*log2(c) over them, change
 with the one character that enters and the one that leaves (in whole units of 2**-20 bits, so
 no rounding gathers).  Windows fall into a class by their characters (hex digits with a
-digit, or upper case with lower case and digits); those whose Shannon entropy reaches their
-class's threshold are joined into spans.  Candidates that match the allow-list add nothing.
+digit, or upper case with lower case and digits; with ``others``, the classes named there as
+well); those whose Shannon entropy reaches their class's threshold are joined into spans.
+From a candidate of a shape on the allow-list, what is harmless is cut out (an identifier, a
+word such as "example", the slashes of a path), and the pieces between are judged.
 
 Only DataFrame functions are used: each document is one row, nothing is shuffled.  Null text
 is empty.  Positions are code points, the end exclusive.  Repeated rows get a row each, empty
@@ -32,6 +34,11 @@ ALLOWED = (
     r"(?i).*(example|placeholder|changeme|dummy).*",
     r"(/[A-Za-z0-9_-]+){3,}/?",  # paths
 )
+#: What is cut out of candidates of these shapes.
+CUTS = tuple(zip(ALLOWED, (ALLOWED[0], "(?i)example|placeholder|changeme|dummy", "/"), strict=True))
+#: Thresholds of the other classes: what 99 of 100 random windows of 20 from 36, 32, 10, 52 and
+#: 26 characters reach.  Signs (+/_=-) are of no class.
+OTHERS = {"lower_digit": 3.41, "upper_digit": 3.35, "digit": 2.5, "letters": 3.58, "one_case": 3.21}
 UNIT = 1 << 20
 
 
@@ -51,10 +58,23 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def entropy_runs(value: Column, width: int, hex_bits: float, mixed_bits: float) -> Column:
+def pieces(value: Column, cuts: tuple[tuple[str, str], ...], width: int) -> Column:
+    """The parts of a candidate that are judged: array of struct(start, value) within it."""
+    def between(cut: Column) -> Column:
+        starts, ends = F.transform(cut, lambda x: x["start"]), F.transform(cut, lambda x: x["end"])
+        parts = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(starts, F.array(F.length(value))), lambda a, b: F.struct(a.alias("start"), F.substring(value, a + 1, b - a).alias("value")))
+        return F.filter(parts, lambda x: F.length(x["value"]) >= width)
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    found = [F.when(value.rlike(f"^(?:{shape})$"), matches(value, cut)).otherwise(none) for shape, cut in cuts]
+    return let(F.array_sort(F.concat(none, *found)), between)
+
+
+def entropy_runs(value: Column, width: int, hex_bits: float, mixed_bits: float, others: dict[str, float]) -> Column:
     """The joined hot windows of one string: array of struct(start, end) within it."""
     xlogx = F.array(*[F.lit(round(UNIT * c * math.log2(c)) if c else 0).cast("bigint") for c in range(width + 2)])
-    hex_most, mixed_most = (round(UNIT * width * (math.log2(width) - bits)) for bits in (hex_bits, mixed_bits))
+    hex_most, mixed_most, *most = (round(UNIT * width * (math.log2(width) - bits)) for bits in (hex_bits, mixed_bits, *others.values()))
+    most = dict(zip(others, most, strict=True))
     spans = F.array().cast("array<struct<start:int,end:int>>")
 
     def state(counts, total, a, b, out) -> Column:
@@ -73,8 +93,11 @@ def entropy_runs(value: Column, width: int, hex_bits: float, mixed_bits: float)
             return F.aggregate(F.slice(s["counts"], first + 1, n), F.lit(0), lambda x, y: x + y)
 
         digits, lower_hex, upper_hex, lower, upper = some(0, 10), some(10, 6), some(16, 6), some(22, 20), some(42, 20)
-        hot = F.when(end < width, False).when(digits == 0, False).when(digits + lower_hex + upper_hex == width, s["total"] <= hex_most).otherwise(
-            (lower_hex + lower > 0) & (upper_hex + upper > 0) & (s["total"] <= mixed_most))
+        small, large = lower_hex + lower > 0, upper_hex + upper > 0
+        hot = F.when(end < width, False).when((digits > 0) & (digits + lower_hex + upper_hex == width), s["total"] <= hex_most).when((digits > 0) & small & large, s["total"] <= mixed_most)
+        for name, where in (("lower_digit", (digits > 0) & small), ("upper_digit", (digits > 0) & large), ("digit", digits > 0), ("letters", small & large), ("one_case", small | large)):
+            hot = hot.when(where, s["total"] <= most[name] if name in most else F.lit(False))
+        hot = hot.otherwise(False)
         apart = (s["b"] < 0) | (end - width > s["b"])
         return let(hot, lambda h: state(
             s["counts"], s["total"], F.when(h & apart, end - width).otherwise(s["a"]), F.when(h, end).otherwise(s["b"]),
@@ -89,21 +112,22 @@ def entropy_runs(value: Column, width: int, hex_bits: float, mixed_bits: float)
     return let(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), walked)
 
 
-def scan(docs: DataFrame, width: int = 20, hex_bits: float = 2.9, mixed_bits: float = 3.6, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """All columns of ``docs``, and last the spans: array of struct(start, rank of the kind, end)."""
+def scan(docs: DataFrame, width: int = 20, hex_bits: float = 2.9, mixed_bits: float = 3.6, cuts: tuple[tuple[str, str], ...] = CUTS, others: dict[str, float] | None = None) -> DataFrame:
+    """All columns of ``docs``, and last the spans: array of struct(start, rank of the kind, end).
+
+    Without ``others``, windows of the classes named in OTHERS are never hot.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_kind(rank: int, found: Column, keep) -> Column:
         return F.transform(F.filter(found, keep), lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
 
     def hot(m: Column) -> Column:
-        return F.transform(entropy_runs(m["value"], width, hex_bits, mixed_bits), lambda r: F.struct((m["start"] + r["start"]).alias("start"), F.lit(3).alias("rank"), (m["start"] + r["end"]).alias("end")))
+        return F.flatten(F.transform(pieces(m["value"], cuts, width), lambda x: F.transform(entropy_runs(x["value"], width, hex_bits, mixed_bits, others or {}), lambda r: F.struct(
+            (m["start"] + x["start"] + r["start"]).alias("start"), F.lit(3).alias("rank"), (m["start"] + x["start"] + r["end"]).alias("end")))))
 
     def suspect(m: Column) -> Column:
-        fine = F.lit(False)
-        for pattern in allowed:
-            fine = fine | m["value"].rlike(f"^(?:{pattern})$")
-        return ~fine & m["value"].rlike("[0-9]")
+        return F.lit(True) if others else m["value"].rlike("[0-9]")
 
     spans = F.concat(
         of_kind(0, matches(text, ASSIGN, 2), lambda m: F.length(m["value"]) >= 6),

@@ -129,3 +129,66 @@ def test_proximity(spark):
     key = {bytes(r.key): r.doc_id for r in decontam.document_words(docs).collect()}
     got = {key[bytes(r.key)]: r["first"] for r in decontam.proximity_matches(docs, items, terms=3, span=6).collect()}
     assert got == {1: 0, 3: 0}
+
+
+def hot_class(w):
+    """The name of a window's class, as OTHERS has it, or hex or mixed."""
+    digit, lower, upper = (re.search(p, w) for p in ("[0-9]", "[a-z]", "[A-Z]"))
+    if digit and re.fullmatch("[0-9a-fA-F]+", w):
+        return "hex"
+    if digit:
+        return "mixed" if lower and upper else "lower_digit" if lower else "upper_digit" if upper else "digit"
+    return "letters" if lower and upper else "one_case" if lower or upper else None
+
+
+def brute_every_class(text):
+    """Sorted (start, end) of the entropy spans."""
+    bits = {"hex": HEX_BITS, "mixed": MIXED_BITS, **secrets.OTHERS}
+    spans = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % WIDTH, text or ""):
+        cut = [False] * len(m[0])
+        for shape, part in secrets.CUTS:
+            if re.fullmatch(shape, m[0]):
+                for x in re.finditer(part, m[0]):
+                    cut[x.start() : x.end()] = [True] * len(x[0])
+        runs = []
+        for i in range(len(m[0]) - WIDTH + 1):
+            w = m[0][i : i + WIDTH]
+            name = hot_class(w)
+            if any(cut[i : i + WIDTH]) or name is None or entropy(w) < bits[name] - 1e-9:
+                continue
+            if runs and i <= runs[-1][1]:
+                runs[-1][1] = i + WIDTH
+            else:
+                runs.append([i, i + WIDTH])
+        spans += [(m.start() + a, m.start() + b) for a, b in runs]
+    return spans
+
+
+TOKENS = {
+    "lower_digit": "k3v9x0q7m2w8z5t1b6n4", "upper_digit": "JBSWY3DPEHPK3PXQ7TZ2", "digit": "8305-9271/4460_1739=", "letters": "qZrTvLxKpWmNcYbHsJdF", "one_case": "qwzrtvlxkpmncybhsjdf", "mixed": "q8ZrT2vLx0KpW5mNc7Yb", "hex": "03f5d6b1a7c92e48d0b6"}
+
+
+def test_every_class_has_a_threshold(spark):
+    key = TOKENS["mixed"] + "3HsJ"
+    texts = TEXTS + [f"see {t} end" for t in TOKENS.values()] + [
+        f"example_{key}", f"{key}-dummy", f"a=Placeholder/{key}/x", f"/srv/keys/{key}/pem", f"/srv/EXAMPLE/{key}", "antidisestablishmentarianism", "aaaaaaaaaaaaaaaaaaaaaaaa", "-" * 30, "123e4567-e89b-12d3-a456-426614174000"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("entropy")] for r in secrets.report(docs, others=secrets.OTHERS).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == brute_every_class(t), t
+    for i, (name, token) in enumerate(TOKENS.items(), len(TEXTS)):
+        assert hot_class(token) == name and found[i] == [(4, 24)], name
+    for i in range(len(TEXTS) + len(TOKENS), len(TEXTS) + len(TOKENS) + 5):
+        assert any(a <= texts[i].index(key) and b >= texts[i].index(key) + len(key) for a, b in found[i]), texts[i]
+    assert found[len(texts) - 1] == []
+
+
+def test_query_and_stage_look_for_every_class(spark, tmp_path):
+    import corpus_pipeline
+    from proofgrain.llm import queries
+
+    docs = spark.createDataFrame([(i, f"x {t} y", 24) for i, t in enumerate(TOKENS.values())], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert all("entropy:2:22" in r.spans for r in queries.op9_secret_scan(spark, str(tmp_path)).collect())
+    assert {r.text for r in corpus_pipeline.redact_secrets(spark, docs, "").collect()} == {"x [secret] y"}
