@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrain.llm import classlm, cotrain, decontam, huffman, neardup, packing, secrets, suffixes, topk, warc
+from proofgrain.llm import bytebpe, classlm, cotrain, decontam, huffman, lexical, neardup, packing, secrets, suffixes, topk, warc, whitening
 from proofgrain.llm.common import table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,5 +51,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cotraining, op2_packing, op3_huffman_ids, op4_repeated_bytes, op5_class_ngrams, op6_near_duplicates, op7_warc, op8_exact_search, op9_secret_scan, op10_decontamination)}
-ORACLES = {"op6_near_duplicates": neardup.SQL, "op7_warc": warc.SQL, "op8_exact_search": topk.SQL, "op10_decontamination": decontam.SQL}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_cotraining, op2_packing, op3_huffman_ids, op4_repeated_bytes, op5_class_ngrams, op6_near_duplicates, op7_warc, op8_exact_search,
+    op9_secret_scan, op10_decontamination, op11_byte_bpe, op12_whitening, op13_lexical_search)}
+ORACLES = {"op6_near_duplicates": neardup.SQL, "op7_warc": warc.SQL, "op8_exact_search": topk.SQL, "op10_decontamination": decontam.SQL, "op13_lexical_search": lexical.SQL}
