@@ -59,6 +59,13 @@ def kept(name: str, build: Callable[[], Any]) -> Any:
     return getattr(store, name)
 
 
+def let_go(name: str) -> None:
+    """Empties what ``kept`` holds under a name, for steps that no longer need it."""
+    store = sys.modules.get("_llm_worker_state")
+    if store and hasattr(store, name):
+        delattr(store, name)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a like one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -4,13 +4,16 @@ The text view sees the words and the shape of the text, the metadata view sees l
 source and recorded length.  A document is bad if its label says low quality or toxic.  Each
 view is a logistic regression.  In every round both score all unlabelled documents; each
 hands its most certain ones to the other as further training rows.  In the end both views are
-calibrated on labelled rows kept aside, and their log-odds are added.
+calibrated on labelled rows kept aside, and their log-odds are added.  A document is rejected
+from a probability of ``REJECTED`` on, or from a higher one where that rejects more than
+``GOOD_LOST`` of the good rows kept aside.
 
 Features of all documents are written once and scored by Spark.  Only the fit is local: it
 sees at most about ``labelled`` labelled rows and ``handed`` rows per round and view, taken by
 the hash of their doc_id.  Where labels are few or of one class only, no document is rejected.
 
-Null texts are empty; null metadata is a value of its own.  A doc_id with several labels is
+Null texts are empty; null metadata is a value of its own, and so is a recorded length that is
+no finite number.  A doc_id with several labels is
 bad if one of them says so.  Repeated documents get a row each.  Empty tables give no rows;
 other columns are ignored.
 """
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +30,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrain.llm.common import batch, kept, row_key, staged, unused, utf8
+from proofgrain.llm.common import batch, kept, let_go, row_key, staged, unused, utf8
 
 LABELLED, HANDED, ROUNDS = 16_000, 3_000, 2
-CERTAIN, REJECTED = 0.99, 0.4
+CERTAIN, REJECTED, GOOD_LOST = 0.99, 0.4, 0.005
 BITS = 20
 STEMS = (4, 5)
 LEAST_ROWS = 20
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 EDGES = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
+#: Rows widened at once, in tasks and in the fit.
+SLICE = 512
 FEATURES = "key binary, doc_id bigint, meta array<string>, shape array<float>, words binary"
 
 
 class WordIds(dict):
-    """The hashed ids of a word without punctuation at its ends, and of how it begins."""
+    """The hashed ids (little-endian 32-bit) of a word without punctuation at its ends, and of
+    how it begins."""
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         bare = word.strip(EDGES)
         parts = [bare, *(bare[:n] + b"*" for n in STEMS if len(bare) > n)]
-        found = tuple(xxhash.xxh32_intdigest(x) >> (32 - BITS) for x in parts)
+        found = b"".join([(xxhash.xxh32_intdigest(x) >> (32 - BITS)).to_bytes(4, "little") for x in parts])
         if len(self) < WORDS_KEPT:
             self[word] = found
         return found
@@ -58,7 +64,7 @@ def text_features(text: bytes) -> tuple[list[float], np.ndarray]:
     n, words = len(text), text.lower().split()
     ids = kept("word_ids", WordIds)
     distinct = set(words)
-    found = np.unique(np.fromiter(chain.from_iterable(map(ids.__getitem__, distinct)), np.int32))
+    found = np.unique(np.frombuffer(b"".join(map(ids.__getitem__, distinct)), "<i4"))
     lines = [x for x in text.split(b"\n") if x.strip()]
 
     def share(drop: bytes) -> float:
@@ -70,9 +76,17 @@ def text_features(text: bytes) -> tuple[list[float], np.ndarray]:
     return shape, found
 
 
+def size_class(n_chars: object) -> str:
+    """A recorded length in quarters of powers of two; what is no finite number is ``none``."""
+    try:
+        value = float(n_chars)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return "none"
+    return str(int(4 * math.log2(1 + max(0.0, value)))) if math.isfinite(value) else "none"
+
+
 def meta_values(lang: object, source: object, n_chars: object) -> list[str]:
-    size = "none" if n_chars is None else str(int(4 * math.log2(1 + max(0, float(n_chars)))))
-    return [f"lang={lang}", f"source={source}", f"size={size}", f"lang={lang}/source={source}"]
+    return [f"lang={lang}", f"source={source}", f"size={size_class(n_chars)}", f"lang={lang}/source={source}"]
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -83,9 +97,11 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            found = [text_features(x) for x in utf8(part.column("text"))]
-            meta = [meta_values(*x) for x in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
-            yield batch(schema, part.column("key"), part.column("doc_id"), meta, [x[0] for x in found], [x[1].tobytes() for x in found])
+            for at in range(0, part.num_rows, SLICE):
+                some = part.slice(at, SLICE)
+                found = [text_features(x) for x in utf8(some.column("text"))]
+                meta = [meta_values(*x) for x in zip(*(some.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
+                yield batch(schema, some.column("key"), some.column("doc_id"), meta, [x[0] for x in found], [x[1].tobytes() for x in found])
 
     return rows.mapInArrow(run, FEATURES)
 
@@ -95,15 +111,39 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Rows of sparse binary features (one array of ids each) and dense ones."""
+    """Rows of sparse binary features (32-bit ids side by side, and where each row begins) and
+    dense ones.  Sums over ids go through the rows slice by slice, so what a slice gathers is
+    all that is widened."""
 
-    def __init__(self, sparse: list[np.ndarray], dense: np.ndarray):
-        self.ids = np.concatenate(sparse) if sparse else np.zeros(0, np.int64)
-        self.of = np.repeat(np.arange(len(sparse)), [len(x) for x in sparse])
-        self.dense, self.n = dense, len(sparse)
+    def __init__(self, ids: np.ndarray, begin: np.ndarray, dense: np.ndarray):
+        self.ids, self.begin, self.dense, self.n = ids, begin, dense, len(begin) - 1
+
+    def slices(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        for a in range(0, self.n, SLICE):
+            b = min(self.n, a + SLICE)
+            yield a, b, self.ids[self.begin[a] : self.begin[b]]
 
     def margins(self, weights: np.ndarray, dense_weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, weights[self.ids], self.n) + self.dense @ dense_weights
+        out = self.dense @ dense_weights
+        for a, b, ids in self.slices():
+            run = np.concatenate([[0.0], np.cumsum(weights[ids])])
+            at = self.begin[a : b + 1] - self.begin[a]
+            out[a:b] += run[at[1:]] - run[at[:-1]]
+        return out
+
+    def spread(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Of every id, the sum of the values of the rows that hold it."""
+        out = np.zeros(size)
+        for a, b, ids in self.slices():
+            out += np.bincount(ids, np.repeat(values[a:b], np.diff(self.begin[a : b + 1])), size)
+        return out
+
+    def of_ids(self, place: np.ndarray) -> Rows:
+        """With the ids that ``place`` gives, without those that it sets to -1."""
+        held = place[self.ids]
+        used = held >= 0
+        begin = np.concatenate([[0], np.cumsum(used)])[self.begin]
+        return Rows(held[used], begin, self.dense)
 
 
 class Logistic:
@@ -118,33 +158,34 @@ class Logistic:
     def scaled(self, dense: np.ndarray) -> np.ndarray:
         return np.concatenate([(dense - self.mean) / self.scale, np.ones((len(dense), 1))], axis=1)
 
-    def fit(self, sparse: list[np.ndarray], dense: np.ndarray, bad: np.ndarray, steps: int = 200) -> None:
-        seen = np.bincount(np.concatenate(sparse), minlength=self.size)
+    def fit(self, given: Rows, bad: np.ndarray, steps: int = 200) -> None:
+        seen = np.bincount(given.ids, minlength=self.size)
         used = np.flatnonzero(seen >= self.least)
-        place = np.full(self.size, -1)
+        place = np.full(self.size, -1, np.int32)
         place[used] = np.arange(len(used))
-        self.mean, self.scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
-        rows = Rows([x[x >= 0] for x in (place[x] for x in sparse)], self.scaled(dense))
+        self.mean, self.scale = given.dense.mean(axis=0), given.dense.std(axis=0) + 1e-6
+        rows = given.of_ids(place)
+        rows.dense = self.scaled(given.dense)
         w = np.zeros(len(used) + rows.dense.shape[1])
         first, second = np.zeros_like(w), np.zeros_like(w)
         ridge = np.full(len(w), self.ridge / rows.n)
         ridge[-1] = 0
         for step in range(1, steps + 1):  # Adam over all rows, with a rate that falls to zero
             error = (sigmoid(rows.margins(w[: len(used)], w[len(used) :])) - bad) / rows.n
-            slope = np.concatenate([np.bincount(rows.ids, error[rows.of], len(used)), error @ rows.dense]) + ridge * w
+            slope = np.concatenate([rows.spread(error, len(used)), error @ rows.dense]) + ridge * w
             first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
             w -= 0.3 * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
         self.weights = np.zeros(self.size)
         self.weights[used], self.dense_weights = w[: len(used)], w[len(used) :]
         self.slope, self.shift = 1.0, 0.0
 
-    def log_odds(self, sparse: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        return self.slope * Rows(sparse, self.scaled(dense)).margins(self.weights, self.dense_weights) + self.shift
+    def log_odds(self, rows: Rows) -> np.ndarray:
+        return self.slope * Rows(rows.ids, rows.begin, self.scaled(rows.dense)).margins(self.weights, self.dense_weights) + self.shift
 
-    def calibrate(self, sparse: list[np.ndarray], dense: np.ndarray, bad: np.ndarray) -> None:
+    def calibrate(self, rows: Rows, bad: np.ndarray) -> None:
         """Platt scaling on rows that the fit has not seen."""
         self.slope, self.shift = 1.0, 0.0
-        x = self.log_odds(sparse, dense)
+        x = self.log_odds(rows)
         target = np.where(bad, (bad.sum() + 1) / (bad.sum() + 2), 1 / ((~bad).sum() + 2))
         a, b = 1.0, 0.0
         for _ in range(50):
@@ -160,44 +201,56 @@ class Logistic:
 META_BITS = 12
 
 
-def meta_ids(values: list[list[str]]) -> list[np.ndarray]:
-    return [np.array([xxhash.xxh32_intdigest(v) >> (32 - META_BITS) for v in x], np.int64) for x in values]
-
-
-def word_ids(values: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int32).astype(np.int64) for x in values]
+def both_views(meta: pa.Array, shape: pa.Array, words: pa.Array) -> tuple[Rows, Rows]:
+    """The rows of the text view and of the metadata view, from columns of features."""
+    n = len(words)
+    if not n:
+        empty = Rows(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 0)))
+        return empty, empty
+    blobs = words.to_pylist()
+    begin = np.concatenate([[0], np.cumsum([len(x) // 4 for x in blobs])])
+    text = Rows(np.frombuffer(b"".join(blobs), "<i4"), begin, np.asarray(shape.flatten(), np.float64).reshape(n, -1))
+    values = meta.to_pylist()
+    ids = np.array([xxhash.xxh32_intdigest(v) >> (32 - META_BITS) for x in values for v in x], np.int32)
+    return text, Rows(ids, np.concatenate([[0], np.cumsum([len(x) for x in values])]), np.zeros((n, 0)))
 
 
 class Views:
-    """The two classifiers, and what they say together."""
+    """The two classifiers, what they say together, and from where on that rejects."""
 
     def __init__(self) -> None:
         self.text, self.meta, self.prior = Logistic(1 << BITS, 2.0, 3), Logistic(1 << META_BITS, 8.0, 1), 0.0
-        self.ready = False
-
-    def arrays(self, rows: dict) -> tuple[tuple, tuple]:
-        shape = np.array(rows["shape"], np.float64).reshape(len(rows["shape"]), -1)
-        return (word_ids(rows["words"]), shape), (meta_ids(rows["meta"]), np.zeros((len(rows["meta"]), 0)))
+        self.rejected, self.ready = REJECTED, False
 
-    def log_odds(self, rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def log_odds(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of being bad: by text, by metadata, by both."""
-        n = len(rows["words"])
-        if not self.ready or not n:
-            never = np.full(n, -35.0)
+        if not self.ready or not text.n:
+            never = np.full(text.n, -35.0)
             return never, never, never
-        text, meta = self.arrays(rows)
-        t, m = self.text.log_odds(*text), self.meta.log_odds(*meta)
+        t, m = self.text.log_odds(text), self.meta.log_odds(meta)
         return t, m, t + m - self.prior
 
+    def choose_threshold(self, text: Rows, meta: Rows, bad: np.ndarray) -> None:
+        """``REJECTED``, or higher where that would reject more than ``GOOD_LOST`` of the good
+        rows kept aside.  Where these are too few to tell, their tail is drawn out: by one unit
+        of log-odds, e times fewer rows lie above."""
+        good = np.sort(self.log_odds(text, meta)[2][~bad])[::-1]
+        lost = GOOD_LOST * (len(good) + 1)
+        edge = good[int(lost)] if lost >= 1 else good[0] - math.log(lost)
+        self.rejected = max(REJECTED, float(sigmoid(np.nextafter(edge, math.inf))))
+
 
 def scored(rows: DataFrame, views: Views) -> DataFrame:
     """key, doc_id, text_bad, meta_bad, bad (probabilities) of rows with features."""
     schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("text_bad", pa.float64()), ("meta_bad", pa.float64()), ("bad", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("word_ids")
         for part in batches:
-            found = views.log_odds(part.to_pydict())
-            yield batch(schema, part.column("key"), part.column("doc_id"), *(sigmoid(x) for x in found))
+            for at in range(0, part.num_rows, SLICE):
+                some = part.slice(at, SLICE)
+                found = views.log_odds(*both_views(*(some.column(c) for c in ("meta", "shape", "words"))))
+                yield batch(schema, some.column("key"), some.column("doc_id"), *(sigmoid(x) for x in found))
 
     return rows.mapInArrow(run, "key binary, doc_id bigint, text_bad double, meta_bad double, bad double")
 
@@ -207,14 +260,38 @@ def share_of(bound: int, n: int):
     return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / max(1, n)))
 
 
-def picked(rows: DataFrame, few: DataFrame) -> dict:
-    """The features of a bounded choice of rows, which ``few`` names by ``on`` and a label."""
-    found = rows.join(F.broadcast(few), few.columns[0]).select("doc_id", "meta", "shape", "words", "is_bad").toArrow().sort_by("doc_id").to_pydict()
-    return found
+@dataclass
+class Held:
+    """Rows on the driver: both views, and whether each is bad."""
+
+    text: Rows
+    meta: Rows
+    bad: np.ndarray
+
+    def where(self, chosen: np.ndarray) -> Held:
+        return Held(*(taken(rows, chosen) for rows in (self.text, self.meta)), self.bad[chosen])
+
+
+def taken(rows: Rows, chosen: np.ndarray) -> Rows:
+    size = np.diff(rows.begin)
+    return Rows(rows.ids[np.repeat(chosen, size)], np.concatenate([[0], np.cumsum(size[chosen])]), rows.dense[chosen])
+
+
+def together(parts: list[Held]) -> Held:
+    def joined(rows: list[Rows]) -> Rows:
+        size = np.concatenate([np.diff(r.begin) for r in rows])
+        return Rows(np.concatenate([r.ids for r in rows]), np.concatenate([[0], np.cumsum(size)]), np.concatenate([r.dense for r in rows if r.n] or [rows[0].dense]))
+
+    return Held(joined([p.text for p in parts]), joined([p.meta for p in parts]), np.concatenate([p.bad for p in parts]))
 
 
-def together(parts: list[dict]) -> dict:
-    return {c: [x for p in parts for x in p[c]] for c in ("meta", "shape", "words", "is_bad")}
+def picked(rows: DataFrame, few: DataFrame) -> tuple[np.ndarray, Held]:
+    """The doc_ids and features of a bounded choice of rows, which ``few`` names by its first
+    column and a label."""
+    found = rows.join(F.broadcast(few), few.columns[0]).select("doc_id", "meta", "shape", "words", "is_bad").toArrow()
+    found = found.take(np.argsort(found.column("doc_id").to_numpy(), kind="stable")).combine_chunks()
+    meta, shape, words, bad = (found.column(c).combine_chunks() for c in ("meta", "shape", "words", "is_bad"))
+    return found.column("doc_id").to_numpy(), Held(*both_views(meta, shape, words), np.asarray(bad.to_numpy(zero_copy_only=False), bool))
 
 
 def fitted(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: int = HANDED, rounds: int = ROUNDS) -> Views:
@@ -222,27 +299,28 @@ def fitted(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed:
     views = Views()
     known = staged(labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.max(F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("is_bad")), "labels")
-    own = picked(rows, known.where(share_of(labelled, known.count())))
-    aside = [xxhash.xxh32_intdigest(str(x)) % 4 == 0 for x in own["doc_id"]]
-    train, held = ({c: [x for x, a in zip(v, aside, strict=True) if a == side] for c, v in own.items()} for side in (False, True))
-    if min(sum(train["is_bad"]), sum(held["is_bad"]), len(train["is_bad"]) - sum(train["is_bad"]), len(held["is_bad"]) - sum(held["is_bad"])) < 1 or len(own["doc_id"]) < LEAST_ROWS:
+    doc_ids, own = picked(rows, known.where(share_of(labelled, known.count())))
+    aside = np.array([xxhash.xxh32_intdigest(str(x)) % 4 == 0 for x in doc_ids.tolist()], bool)
+    train, held = own.where(~aside), own.where(aside)
+    if min((x.bad == side).sum() for x in (train, held) for side in (False, True)) < 1 or len(doc_ids) < LEAST_ROWS:
         return views
-    held_bad = np.array(held["is_bad"])
-    views.prior = float(np.log(held_bad.mean() / (1 - held_bad.mean())))
+    del own
+    views.prior = float(np.log(held.bad.mean() / (1 - held.bad.mean())))
     views.ready = True
     for_text, for_meta = [train], [train]
     for turn in range(rounds + 1):
-        for view, parts, which in ((views.text, for_text, 0), (views.meta, for_meta, 1)):
+        for view, parts, which in ((views.text, for_text, "text"), (views.meta, for_meta, "meta")):
             rows_of = together(parts)
-            view.fit(*views.arrays(rows_of)[which], np.array(rows_of["is_bad"], np.float64))
-            view.calibrate(*views.arrays(held)[which], held_bad)
+            view.fit(getattr(rows_of, which), rows_of.bad.astype(np.float64))
+            view.calibrate(getattr(held, which), held.bad)
         if turn == rounds:
             break
         free = staged(scored(rows, views).join(known, "doc_id", "left_anti"), "scored")
         for column, parts in (("text_bad", for_meta), ("meta_bad", for_text)):
             certain = free.where((F.col(column) >= CERTAIN) | (F.col(column) <= 1 - CERTAIN))
             few = certain.where(share_of(handed, certain.count())).groupBy("key").agg(F.max(F.col(column) >= 0.5).alias("is_bad"))
-            parts.append(picked(rows, few))
+            parts.append(picked(rows, few)[1])
+    views.choose_threshold(held.text, held.meta, held.bad)
     return views
 
 
@@ -250,13 +328,14 @@ def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """Per document: doc_id, text_score, meta_score, score (probabilities of being good) and
     rejected."""
     rows = staged(features(docs), "features")
-    found = scored(rows, fitted(rows, labels, **bounds))
-    return found.select("doc_id", (1 - F.col("text_bad")).alias("text_score"), (1 - F.col("meta_bad")).alias("meta_score"), (1 - F.col("bad")).alias("score"), (F.col("bad") >= REJECTED).alias("rejected"))
+    views = fitted(rows, labels, **bounds)
+    found = scored(rows, views)
+    return found.select("doc_id", (1 - F.col("text_bad")).alias("text_score"), (1 - F.col("meta_bad")).alias("meta_score"), (1 - F.col("bad")).alias("score"), (F.col("bad") >= views.rejected).alias("rejected"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     rows = staged(features(docs), "features")
-    key = unused(docs, "row_key")
-    bad = scored(rows, fitted(rows, labels, **bounds)).where(F.col("bad") >= REJECTED).select(F.col("key").alias(key))
+    key, views = unused(docs, "row_key"), fitted(rows, labels, **bounds)
+    bad = scored(rows, views).where(F.col("bad") >= views.rejected).select(F.col("key").alias(key))
     return docs.withColumn(key, row_key("doc_id", "text")).join(bad, key, "left_anti").select(*docs.columns)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -35,21 +36,24 @@ def test_toxic_words_by_their_beginnings():
             words.insert(r.randrange(len(words)), "vexxo" + word())
         texts.append(" ".join(words).encode())
     found = [cotrain.text_features(t) for t in texts]
-    rows = {"shape": [f[0] for f in found], "words": [f[1].tobytes() for f in found], "meta": [cotrain.meta_values("en", f"src{i % 5}", len(t)) for i, t in enumerate(texts)]}
-    part = lambda a, b: {k: v[a:b] for k, v in rows.items()}
+    meta = pa.array([cotrain.meta_values("en", f"src{i % 5}", len(t)) for i, t in enumerate(texts)])
+    whole = cotrain.Held(*cotrain.both_views(meta, pa.array([f[0] for f in found]), pa.array([f[1].tobytes() for f in found])), np.array(bad))
+    part = lambda a, b: whole.where((np.arange(2400) >= a) & (np.arange(2400) < b))
     views = cotrain.Views()
     views.ready = True
-    for view, which in ((views.text, 0), (views.meta, 1)):
-        view.fit(*views.arrays(part(0, 1200))[which], np.array(bad[:1200], float))
-        view.calibrate(*views.arrays(part(1200, 1600))[which], np.array(bad[1200:1600]))
+    for view, which in ((views.text, "text"), (views.meta, "meta")):
+        view.fit(getattr(part(0, 1200), which), part(0, 1200).bad.astype(float))
+        view.calibrate(getattr(part(1200, 1600), which), part(1200, 1600).bad)
     views.prior = float(np.log(1 / 7))
-    says = cotrain.sigmoid(views.log_odds(part(1600, 2400))[2]) >= cotrain.REJECTED
+    rest = part(1600, 2400)
+    says = cotrain.sigmoid(views.log_odds(rest.text, rest.meta)[2]) >= cotrain.REJECTED
     truth = np.array(bad[1600:])
     assert says[truth].mean() > 0.95 and says[~truth].mean() < 0.01
 
 
 def test_awkward_rows_and_few_labels(spark, awkward, no_docs):
     labels = spark.createDataFrame([(i, i % 2, None, "x") for i in range(1, 12)] + [(None, 1, 1, "x"), (4, 0, 1, "x")], "doc_id long, quality int, toxic int, is_bad string")
+    assert [cotrain.size_class(x) for x in (None, "many", float("nan"), float("inf"), -3, "7")] == ["none"] * 4 + ["0", "12"]
     for some in (labels, labels.limit(0), labels.where("quality = 1")):
         got = cotrain.classify(awkward, some).collect()
         assert len(got) == awkward.count() and not any(r.rejected for r in got)
@@ -77,17 +81,17 @@ def test_pipeline_stages(spark):
         if name == "near duplicates":
             from test_neardup import brute
 
-            assert set(after) == {i for i, _, _, kept in brute(list(before.items())) if kept}
+            assert set(after) == {i for i, _, _, kept in brute(list(before.items()), corpus_pipeline.NEAR) if kept}
         if name == "benchmark decontamination":
             from test_secrets_decontam import check
 
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert set(after) == {w[0] for w in check(list(before.items()), items) if not w[5]}
         if name == "secret scan":
-            from test_secrets_decontam import brute as spans
+            from test_secrets_decontam import brute, brute_every_class
 
             assert set(after) == set(before)
-            assert all((after[i] == t) == (not spans(t)[4]) for i, t in before.items())
+            assert all((after[i] == t) == (not brute_every_class(t) and not sum(brute(t)[:3])) for i, t in before.items())
         docs = out
 
 

@@ -12,7 +12,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute(rows, similar=85):
     """Sorted (doc_id, n_shingles, component_id, kept)."""
     sets = [(i, shingles(t)) for i, t in rows]
     root = list(range(len(sets)))
@@ -25,7 +25,7 @@ def brute(rows):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= similar * len(x | y):
                 root[find(a)] = find(b)
     least = {}
     for a, (i, _) in enumerate(sets):
