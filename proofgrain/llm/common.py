@@ -103,5 +103,12 @@ def slices(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some hundred rows, so that what a task widens stays small."""
+    for part in batches:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def batch(schema: pa.Schema, *columns: Any) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

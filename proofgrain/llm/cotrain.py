@@ -27,10 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofgrain.llm.common import batch, kept, let_go, row_key, staged, unused, utf8
+from proofgrain.llm.common import batch, kept, let_go, row_key, small, staged, utf8
 
 LABELLED, HANDED, ROUNDS = 16_000, 3_000, 2
 CERTAIN, REJECTED, GOOD_LOST = 0.99, 0.4, 0.005
@@ -89,19 +89,20 @@ def meta_values(lang: object, source: object, n_chars: object) -> list[str]:
     return [f"lang={lang}", f"source={source}", f"size={size_class(n_chars)}", f"lang={lang}/source={source}"]
 
 
+def metadata(docs: DataFrame) -> list[Column]:
+    """The recorded columns as strings, null where there is none."""
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source", "n_chars")]
+
+
 def features(docs: DataFrame) -> DataFrame:
-    names = docs.columns
-    column = {c: (F.col(c) if c in names else F.lit(None)).cast("string").alias(c) for c in ("lang", "source", "n_chars")}
-    rows = docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", *column.values())
+    rows = docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", *metadata(docs))
     schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("meta", pa.list_(pa.string())), ("shape", pa.list_(pa.float32())), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            for at in range(0, part.num_rows, SLICE):
-                some = part.slice(at, SLICE)
-                found = [text_features(x) for x in utf8(some.column("text"))]
-                meta = [meta_values(*x) for x in zip(*(some.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
-                yield batch(schema, some.column("key"), some.column("doc_id"), meta, [x[0] for x in found], [x[1].tobytes() for x in found])
+        for some in small(batches, SLICE):
+            found = [text_features(x) for x in utf8(some.column("text"))]
+            meta = [meta_values(*x) for x in zip(*(some.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
+            yield batch(schema, some.column("key"), some.column("doc_id"), meta, [x[0] for x in found], [x[1].tobytes() for x in found])
 
     return rows.mapInArrow(run, FEATURES)
 
@@ -246,11 +247,9 @@ def scored(rows: DataFrame, views: Views) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go("word_ids")
-        for part in batches:
-            for at in range(0, part.num_rows, SLICE):
-                some = part.slice(at, SLICE)
-                found = views.log_odds(*both_views(*(some.column(c) for c in ("meta", "shape", "words"))))
-                yield batch(schema, some.column("key"), some.column("doc_id"), *(sigmoid(x) for x in found))
+        for some in small(batches, SLICE):
+            found = views.log_odds(*both_views(*(some.column(c) for c in ("meta", "shape", "words"))))
+            yield batch(schema, some.column("key"), some.column("doc_id"), *(sigmoid(x) for x in found))
 
     return rows.mapInArrow(run, "key binary, doc_id bigint, text_bad double, meta_bad double, bad double")
 
@@ -334,8 +333,20 @@ def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    rows = staged(features(docs), "features")
-    key, views = unused(docs, "row_key"), fitted(rows, labels, **bounds)
-    bad = scored(rows, views).where(F.col("bad") >= views.rejected).select(F.col("key").alias(key))
-    return docs.withColumn(key, row_key("doc_id", "text")).join(bad, key, "left_anti").select(*docs.columns)
+    """The documents that are not rejected, with all their columns.
+
+    The fitted views judge each document where it lies, so no text is shuffled."""
+    views = fitted(staged(features(docs), "features"), labels, **bounds)
+
+    @F.arrow_udf("boolean")
+    def rejected(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), bool)
+        for at in range(0, len(text), SLICE):
+            found = [text_features(x) for x in utf8(text.slice(at, SLICE))]
+            meta = [meta_values(*x) for x in zip(*(c.slice(at, SLICE).to_pylist() for c in (lang, source, n_chars)), strict=True)]
+            shape = pa.array([np.array(x[0], np.float32) for x in found], pa.list_(pa.float32()))
+            odds = views.log_odds(*both_views(pa.array(meta), shape, pa.array([x[1].tobytes() for x in found], pa.binary())))
+            out[at : at + SLICE] = sigmoid(odds[2]) >= views.rejected
+        return pa.array(out)
+
+    return docs.where(~rejected("text", *metadata(docs)))

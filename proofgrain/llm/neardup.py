@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrain.llm.common import batch, kept, row_key, slices, staged, unused, utf8
+from proofgrain.llm.common import batch, kept, let_go, row_key, slices, small, staged, unused, utf8
 
 WORDS, ROWS = 5, 5
 SIMILAR = 85  # percent
 MISSED, DEVIATIONS = 1e-6, 6
 BLOCK = 2048
-WORDS_KEPT = 600_000
+WORDS_KEPT = 250_000
 SEED = 20240501
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in small(batches):
             sizes, nodes, found = [], [], []
             for values in shingle_sets(utf8(part.column("text"))):
                 sizes.append(len(values))
@@ -125,7 +125,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = pa.schema([("node", pa.binary()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in small(batches):
             yield batch(schema, part.column("node"), [x.tobytes() for x in shingle_sets(utf8(part.column("text")))])
 
     return rows.select("node", "text").mapInArrow(run, "node binary, hashes binary")
@@ -155,8 +155,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFra
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("word_hashes")
         mine, head = b"", np.zeros(0, np.uint64)
-        for part in batches:
+        for part in small(batches):
             out: tuple[list, list] = ([], [])
             for a, b, hashes in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("hashes").to_pylist(), strict=True):
                 values = np.frombuffer(hashes, np.uint64)
@@ -228,7 +229,7 @@ def dealt_blocks(rows: DataFrame) -> DataFrame:
 def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
     """The rows of each block, which arrive together."""
     mine, rows = None, []
-    for part in batches:
+    for part in small(batches):
         for row in part.to_pylist():
             key = tuple(row[k] for k in KEYS)
             if key != mine:

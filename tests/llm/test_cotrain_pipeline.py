@@ -19,6 +19,7 @@ def test_held_out_labels(spark):
     train, test = labels.where("doc_id % 3 > 0"), {r.doc_id: r for r in labels.where("doc_id % 3 = 0").collect()}
     got = {r.doc_id: r for r in cotrain.classify(docs, train).collect()}
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got.values())
+    assert {r.doc_id for r in cotrain.good_documents(docs, train).collect()} == {i for i, r in got.items() if not r.rejected}
     bad = [got[i].rejected for i, r in test.items() if r.quality == 0]
     good = [got[i].rejected for i, r in test.items() if r.quality == 1 and r.toxic == 0]
     assert sum(bad) >= 0.6 * len(bad) and sum(good) <= 0.03 * len(good)

@@ -161,7 +161,7 @@ def test_pipeline_stages_at_80(spark, monkeypatch):
     import test_cotrain_pipeline
     import test_neardup
 
-    def at_80(rows):
+    def at_80(rows, similar=80):
         rows = sorted(rows)
         least = components_at([shingles(t) for _, t in rows], 80)
         return [(i, 0, rows[c][0], c == at) for at, ((i, _), c) in enumerate(zip(rows, least, strict=True))]
