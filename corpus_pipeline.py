@@ -15,6 +15,7 @@ from proofgrain.llm.common import staged, table
 
 TOKENIZER = "word_bpe_49k.json"
 NEAR = 80  # percent of shared five-word shingles
+BATCH = 1_000  # documents that Spark sends to Python at once
 
 
 def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents are long rows: smaller batches bound what a task and its Python side hold
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
