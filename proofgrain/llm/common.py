@@ -52,18 +52,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def kept(name: str, build: Callable[[], Any]) -> Any:
-    """State of a Python worker that outlives a task (caches of pure functions)."""
-    store = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
-    if not hasattr(store, name):
-        setattr(store, name, build())
-    return getattr(store, name)
+    """State of a Python worker that outlives a task (caches of pure functions).
+
+    A worker holds the state of one name at a time: what an earlier operator left goes."""
+    store = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__.setdefault("held", {})
+    if name not in store:
+        store.clear()
+        store[name] = build()
+    return store[name]
 
 
 def let_go(name: str) -> None:
     """Empties what ``kept`` holds under a name, for steps that no longer need it."""
     store = sys.modules.get("_llm_worker_state")
-    if store and hasattr(store, name):
-        delattr(store, name)
+    if store:
+        store.__dict__.get("held", {}).pop(name, None)
 
 
 def unused(df: DataFrame, name: str) -> str:

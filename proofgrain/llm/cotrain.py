@@ -40,7 +40,7 @@ LEAST_ROWS = 20
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 EDGES = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
 #: Rows widened at once, in tasks and in the fit.
 SLICE = 512
 FEATURES = "key binary, doc_id bigint, meta array<string>, shape array<float>, words binary"

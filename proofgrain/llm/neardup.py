@@ -41,7 +41,7 @@ WORDS, ROWS = 5, 5
 SIMILAR = 85  # percent
 MISSED, DEVIATIONS = 1e-6, 6
 BLOCK = 2048
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
 SEED = 20240501
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
