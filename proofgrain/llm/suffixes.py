@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from proofgrain.llm.common import batch, kept, row_key, staged, utf8
 
-LENGTH, GRAM, LARGE = 400, 48, 20_000
+LENGTH, GRAM, LARGE, HOT_SHARE = 400, 48, 20_000, 1_000
 SLICE = 1 << 21
 PLACE_BITS = np.uint64(28)
 BASE = 0x9E3779B97F4A7C55
@@ -258,18 +258,32 @@ def by_window(suffixes: DataFrame, length: int) -> DataFrame:
     return windows.join(twice, "window").select("key", "first", (F.col("first") + length).alias("last"))
 
 
+def beside(rows: DataFrame, per_anchor: DataFrame) -> DataFrame:
+    """Rows with what ``per_anchor`` (anchor, n, ...) says of their anchor; anchors that it does
+    not name go.
+
+    An anchor with more than one in ``1 / HOT_SHARE`` of all n is hot.  There are at most
+    ``HOT_SHARE`` of those, so they are sent to every task, and no task gets all of their rows.
+    """
+    per_anchor = staged(per_anchor, "per_anchor")
+    limit = (per_anchor.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = F.broadcast(per_anchor.where(F.col("n") > limit))
+    others = rows.join(hot.select("anchor"), "anchor", "left_anti").join(per_anchor.where(F.col("n") <= limit), "anchor")
+    return rows.join(hot, "anchor").unionByName(others)
+
+
 def marked(docs: DataFrame, length: int, gram: int, large: int) -> DataFrame:
     """The anchors whose hash occurs again: key, anchor, at, lo, hi, again (the whole context
     repeats), sent (a suffix that must be compared) and n_contexts."""
     every = staged(anchors(docs, length, gram), "anchors")
-    twice = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    rows = staged(every.join(twice, "anchor"), "repeated_anchors")
+    twice = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    rows = staged(beside(every, twice).drop("n"), "repeated_anchors")
     place = F.xxhash64("key", "lo")
-    contexts = rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("chosen"))
-    per_anchor = contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
-    known = contexts.join(per_anchor, "anchor").where("n > 1 OR n_contexts > 1")
-    sent = (F.col("single") > 0) & (F.col("n_contexts") > 1) & ((F.col("n") == 1) | (place == F.col("chosen")))
-    return staged(rows.join(known, ["anchor", "context"]).select("key", "anchor", "at", "lo", "hi", (F.col("n") > 1).alias("again"), sent.alias("sent"), "n_contexts").where("again OR sent"), "marked")
+    contexts = staged(rows.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(place).alias("chosen")), "contexts")
+    per_anchor = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.sum((F.col("copies") == 1).cast("int")).alias("single"))
+    known = beside(contexts, per_anchor).withColumnRenamed("n", "n_contexts").where("copies > 1 OR n_contexts > 1")
+    sent = (F.col("single") > 0) & (F.col("n_contexts") > 1) & ((F.col("copies") == 1) | (place == F.col("chosen")))
+    return staged(rows.join(known, ["anchor", "context"]).select("key", "anchor", "at", "lo", "hi", (F.col("copies") > 1).alias("again"), sent.alias("sent"), "n_contexts").where("again OR sent"), "marked")
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -280,7 +294,8 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (packed bytes)."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (packed bytes),
+    removed_share (null for empty texts) and repeated (whether any byte went)."""
     rows, texts = marked(docs, length, gram, large), packed(docs)
     suffixes = gathered(rows.where("sent").select("key", "anchor", "at", "lo", "hi"), texts, length)
     if rows.where(F.col("sent") & (F.col("n_contexts") > large)).isEmpty():
@@ -312,4 +327,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lar
             yield batch(schema, *([x[c] for x in out] for c in range(6)))
 
     joined = texts.join(per_text, "key", "left").select("doc_id", "packed", "spans")
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    found = joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return found.withColumns({"removed_share": F.try_divide("n_removed", "n_bytes"), "repeated": F.col("n_removed") > 0})
