@@ -35,7 +35,7 @@ def form_queries(spark):
 
 
 def text_hits(spark, sf):
-    scores = retrieve.tfidf_scores(doc_chunks(spark, sf), item_queries(spark, sf))
+    scores = retrieve.tfidf_topk(doc_chunks(spark, sf), item_queries(spark, sf))
     return retrieve.hybrid_topk(retrieve.text_pairs(scores))
 
 
@@ -86,6 +86,15 @@ QUERIES["ret4_ngram_tfidf"] = lambda spark, sf: retrieve.tfidf_scores(
     doc_chunks(spark, sf), item_queries(spark, sf), pattern=TERM, ngrams=2, raw_tf=True, fit_query=True)
 ORACLES["ret4_ngram_tfidf"] = with_ctes("SELECT * FROM gram_scores")
 
+TOP = """SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, words DESC, doc, chunk_id) AS r
+  FROM {} WHERE round_even(score * 1000, 0) > 0 OR words > 0) WHERE r <= 8"""
+QUERIES["ret3_tfidf_topk"] = lambda spark, sf: retrieve.tfidf_topk(doc_chunks(spark, sf), item_queries(spark, sf))
+ORACLES["ret3_tfidf_topk"] = with_ctes(TOP.format("base_scores"))
+
+QUERIES["ret4_capped_topk"] = lambda spark, sf: retrieve.tfidf_topk(
+    doc_chunks(spark, sf), item_queries(spark, sf), pattern=TERM, stopwords=STOP_WORDS, max_features=4096, raw_tf=True)
+ORACLES["ret4_capped_topk"] = with_ctes(TOP.format("capped_scores"))
+
 QUERIES["ret5_phrase_scores"] = lambda spark, sf: retrieve.phrase_scores(doc_chunks(spark, sf), FORM_PHRASES, FORMS)
 ORACLES["ret5_phrase_scores"] = with_ctes("SELECT * FROM phrase_scores")
 
@@ -103,12 +112,17 @@ QUERIES["ret6_form_topk"] = form_topk
 ORACLES["ret6_form_topk"] = with_ctes("SELECT * FROM form_hits")
 
 QUERIES["ret7_overlap_scores"] = lambda spark, sf: retrieve.overlap_scores(doc_chunks(spark, sf), item_queries(spark, sf))
-ORACLES["ret7_overlap_scores"] = with_ctes(r"""
+OVERLAP = r"""
 SELECT query, doc, chunk_id, round(count(*) / CAST(any_value(size) AS DOUBLE), 6) AS score
 FROM (SELECT doc, chunk_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./-]+'))) AS term FROM chunks)
 JOIN (SELECT item_id AS query, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./-]+'))) AS size,
         unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./-]+'))) AS term FROM benchmark) USING (term)
-GROUP BY query, doc, chunk_id""")
+GROUP BY query, doc, chunk_id"""
+ORACLES["ret7_overlap_scores"] = with_ctes(OVERLAP)
+
+QUERIES["ret7_overlap_topk"] = lambda spark, sf: retrieve.overlap_topk(doc_chunks(spark, sf), item_queries(spark, sf))
+ORACLES["ret7_overlap_topk"] = with_ctes(f"""
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc, chunk_id) AS INTEGER) AS rank FROM ({OVERLAP})) WHERE rank <= 8""")
 
 QUERIES["ret8_reranked_hits"] = reranked
 ORACLES["ret8_reranked_hits"] = with_ctes("""
