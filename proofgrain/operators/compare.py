@@ -192,7 +192,7 @@ def structure_drift(before: DataFrame, after: DataFrame) -> DataFrame:
 def fingerprints(cells: DataFrame, header_rows: int = 3) -> DataFrame:
     """(doc, tbl, rows, headers, digest): the non-empty header rows of each table as JSON
     and a 16-digit digest.  Only header cells are gathered."""
-    head = cells.where(F.col("row") < header_rows).withColumn("text", tx.safe_text(F.col("text"), keep_lines=False, with_nfc=False))
+    head = cells.where(F.col("row") < header_rows).withColumn("text", tx.safe_text(F.col("text"), keep_lines=False))
     line = head.groupBy("doc", "tbl", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("c"), F.bool_or(F.col("text") != "").alias("filled"))
     table = line.where("filled").groupBy("doc", "tbl").agg(F.array_sort(F.collect_list(F.struct("row", F.col("c.text").alias("t")))).alias("r"))
     size = cells.groupBy("doc", "tbl").agg((F.max("row") + 1).alias("rows"))

@@ -210,6 +210,62 @@ def combine_identity(cands: DataFrame, mark: str, number: str, targets: Sequence
 
 
 # ------------------------------------------------------------------ fuzzy labels
+#: What holding all of the other side's tokens, or one of the guarded pairs, adds to a score.
+BONUS = 0.25
+
+
+def _rare_first(rows: DataFrame, tokens: Column, ranks: DataFrame, by: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """Rows with their distinct tokens, rarest first in their group."""
+    each = rows.select(*by, F.explode(F.array_distinct(tokens)).alias("token")).join(ranks, [*group, "token"])
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r")).select(*by, F.col("r.token").alias("tokens"))
+
+
+def overlapping(labels: DataFrame, keys: DataFrame, group: Sequence[str], floor: float) -> DataFrame:
+    """(group, label_id, l_key, key, lt, kt, n): every label beside the keys that could suit it
+    best, with their distinct tokens and how many they share.
+
+    Labels of three and more tokens need two shared ones.  So both sides leave out their
+    commonest token (in one order of all tokens of a group, the rarest first): two sets that
+    share two tokens share one of the others, and a token that all labels and keys hold never
+    joins.  For shorter labels, keys of one size, the same shared tokens and the same guarded
+    words score alike, so the first of them by name stands for all.
+    """
+    group = list(group)
+    ranks = labels.select(*group, F.explode(F.array_distinct(F.split("l_key", " "))).alias("token")).unionByName(
+        keys.select(*group, F.explode(F.array_distinct(F.split("key", " "))).alias("token"))).groupBy(*group, "token").agg(F.count("*").alias("n"))
+    lab = _rare_first(labels, F.split("l_key", " "), ranks, [*group, "label_id", "l_key"], group).withColumnRenamed("tokens", "lt")
+    held = _rare_first(keys, F.split("key", " "), ranks, [*group, "key"], group).withColumnRenamed("tokens", "kt")
+
+    def without_last(name: str) -> Column:
+        return F.slice(name, F.lit(1), F.size(name) - 1)
+
+    long = lab.where(F.size("lt") > 2).withColumn("token", F.explode(without_last("lt"))).join(
+        held.where(F.size("kt") > 1).withColumn("token", F.explode(without_last("kt"))), [*group, "token"])
+    columns = [*group, "label_id", "l_key", "key", "lt", "kt"]
+    long = long.select(*columns).distinct()
+
+    # what the guards and the bonuses ask of a key
+    asked = ("date", "permission", "drawing", "number", "thickness", "pitp")
+    looks = [F.array_contains("kt", w) for w in asked] + [
+        F.arrays_overlap("kt", F.array(*[F.lit(w) for w in ws])) for ws in (rules.NUMERIC_LABEL_TOKENS, rules.SENSITIVE_LABEL_TOKENS)]
+    alike = held.withColumn("size", F.size("kt")).withColumn("looks", F.array(*looks))
+    sorted_kt = F.array_sort("kt")
+    # one shared token and one bonus reach the floor up to this size
+    longest = 1 / (floor - BONUS) if floor > BONUS else float("inf")
+    one = alike.where(F.col("size") <= F.lit(longest)).select(*group, F.explode("kt").alias("t"), "size", "looks", "key", "kt").groupBy(*group, "t", "size", "looks").agg(
+        F.min_by(F.struct("key", "kt"), "key").alias("m"))
+    short = lab.where(F.size("lt") <= 2)
+    by_one = short.withColumn("t", F.explode("lt")).join(one, [*group, "t"]).select(*group, "label_id", "l_key", F.col("m.key").alias("key"), "lt", F.col("m.kt").alias("kt"))
+    # keys that hold both tokens of a label of two
+    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice(F.col("s"), i + 2, F.size("s")), lambda y: F.concat_ws(" ", x, y))))
+    two = alike.withColumn("s", sorted_kt).select(*group, F.explode(pairs).alias("t"), "size", "looks", "key", "kt")
+    wanted = short.where(F.size("lt") == 2).withColumn("t", F.array_join(F.array_sort("lt"), " "))
+    two = two.join(wanted.select(*group, "t").distinct(), [*group, "t"], "left_semi").groupBy(*group, "t", "size", "looks").agg(F.min_by(F.struct("key", "kt"), "key").alias("m"))
+    by_two = wanted.join(two, [*group, "t"]).select(*group, "label_id", "l_key", F.col("m.key").alias("key"), "lt", F.col("m.kt").alias("kt"))
+    found = long.unionByName(by_one.unionByName(by_two).distinct())
+    return found.withColumn("n", F.size(F.array_intersect("lt", "kt")).cast("bigint"))
+
+
 def fuzzy_labels(labels: DataFrame, evidence: DataFrame, preferred_keys: Sequence[tuple[Sequence[str], Sequence[str]]],
                  group: Sequence[str] = ("packet_id",), floor: float = 0.38) -> DataFrame:
     """The evidence value that suits each label best.
@@ -234,12 +290,10 @@ def fuzzy_labels(labels: DataFrame, evidence: DataFrame, preferred_keys: Sequenc
         for name in names:
             wanted.append(F.when(has, F.struct(F.lit(n).alias("stage"), F.lit(name).alias("key"))))
             n += 1
-    preferred = lab.select(*group, "label_id", "l_key", F.inline(F.array_compact(F.array(*wanted)))).join(
+    preferred = lab.select(*group, "label_id", "l_key", F.inline(F.array_compact(F.array(*wanted).cast("array<struct<stage:int,key:string>>")))).join(
         distinct_keys, [*group, "key"]).select(*group, "label_id", "l_key", "key", "stage")
 
-    left = lab.select(*group, "label_id", "l_key", F.array_distinct(words).alias("lt")).withColumn("token", F.explode("lt"))
-    right = distinct_keys.withColumn("kt", F.array_distinct(F.split("key", " "))).withColumn("token", F.explode("kt"))
-    overlap = left.join(right, [*group, "token"]).groupBy(*group, "label_id", "l_key", "key", "lt", "kt").agg(F.count("*").alias("n"))
+    overlap = overlapping(lab.select(*group, "label_id", "l_key"), distinct_keys, group, floor)
 
     def both(*names: str) -> Column:
         cond = F.lit(True)
@@ -256,7 +310,7 @@ def fuzzy_labels(labels: DataFrame, evidence: DataFrame, preferred_keys: Sequenc
     bonus = F.lit(0.0)
     for cond in (subset, both("date", "permission"), both("drawing", "number"),
                  F.array_contains("lt", "material") & F.array_contains("lt", "thickness") & F.array_contains("kt", "thickness")):
-        bonus = bonus + F.when(cond, 0.25).otherwise(0.0)
+        bonus = bonus + F.when(cond, BONUS).otherwise(0.0)
     pitp_clash = (F.array_contains("lt", "date") & F.array_contains("lt", "approved")
                   & ~F.array_contains("lt", "pitp") & F.array_contains("kt", "pitp"))
     guarded = (

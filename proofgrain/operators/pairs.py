@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from proofgrain.functions import rules
 from proofgrain.functions import text as tx
@@ -16,18 +20,20 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
 
 
 # ------------------------------------------------------------------ lines
-def label_pairs(docs: DataFrame, keys: Sequence[str] = ("doc_id",), max_value: int = 160) -> DataFrame:
+def label_pairs(docs: DataFrame, keys: Sequence[str] = ("doc_id",), max_value: int = 160, keep_long: bool = False) -> DataFrame:
     """(keys, key, value, ord): 'label: value' lines of each document.
 
     A label without a value takes the next line, if that has no colon.  Values are distinct
-    per key in first-seen order; a carried line is appended to the key's last value.
+    per key in first-seen order; a carried line is appended to the key's last value.  Values
+    longer than ``max_value`` are no evidence; with ``keep_long`` they are returned as well,
+    without an ``ord``, and a column ``too_long`` tells them apart.
     """
     keys = list(keys)
     def trimmed(c: Column) -> Column:
         return F.regexp_replace(c, r"^[ |\s]+|[ |\s]+$", "")
 
     # the text is cleaned as a whole; a line then only loses its ends
-    whole = tx.safe_text(F.regexp_replace("text", LINE_BREAK, "\n"), with_nfc=False)
+    whole = tx.safe_text(F.regexp_replace("text", LINE_BREAK, "\n"))
     lines = F.filter(F.transform(F.split(whole, "\n"), trimmed), lambda s: s != "")
 
     def parsed(line: Column) -> Column:
@@ -44,24 +50,61 @@ def label_pairs(docs: DataFrame, keys: Sequence[str] = ("doc_id",), max_value: i
             F.when(p["colon"], p["value"]).otherwise(p["line"]).alias("value"), (~p["colon"]).alias("carry"))
 
     def counts(e: Column) -> Column:
-        usable = ~F.startswith(e["value"], F.lit(rules.REVIEW_MARKER)) & (F.length(e["value"]) <= max_value)
+        usable = ~F.startswith(e["value"], F.lit(rules.REVIEW_MARKER))
         return (e["key"] != "") & (e["value"] != "") & (e["carry"] | usable)
 
     rows = compute_once(docs.select(*keys, "text"), "lines", F.transform(lines, parsed))
     events = rows.select(*keys, F.inline(F.filter(F.transform("lines", event), counts)))
-    # the fold below runs over one key of one document
-    ordered = events.groupBy(*keys, "key").agg(F.array_sort(F.collect_list(F.struct("i", "carry", "value"))).alias("events"))
-
-    def step(acc: Column, e: Column) -> Column:
-        joined = F.concat_ws(" ", F.element_at(acc, -1), e["value"])
-        return (
-            F.when(e["carry"] & (F.size(acc) > 0), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined)))
-            .when(F.array_contains(acc, e["value"]), acc)
-            .otherwise(F.concat(acc, F.array(e["value"])))
-        )
-
-    bucket = F.aggregate("events", F.array().cast("array<string>"), step)
-    return ordered.select(*keys, "key", F.posexplode(bucket).alias("ord", "value")).select(*keys, "key", "value", "ord")
+    long = ~F.col("carry") & (F.length("value") > max_value)
+    found = carried_forward(events.where(~long), keys)
+    if not keep_long:
+        return found
+    extra = events.where(long).select(*keys, "key", "value", F.lit(None).cast("int").alias("ord"), F.lit(True).alias("too_long")).distinct()
+    return found.withColumn("too_long", F.lit(False)).unionByName(extra)
+
+
+def carried_forward(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, key, value, ord) from events (keys, key, i, value, carry).
+
+    Whether a value is new depends on what carried lines made of the values before it, so the
+    events of a key are read in order, once, as a stream: a task holds the last value and the
+    digests of the earlier ones, never the events of a key.
+    """
+    group = [*keys, "key"]
+    dealt = events.select(*group, "i", "carry", "value").repartition(*group).sortWithinPartitions(*group, "i")
+    fields = T.StructType([*(dealt.schema[g] for g in group), T.StructField("value", T.StringType()), T.StructField("ord", T.IntegerType())])
+    schema = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, last, size, number, seen, out = None, [], 0, 0, set(), []
+
+        def close() -> None:
+            if last:
+                value = " ".join(last)
+                out.append((*mine, value, number))
+                seen.add(hashlib.blake2b(value.encode(), digest_size=16).digest())
+
+        for part in batches:
+            columns = [part.column(c).to_pylist() for c in (*group, "carry", "value")]
+            for *now, carry, value in zip(*columns, strict=True):
+                if now != mine:
+                    close()
+                    mine, last, size, number, seen = now, [], 0, 0, set()
+                if carry and last:
+                    last.append(value)
+                    size += 1 + len(value)
+                elif not (size == len(value) and last and " ".join(last) == value or hashlib.blake2b(value.encode(), digest_size=16).digest() in seen):
+                    close()
+                    number += bool(last)
+                    last, size = [value], len(value)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+
+    return dealt.mapInArrow(run, fields)
 
 
 def merge_pairs(primary: DataFrame, fallback: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

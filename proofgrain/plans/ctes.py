@@ -309,15 +309,16 @@ SELECT doc_id, i, lines[i] AS line, lines[i - 1] AS before FROM (
   SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (
     SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: {_cell('s')}), lambda s: s <> '') AS lines
     FROM label_documents))"""
-CTES["line_events"] = f"""
+CTES["all_line_events"] = f"""
 SELECT doc_id, i, NOT has_colon AS carry, CASE WHEN has_colon THEN {_key('label')} ELSE {_key('before_label')} END AS key,
   CASE WHEN has_colon THEN value ELSE line END AS value
 FROM (SELECT *, contains(line, ':') AS has_colon, {_cell("regexp_extract(line, '^[^:]*:(.*)$', 1)")} AS value,
     {_cell("regexp_extract(before, '^[^:]*:(.*)$', 1)")} AS before_value,
     regexp_replace(regexp_extract(line, '^([^:]*):', 1), '^table_[0-9]+_row_[0-9]+\\s*', '') AS label,
     regexp_replace(regexp_extract(before, '^([^:]*):', 1), '^table_[0-9]+_row_[0-9]+\\s*', '') AS before_label FROM doc_lines)
-WHERE (has_colon AND value <> '' AND length(value) <= 160 AND value NOT LIKE 'REVIEW_REQUIRED%')
+WHERE (has_colon AND value <> '' AND value NOT LIKE 'REVIEW_REQUIRED%')
    OR (NOT has_colon AND contains(before, ':') AND before_value = '')"""
+CTES["line_events"] = "SELECT * FROM all_line_events WHERE carry OR length(value) <= 160"
 CTES["key_events"] = """
 SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS n, count(*) OVER (PARTITION BY doc_id, key) AS total FROM line_events WHERE key <> ''"""
 CTES["key_fold"] = """

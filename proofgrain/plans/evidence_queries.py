@@ -44,8 +44,10 @@ def own_ledger(spark, sf, own_scope_only=True):
 
 
 # ------------------------------------------------------------------ pairs
-QUERIES["evd1_label_pairs"] = lambda spark, sf: pairs.label_pairs(inputs.label_documents(spark, sf))
-ORACLES["evd1_label_pairs"] = with_ctes("SELECT * FROM label_pairs")
+QUERIES["evd1_label_pairs"] = lambda spark, sf: pairs.label_pairs(inputs.label_documents(spark, sf), keep_long=True)
+ORACLES["evd1_label_pairs"] = with_ctes("""
+SELECT *, false AS too_long FROM label_pairs
+UNION ALL SELECT DISTINCT doc_id, key, value, CAST(NULL AS INTEGER), true FROM all_line_events WHERE NOT carry AND key <> '' AND length(value) > 160""")
 
 
 def merged(spark, sf):

@@ -77,6 +77,70 @@ def test_label_pairs_carry_and_deduplicate(spark):
     assert out == [("alpha", "1 more", 0), ("beta", "next line", 0), ("total", "9", 0)]
 
 
+def test_label_pairs_fold_equals_brute_force(spark):
+    """Carried lines change what later values repeat; NFC joins both encodings of a word."""
+    rng, texts = random.Random(8), []
+    for _ in range(60):
+        texts.append("\n".join(rng.choice(["P: x", "P: x y", "P:\ny", "P: z", "Q: x", "P:", "y", "Q:\nx"]) for _ in range(rng.randint(1, 14))))
+    got = {}
+    for r in pairs.label_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.key), {})[r.ord] = r.value
+    want = {}
+    for i, text in enumerate(texts):
+        waits = None
+        for line in filter(None, text.split("\n")):
+            label, colon, value = line.partition(":")
+            key, value, carry = (label.lower(), value.strip(), False) if colon else (waits, line, True)
+            waits = key if colon and not value else None
+            if not key or not value:
+                continue
+            held = want.setdefault((i, key), [])
+            if carry and held:
+                held[-1] += " " + value
+            elif value not in held:
+                held.append(value)
+    assert {k: [v[o] for o in sorted(v)] for k, v in got.items()} == want
+    composed = spark.createDataFrame([(1, "Caf\u00e9: 1\nCafe\u0301: \u00e9t\u00e9\nCaf\u00e9: e\u0301te\u0301")], "doc_id long, text string")
+    assert sorted(r.value for r in pairs.label_pairs(composed).collect()) == ["1", "\u00e9t\u00e9"]
+
+
+def test_label_pairs_of_one_key_with_many_lines(spark):
+    text = "\n".join(f"Date: {i % 70_000}" if i % 10 else "Date:\nmore" for i in range(100_000)) + "\nDate: " + "x" * 200
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pairs.label_pairs(docs, keep_long=True).collect()
+    assert sum(r.too_long for r in found) == 1 and sorted(r.ord for r in found if not r.too_long) == list(range(len(found) - 1))
+    assert len(found) > 63_000 and pairs.label_pairs(docs).count() == len(found) - 1
+
+
+def every_overlap(labels, keys, group, floor):
+    """All pairs of labels and keys that share a token."""
+    left = labels.withColumn("lt", F.array_distinct(F.split("l_key", " "))).withColumn("token", F.explode("lt"))
+    right = keys.withColumn("kt", F.array_distinct(F.split("key", " "))).withColumn("token", F.explode("kt"))
+    return left.join(right, [*group, "token"]).groupBy(*group, "label_id", "l_key", "key", "lt", "kt").agg(F.count("*").alias("n"))
+
+
+def test_fuzzy_labels_equal_all_overlaps(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["date", "permission", "drawing", "number", "material", "thickness", "pitp", "approved", "status", "id", "code", "owner", "x1", "x2", "x3"]
+    some = lambda most: " ".join(rng.sample(words, rng.randint(1, most)))
+    labels = spark.createDataFrame([(i % 3, i, some(4)) for i in range(150)], "packet_id long, label_id int, label string")
+    evidence = spark.createDataFrame([(i % 3, some(9), rng.choice(["1", "yes", "2024-01-02", "text here"]), i) for i in range(150)], "packet_id long, key string, value string, ord int")
+    for floor in (0.38, 0.2, 0.6):
+        got = sorted(map(tuple, match.fuzzy_labels(labels, evidence, (), floor=floor).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(match, "overlapping", every_overlap)
+            assert got == sorted(map(tuple, match.fuzzy_labels(labels, evidence, (), floor=floor).collect())) and len(got) > 50
+
+
+def test_a_token_of_all_labels_never_joins(spark):
+    def pairs_of(n):
+        labels = spark.createDataFrame([(1, i, f"common a{i} b{i}") for i in range(n)] + [(1, n + i, f"common c{i}") for i in range(n)] + [(1, 2 * n, "common")], "g long, label_id int, l_key string")
+        keys = spark.createDataFrame([(1, f"common a{i} d{i}") for i in range(n)] + [(1, f"common e{i}") for i in range(n)], "g long, key string")
+        return match.overlapping(labels, keys, ["g"], 0.38).count()
+
+    assert pairs_of(200) <= 200 * 4 and pairs_of(800) <= 800 * 4
+
+
 def test_containment_equals_nested_loop(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("ab.", k=rng.randint(1, 6))) for _ in range(60)]
