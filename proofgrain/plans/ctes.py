@@ -12,6 +12,11 @@ from proofgrain.plans.inputs import FIELDS, ROLLOVER_DAY
 CTES: dict[str, str] = {}
 
 
+#: Large steps that several others read: computed once, so that plans do not hang on guesses
+#: of their sizes.
+STEPS = ("evidence_chunks", "candidates", "suggestions", "reviewed")
+
+
 def with_ctes(sql: str) -> str:
     needed: set[str] = set()
 
@@ -23,7 +28,7 @@ def with_ctes(sql: str) -> str:
 
     visit(sql)
     # a CTE may only use CTEs defined before it, so definition order is a valid order
-    parts = [f"{name} AS {'MATERIALIZED ' if name.startswith('gate_') else ''}({CTES[name]})" for name in CTES if name in needed]
+    parts = [f"{name} AS {'MATERIALIZED ' if name.startswith('gate_') or name in STEPS else ''}({CTES[name]})" for name in CTES if name in needed]
     if not parts:
         return sql
     own = sql.strip()
