@@ -141,10 +141,13 @@ class Rows:
 
     def of_ids(self, place: np.ndarray) -> Rows:
         """With the ids that ``place`` gives, without those that it sets to -1."""
-        held = place[self.ids]
-        used = held >= 0
-        begin = np.concatenate([[0], np.cumsum(used)])[self.begin]
-        return Rows(held[used], begin, self.dense)
+        parts, size = [], []
+        for a, b, ids in self.slices():
+            held = place[ids]
+            used = held >= 0
+            size.append(np.diff(np.concatenate([[0], np.cumsum(used)])[self.begin[a : b + 1] - self.begin[a]]))
+            parts.append(held[used])
+        return Rows(np.concatenate(parts), np.concatenate([[0], *size]).cumsum(), self.dense)
 
 
 class Logistic:
@@ -160,7 +163,7 @@ class Logistic:
         return np.concatenate([(dense - self.mean) / self.scale, np.ones((len(dense), 1))], axis=1)
 
     def fit(self, given: Rows, bad: np.ndarray, steps: int = 200) -> None:
-        seen = np.bincount(given.ids, minlength=self.size)
+        seen = given.spread(np.ones(given.n), self.size)
         used = np.flatnonzero(seen >= self.least)
         place = np.full(self.size, -1, np.int32)
         place[used] = np.arange(len(used))
