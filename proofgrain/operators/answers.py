@@ -17,14 +17,15 @@ def bundle(requirements: DataFrame, hits: DataFrame) -> DataFrame:
 
     ``hits`` are at most a handful per requirement (see rerank).  The best item has the
     highest confidence x authority, then the longest text; under a contradiction the
-    highest authority.  More than three different 200-character starts contradict.
+    highest authority.  More than three different contents, without regard to case and white
+    space, contradict.
     """
-    start = F.trim(F.regexp_replace(F.lower(F.substring("content", 1, 200)), r"\s+", " "))
+    told = F.md5(F.trim(F.regexp_replace(F.lower("content"), r"\s+", " ")))
     item = F.struct("source_file", "doc", "chunk_id", "confidence", "authority", "content")
     weight = F.round(F.col("confidence") * F.col("authority"), 9)
     per = hits.groupBy("req_id").agg(
         F.count("*").alias("items"),
-        F.count_distinct(start).alias("snippets"),
+        F.count_distinct(told).alias("snippets"),
         F.max_by(item, F.struct(weight, F.length("content"), -F.col("rank"))).alias("by_weight"),
         F.max_by(item, F.struct("authority", -F.col("rank"))).alias("by_authority"),
     )
@@ -41,21 +42,25 @@ def bundle(requirements: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def snippet(text: Column, kind: Column) -> Column:
-    """The number, date or first sentence of a text, by field type."""
+    """The number, date or first sentence of a text, by field type; else the text."""
     t = F.trim(text)
     number = r"[-+]?\d*\.?\d+(?:\s*%)?"
     date = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b"
     sentence = F.regexp_extract(t, r"(?s)^(.*?[.!?])(?:\s.*)?$", 1)
     return (
         F.when(kind == "number", F.when(t.rlike(number), F.regexp_extract(t, number, 0))
-               .otherwise(F.substring(F.split(t, r"\.")[0], 1, 80)))
-        .when(kind == "date", F.when(t.rlike(date), F.regexp_extract(t, date, 0)).otherwise(F.substring(t, 1, 80)))
-        .otherwise(F.substring(F.when(sentence != "", sentence).otherwise(t), 1, 500))
+               .otherwise(F.split(t, r"\.")[0]))
+        .when(kind == "date", F.when(t.rlike(date), F.regexp_extract(t, date, 0)).otherwise(t))
+        .otherwise(F.when(sentence != "", sentence).otherwise(t))
     )
 
 
 def answers(bundles: DataFrame) -> DataFrame:
-    """(bundle columns, text, confidence, status, fallback, cited): one answer each."""
+    """(bundle columns, text, shown, confidence, status, fallback, cited): one answer each.
+
+    ``text`` is the whole answer; ``shown`` holds at most 80 characters of a number or date
+    and 500 of any other text.
+    """
     kind = F.col("field_type")
     default = F.lit(rules.NOT_VERIFIED)
     for name, text in FALLBACK_TEXT.items():
@@ -64,8 +69,12 @@ def answers(bundles: DataFrame) -> DataFrame:
     no_items = F.col("items") == 0
     fallback = no_items | ~F.col("can_auto_fill")
     found = snippet(F.col("best.content"), kind)
-    told = F.when(kind == "narrative", F.concat(
-        F.lit("Based on source documentation ("), F.col("best.source_file"), F.lit("), "), F.col("field_label"), F.lit(": "), found)).otherwise(found)
+    seen = F.substring(found, F.lit(1), F.when(kind.isin("number", "date"), 80).otherwise(500))
+
+    def told(value: Column) -> Column:
+        return F.when(kind == "narrative", F.concat(
+            F.lit("Based on source documentation ("), F.col("best.source_file"), F.lit("), "), F.col("field_label"), F.lit(": "), value)).otherwise(value)
+
     confidence = F.least(F.lit(0.99), F.col("best.confidence") * F.col("best.authority"))
     justification = (
         F.when(no_items, F.concat(F.lit("Missing evidence: "), F.col("gap")))
@@ -84,7 +93,8 @@ def answers(bundles: DataFrame) -> DataFrame:
     )
     return bundles.select(
         *[c for c in bundles.columns if c != "best"],
-        F.when(fallback, fallback_text).otherwise(told).alias("text"),
+        F.when(fallback, fallback_text).otherwise(told(found)).alias("text"),
+        F.when(fallback, fallback_text).otherwise(told(seen)).alias("shown"),
         F.when(fallback, 0.0).otherwise(confidence).alias("confidence"),
         status.alias("status"), fallback.alias("fallback"),
         F.when(~fallback, F.col("best.source_file")).alias("cited"),
@@ -100,7 +110,8 @@ def validate_answers(drafts: DataFrame) -> DataFrame:
     """Final answers: every draft ends in a text, a status and a fallback flag.
 
     The checks run in order, each on the result of the one before.  ``valid_place`` (may be
-    null) says whether the write coordinate exists.
+    null) says whether the write coordinate exists.  ``text`` stays whole, ``shown`` is cut
+    after 2,000 characters.
     """
     out = drafts.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).withColumn(
         "_place_bad", ~F.coalesce(F.col("valid_place"), F.lit(True)))
@@ -140,7 +151,7 @@ def validate_answers(drafts: DataFrame) -> DataFrame:
                 status=F.lit("completed_with_low_confidence"))
     out = stage(out, F.upper("text").contains(rules.REVIEW_MARKER), text=F.lit(rules.NOT_VERIFIED), fallback=yes, status=failed)
     long = F.length("text") > 2000
-    out = out.withColumn("text", F.when(long, F.concat(F.substring("text", 1, 1997), F.lit("..."))).otherwise(F.col("text")))
+    out = out.withColumn("shown", F.when(long, F.concat(F.substring("text", 1, 1997), F.lit("..."))).otherwise(F.col("text")))
     return out.drop("_hit", "_place_bad")
 
 

@@ -375,7 +375,7 @@ def readback(decisions: DataFrame, fields: DataFrame, cells: DataFrame) -> DataF
         .when((state == "APPROVED_NA") & ~text.contains("N/A"), "approved_na_not_visible")
         .when((state == "REVIEW_REQUIRED") & ~text.contains(rules.CELL_MARKER), "review_marker_missing"))
     return v.withColumn("issue", issue).where("issue is not null").select(
-        *FIELD, "issue", F.when(F.col("issue") == "value_invisible", F.col("value")).alias("expected"), F.substring("text", 1, 120).alias("visible"))
+        *FIELD, "issue", F.when(F.col("issue") == "value_invisible", F.col("value")).alias("expected"), F.col("text").alias("visible"))
 
 
 def run_status(fields: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame]:

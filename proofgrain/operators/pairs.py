@@ -123,7 +123,7 @@ def strict_pairs(chunks: DataFrame, own_scope_only: bool = True) -> DataFrame:
         chunks = chunks.where("scope_hint is null or scope_hint = form_id")
     lines = F.filter(F.split("text", LINE_BREAK), lambda s: F.trim(s) != "")
     return (
-        chunks.withColumn("source_text", F.substring(F.get(lines, F.lit(0)), 1, 240))
+        chunks.withColumn("source_text", F.get(lines, F.lit(0)))
         .select("*", F.posexplode(F.split("text", LINE_BREAK)).alias("line_no", "line")).drop("text")
         .where(F.col("line").rlike(STRICT_PAIR))
         .withColumn("label", F.lower(F.trim(F.regexp_extract("line", STRICT_PAIR, 1))))

@@ -292,12 +292,13 @@ CTES["reranked"] = r"""
 SELECT query, req_id, doc, chunk_id, source_file, semantic_score, retrieval_score, directive_hits, rank,
   least(0.99::DOUBLE, greatest(0.35::DOUBLE, retrieval_score + 0.4::DOUBLE)) AS confidence,
   CASE WHEN regexp_matches(lower(source_file), 'policy|procedure') THEN 0.95::DOUBLE WHEN regexp_matches(lower(source_file), 'report|audit') THEN 0.85::DOUBLE
-    WHEN regexp_matches(lower(source_file), 'log|record') THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END AS authority, content, chunk_hash
+    WHEN regexp_matches(lower(source_file), 'log|record') THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END AS authority, content, content_preview, chunk_hash
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY req_id ORDER BY directive_hits DESC, semantic_score DESC, retrieval_score DESC, doc, chunk_id) AS INTEGER) AS rank
   FROM (SELECT h.query, r.req_id, h.doc, h.chunk_id, f.source_file, h.semantic_score, h.retrieval_score, sha256(c.text) AS chunk_hash,
       len(list_filter(list_distinct(regexp_extract_all(lower(r.search_directive || ' ' || r.field_label), '[a-z0-9]+')), lambda t: length(t) > 2 AND contains(lower(c.text), t))) AS directive_hits,
+      trim(regexp_replace(c.text, '\s+', ' ', 'g')) AS content,
       CASE WHEN length(trim(regexp_replace(c.text, '\s+', ' ', 'g'))) <= 600 THEN trim(regexp_replace(c.text, '\s+', ' ', 'g'))
-        ELSE left(trim(regexp_replace(c.text, '\s+', ' ', 'g')), 597) || '...' END AS content
+        ELSE left(trim(regexp_replace(c.text, '\s+', ' ', 'g')), 597) || '...' END AS content_preview
     FROM text_hits h JOIN requirements r USING (query) JOIN chunks c USING (doc, chunk_id) JOIN doc_files f USING (doc)))
 WHERE rank <= 5"""
 
@@ -337,7 +338,7 @@ SELECT doc_id, key, bucket[i] AS value, CAST(i - 1 AS INTEGER) AS ord
 FROM (SELECT doc_id, key, bucket, unnest(generate_series(1, len(bucket))) AS i FROM key_fold WHERE n = total)"""
 
 CTES["strict_pairs"] = r"""
-SELECT packet_id, form_id, source_file, source_type, chunk_id, page, scope_hint, left(string_split(text, chr(10))[1], 240) AS source_text,
+SELECT packet_id, form_id, source_file, source_type, chunk_id, page, scope_hint, string_split(text, chr(10))[1] AS source_text,
   CAST(i - 1 AS INTEGER) AS line_no, lower(trim(x.l)) AS label, trim(x.v) AS value
 FROM (SELECT *, regexp_extract(string_split(text, chr(10))[i], '^\s*([A-Za-z0-9 _./()&\-#\[\]]+)[:=]\s*(.+?)\s*$', ['l', 'v']) AS x
   FROM (SELECT *, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM evidence_chunks))

@@ -233,7 +233,7 @@ def drafts(spark, sf):
 
 
 QUERIES["dec10_validated_answers"] = lambda spark, sf: answers.validate_answers(drafts(spark, sf)).select(
-    "req_id", "text", "confidence", "status", "fallback", "justification")
+    "req_id", "text", "shown", "confidence", "status", "fallback", "justification")
 CTES["drafts"] = "SELECT * REPLACE (CASE WHEN req_id % 17 = 3 THEN 'review_required: ' || text ELSE text END AS text), req_id % 13 <> 5 AS valid_place, CASE WHEN req_id % 2 = 0 THEN 'mm' END AS expected_unit FROM answers"
 _nv = "CASE WHEN field_type = 'number' THEN 'N/A - not verified in provided source documents' ELSE 'Not verified in provided source documents.' END"
 
@@ -264,7 +264,7 @@ def _gate_steps() -> str:
     return sql
 
 
-CTES["validated"] = f"SELECT req_id, CASE WHEN length(t) > 2000 THEN left(t, 1997) || '...' ELSE t END AS text, c AS confidence, s AS status, fb AS fallback, why AS justification FROM ({_gate_steps()})"
+CTES["validated"] = f"SELECT req_id, t AS text, CASE WHEN length(t) > 2000 THEN left(t, 1997) || '...' ELSE t END AS shown, c AS confidence, s AS status, fb AS fallback, why AS justification FROM ({_gate_steps()})"
 ORACLES["dec10_validated_answers"] = with_ctes("SELECT * FROM validated")
 QUERIES["dec10_strict_gate"] = lambda spark, sf: answers.validate_answers_strict(drafts(spark, sf))
 ORACLES["dec10_strict_gate"] = with_ctes("""
@@ -373,7 +373,7 @@ QUERIES["dec14_blockers"] = lambda spark, sf: decide.blockers(decisions(spark, s
 ORACLES["dec14_blockers"] = with_ctes("SELECT * FROM blockers")
 QUERIES["dec15_readback"] = lambda spark, sf: decide.readback(decisions(spark, sf), inputs.field_spec(spark, sf), visible_cells(spark, sf))
 ORACLES["dec15_readback"] = with_ctes("""
-SELECT packet_id, form_id, field_id, issue, CASE WHEN issue = 'value_invisible' THEN value END AS expected, left(text, 120) AS visible
+SELECT packet_id, form_id, field_id, issue, CASE WHEN issue = 'value_invisible' THEN value END AS expected, text AS visible
 FROM (SELECT *, CASE WHEN state = 'FILL' AND value <> '' AND NOT contains(text, value) THEN 'value_invisible' WHEN state = 'FILL' AND value <> '' AND contains(text, '<<REVIEW_REQUIRED>>') THEN 'marker_overlap'
   WHEN state = 'APPROVED_NA' AND NOT contains(text, 'N/A') THEN 'approved_na_not_visible' WHEN state = 'REVIEW_REQUIRED' AND NOT contains(text, '<<REVIEW_REQUIRED>>') THEN 'review_marker_missing' END AS issue FROM placed)
 WHERE issue IS NOT NULL""")

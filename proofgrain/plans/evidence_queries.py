@@ -360,7 +360,7 @@ CTES["bundles"] = r"""
 SELECT q.*, coalesce(b.items, 0) AS items, CASE WHEN b.items IS NULL THEN 'No evidence found for ''' || field_label || ''' (' || search_directive || ')' END AS gap,
   coalesce(snippets, 0) > 3 AS contradiction, CASE WHEN coalesce(snippets, 0) > 3 THEN by_authority ELSE by_weight END AS best
 FROM requirements q LEFT JOIN (
-  SELECT req_id, count(*) AS items, count(DISTINCT trim(regexp_replace(lower(left(content, 200)), '\s+', ' ', 'g'))) AS snippets,
+  SELECT req_id, count(*) AS items, count(DISTINCT trim(regexp_replace(lower(content), '\s+', ' ', 'g'))) AS snippets,
     arg_max(item, struct_pack(w := round(confidence * authority, 9), l := length(content), r := -rank)) AS by_weight,
     arg_max(item, struct_pack(a := authority, r := -rank)) AS by_authority
   FROM (SELECT *, struct_pack(source_file := source_file, doc := doc, chunk_id := chunk_id, confidence := confidence, authority := authority, content := content) AS item
@@ -375,6 +375,9 @@ SELECT req_id, field_type, required, mapping_confidence, can_auto_fill, fallback
   CASE WHEN fb THEN CASE WHEN field_type = 'number' AND required THEN 'N/A - not verified in provided source documents'
       WHEN fallback_behavior IN ('leave_blank', 'use_default') THEN '' ELSE 'Not verified in provided source documents.' END
     WHEN field_type = 'narrative' THEN 'Based on source documentation (' || best.source_file || '), ' || field_label || ': ' || found ELSE found END AS text,
+  CASE WHEN fb THEN CASE WHEN field_type = 'number' AND required THEN 'N/A - not verified in provided source documents'
+      WHEN fallback_behavior IN ('leave_blank', 'use_default') THEN '' ELSE 'Not verified in provided source documents.' END
+    WHEN field_type = 'narrative' THEN 'Based on source documentation (' || best.source_file || '), ' || field_label || ': ' || left(found, CASE WHEN field_type IN ('number', 'date') THEN 80 ELSE 500 END) ELSE left(found, CASE WHEN field_type IN ('number', 'date') THEN 80 ELSE 500 END) END AS shown,
   CASE WHEN fb THEN 0.0::DOUBLE ELSE conf END AS confidence,
   CASE WHEN fb THEN CASE WHEN contains(lower(why), 'conflict') THEN 'completed_with_conflict_resolution' WHEN contains(lower(why), 'failure') THEN 'failed_with_fallback' ELSE 'completed_with_missing_evidence' END
     WHEN contradiction THEN 'completed_with_conflict_resolution' WHEN conf < 0.55 THEN 'completed_with_low_confidence' ELSE 'completed' END AS status,
@@ -383,9 +386,9 @@ FROM (SELECT *, items = 0 OR NOT can_auto_fill AS fb, least(0.99::DOUBLE, best.c
     CASE WHEN items = 0 THEN 'Missing evidence: ' || gap
       WHEN NOT can_auto_fill THEN printf('Low mapping confidence (%.2f); fallbackBehavior=', mapping_confidence) || fallback_behavior
       ELSE 'Synthesized from ' || items || ' evidence item(s). Semantic match for: ' || field_label END AS why,
-    CASE field_type WHEN 'number' THEN CASE WHEN regexp_matches(t, '[-+]?\d*\.?\d+(?:\s*%)?') THEN regexp_extract(t, '[-+]?\d*\.?\d+(?:\s*%)?') ELSE left(string_split(t, '.')[1], 80) END
-      WHEN 'date' THEN CASE WHEN regexp_matches(t, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b') THEN regexp_extract(t, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b') ELSE left(t, 80) END
-      ELSE left(coalesce(nullif(regexp_extract(t, '(?s)^(.*?[.!?])(?:\s.*)?$', 1), ''), t), 500) END AS found
+    CASE field_type WHEN 'number' THEN CASE WHEN regexp_matches(t, '[-+]?\d*\.?\d+(?:\s*%)?') THEN regexp_extract(t, '[-+]?\d*\.?\d+(?:\s*%)?') ELSE string_split(t, '.')[1] END
+      WHEN 'date' THEN CASE WHEN regexp_matches(t, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b') THEN regexp_extract(t, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b') ELSE t END
+      ELSE coalesce(nullif(regexp_extract(t, '(?s)^(.*?[.!?])(?:\s.*)?$', 1), ''), t) END AS found
   FROM (SELECT *, trim(best.content) AS t FROM bundles))"""
 QUERIES["evd21_answers"] = lambda spark, sf: answers.answers(bundles(spark, sf)).drop("query", "search_directive")
 ORACLES["evd21_answers"] = with_ctes("SELECT * FROM answers")

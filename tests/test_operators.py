@@ -340,3 +340,21 @@ def test_combined_identity(spark):
     got = {(r.packet_id, r.field_id): (r.value, r.confidence) for r in match.combine_identity(df, "mark", "number", ["id"]).collect()}
     assert got[1, "id"] == ("ABCX 123456", 0.95)
     assert got[2, "id"][1] == 0.99 and got[2, "id"][0] and got[3, "id"] == ("stays", 0.1) and got[1, "mark"] == ("ABCX 1", 0.5)
+
+
+def test_answers_read_whole_chunks(spark):
+    filler = "All words of this part are the same and say nothing at all "
+    text = (filler * 12)[:700] + "the load limit is 4711 " + filler * 3
+    hits = spark.createDataFrame([(1, 1, "c1", "report.txt", text, 0.9, 0.9)], "query long, doc long, chunk_id string, source_file string, text string, semantic_score double, retrieval_score double")
+    asked = spark.createDataFrame(
+        [(1, 10, "load", "find load", "number", True, 0.9, True, "leave_blank"), (1, 11, "load", "find load", "narrative", True, 0.9, True, "leave_blank")],
+        "query long, req_id long, field_label string, search_directive string, field_type string, required boolean, mapping_confidence double, can_auto_fill boolean, fallback_behavior string")
+    ranked = retrieve.rerank(hits, asked)
+    row = ranked.first()
+    assert row.content == " ".join(text.split()) and len(row.content_preview) == 600
+    made = {r.req_id: r for r in answers.answers(answers.bundle(asked, ranked)).collect()}
+    assert made[10].text == made[10].shown == "4711"
+    assert "4711" in made[11].text and len(made[11].shown) < len(made[11].text)
+    long = answers.answers(answers.bundle(asked, ranked.withColumn("content", F.repeat("content", 4)))).withColumn("valid_place", F.lit(True))
+    final = {r.req_id: r for r in answers.validate_answers(long).collect()}
+    assert len(final[11].text) > 2000 and len(final[11].shown) == 2000
