@@ -1,12 +1,18 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 Words are runs of letters and digits, of any script, with A-Z in lower case.  A window is 13
-consecutive words of an item, or a shorter item as a whole.  Every window has a rarest term
-by the counts of all documents; its place in the item is a seed.  The index holds, for the
-terms of all seeds, each occurrence in the documents (document, position) with the words
-around it.  A posting and a seed of the same term fix an alignment of document and item; the
-words around both are compared outwards, and the common run is an exact match where it
-covers a window.  Common terms therefore never need posting lists.
+consecutive words of an item, or a shorter item as a whole.  The index holds the postings
+(document, position) of the terms that the searches ask for, and for the rarest term of a
+window also the words around it.
+
+Exact matches: a window's two rarest terms, by the counts of all documents, are its lists.
+The postings of the rarest are moved by the distance of the two places and intersected with
+the postings of the other.  Around what is left, the words of item and document are compared
+outwards, and the common run is a match where it covers a window.  A window with a term that
+no document has cannot match, and one of a single term needs one list.
+
+Proximity matches: an item's three rarest terms, all within 30 words of each other, in any
+order.  Terms that no document has count as the rarest, so such items match nowhere.
 
 Only DataFrame functions are used.  The benchmark's term and seed tables are written first,
 so that Spark knows their size and broadcasts them only while they are small.
@@ -27,6 +33,7 @@ from proofgrain.llm.common import row_key, staged, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
+RARE, SPAN = 3, 30  # terms and words of a proximity match
 
 
 def ascii_lower(text: Column) -> Column:
@@ -48,32 +55,47 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """How often each benchmark term occurs in all documents: term, n."""
-    terms = staged(items.select(F.explode("item_words").alias("term")).distinct().coalesce(1), "terms")
+    terms = staged(items.select(F.explode("item_words").alias("term")).distinct(), "terms")
     return docs.select(F.explode("words").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def seeds(items: DataFrame, counts: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rarest term's place of every window: term, item, need, left and right (the item's
-    words before, nearest first, and after).  Windows with a term that no document has go."""
+    """The two rarest terms of every window: term, item, need, second and gap (the other term
+    and its distance; null where the window has one place), left and right (the item's words
+    before the rarest, nearest first, and after)."""
     places = items.select("item", "item_words", F.posexplode("item_words").alias("place", "term"))
     rated = places.join(counts, "term", "left").select("item", "item_words", "place", "term", F.coalesce("n", F.lit(0)).alias("n"))
     per_item = rated.groupBy("item", "item_words").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("ns"))
     width_of = F.least(F.lit(width), F.size("item_words"))
     each = per_item.select("item", "item_words", "ns", width_of.alias("need"), F.explode(F.sequence(F.lit(0), F.size("item_words") - width_of)).alias("first"))
-    rarest = F.array_min(F.transform(F.slice("ns", F.col("first") + 1, F.col("need")), lambda n, i: F.struct(n.alias("n"), (F.col("first") + i).alias("place"))))
-    chosen = each.withColumn("rarest", rarest).where("rarest.n > 0").select("item", "item_words", "need", F.col("rarest.place").alias("place")).distinct()
+    ranked = F.array_sort(F.transform(F.slice("ns", F.col("first") + 1, F.col("need")), lambda n, i: F.struct(n.alias("n"), (F.col("first") + i).alias("place"))))
+    two = each.withColumn("ranked", ranked).select(
+        "item", "item_words", "need", F.get("ranked", F.lit(0))["n"].alias("n"), F.get("ranked", F.lit(0))["place"].alias("place"), F.get("ranked", F.lit(1))["place"].alias("other"))
+    chosen = two.where("n > 0").drop("n").distinct()
     return chosen.select(
         F.element_at("item_words", F.col("place") + 1).alias("term"), "item", "need",
+        F.get("item_words", F.col("other")).alias("second"), (F.col("other") - F.col("place")).alias("gap"),
         F.reverse(F.slice("item_words", F.greatest(F.lit(1), F.col("place") - width + 2), F.least(F.lit(width - 1), F.col("place")))).alias("left"),
         F.slice("item_words", F.col("place") + 2, F.lit(width - 1)).alias("right"))
 
 
+def rare_terms(items: DataFrame, counts: DataFrame, terms: int = RARE) -> DataFrame:
+    """Each item's rarest terms: term, item, of (how many).  Items with one that no document
+    has are left out."""
+    rated = items.select("item", F.explode("item_words").alias("term")).distinct().join(counts, "term", "left").select("item", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    ranked = rated.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("n", "term"))).where(F.col("rank") <= terms)
+    item = Window.partitionBy("item")
+    return ranked.select("term", "item", F.count("*").over(item).alias("of"), F.min("n").over(item).alias("least")).where("least > 0").drop("least")
+
+
 def index(docs: DataFrame, terms: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Postings of the given terms: term, key, at, before (nearest first) and after."""
+    """Postings of the given terms (term, lead): term, key, at, lead, and for leads the words
+    before (nearest first) and after, else null."""
+    around = F.col("lead")
     return docs.select("key", "words", F.posexplode("words").alias("at", "term")).join(terms, "term").select(
-        "term", "key", "at",
-        F.reverse(F.slice("words", F.greatest(F.lit(1), F.col("at") - width + 2), F.least(F.lit(width - 1), F.col("at")))).alias("before"),
-        F.slice("words", F.col("at") + 2, F.lit(width - 1)).alias("after"))
+        "term", "key", "at", "lead",
+        F.when(around, F.reverse(F.slice("words", F.greatest(F.lit(1), F.col("at") - width + 2), F.least(F.lit(width - 1), F.col("at"))))).alias("before"),
+        F.when(around, F.slice("words", F.col("at") + 2, F.lit(width - 1))).alias("after"))
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -83,47 +105,76 @@ def agreeing(a: str, b: str) -> Column:
     return F.when(differs == 0, F.size(same)).otherwise(differs - 1).cast("int")
 
 
+def intersected(postings: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Where the lists of a window's two rarest terms agree: (seed columns), key, at (of the
+    rarest)."""
+    places = postings.select("term", "key", "at")
+    moved = places.join(seeds, "term")
+    single = moved.where("second is null")
+    other = places.select(F.col("term").alias("second"), "key", (F.col("at")).alias("there"))
+    both = moved.where("second is not null").withColumn("there", F.col("at") + F.col("gap")).join(other, ["second", "key", "there"], "left_semi")
+    return both.select(*moved.columns).unionByName(single)
+
+
 def phrase_matches(postings: DataFrame, seeds: DataFrame) -> DataFrame:
     """Exact matches: key, item, first and last (the matching run of document words)."""
-    met = postings.join(seeds, "term").select("key", "item", "need", "at", agreeing("before", "left").alias("l"), agreeing("after", "right").alias("r"))
-    return met.where("l + 1 + r >= need").select("key", "item", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last"))
+    agreed = intersected(postings, seeds).drop("second", "gap").distinct()
+    words_there = postings.where("lead").select("term", "key", "at", "before", "after")
+    met = agreed.join(words_there, ["term", "key", "at"]).select("key", "item", "need", "at", agreeing("before", "left").alias("l"), agreeing("after", "right").alias("r"))
+    return met.where("l + 1 + r >= need").select("key", "item", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last")).distinct()
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, span: int = 30) -> DataFrame:
-    """Documents where an item's rarest terms all lie within ``span`` words of each other, in
-    any order: key, item, first (the earliest such place)."""
-    docs, items = document_words(docs), staged(item_words(benchmark), "items")
-    counts = staged(term_counts(docs, items), "counts")
-    rated = items.select("item", F.explode(F.array_distinct("item_words")).alias("term")).distinct().join(counts, "term")
-    ranked = rated.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("n", "term"))).where(F.col("rank") <= terms)
-    rare = staged(ranked.withColumn("of", F.count("*").over(Window.partitionBy("item"))).select("term", "item", "of").coalesce(1), "rare")
-    hits = staged(index(docs, rare.select("term").distinct()).select("term", "key", "at"), "postings").distinct().join(rare, "term")
+def close_terms(postings: DataFrame, rare: DataFrame, span: int = SPAN) -> DataFrame:
+    """Documents where an item's rare terms all lie within ``span`` words of each other, in any
+    order: key, item, first (the earliest such place)."""
+    hits = postings.select("term", "key", "at").join(rare, "term")
     near = Window.partitionBy("key", "item").orderBy("at").rangeBetween(0, span - 1)
     return hits.withColumn("seen", F.size(F.collect_set("term").over(near))).where("seen = of").groupBy("key", "item").agg(F.min("at").alias("first"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per matching document: key, n_hit, n_items, items_sha256."""
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = RARE, span: int = SPAN) -> DataFrame:
+    """``close_terms`` of each item's ``terms`` rarest terms, from tables of texts."""
+    docs, items = document_words(docs), staged(item_words(benchmark), "items")
+    rare = staged(rare_terms(items, staged(term_counts(docs, items), "counts"), terms), "rare")
+    wanted = rare.select("term").distinct().withColumn("lead", F.lit(False))
+    return close_terms(staged(index(docs, wanted), "postings"), rare, span)
+
+
+def named(matches: DataFrame, count: str, digest: str) -> DataFrame:
+    """Per key the number of items and the digest of their sorted ids."""
+    return matches.select("key", "item").distinct().groupBy("key").agg(F.count("*").alias(count), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias(digest))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, near: bool = False) -> DataFrame:
+    """Per matching document: key, n_hit, n_items, items_sha256; with ``near`` also n_near and
+    near_sha256 of the proximity matches."""
     items = staged(item_words(benchmark), "items")
     found = document_words(docs)
-    starts = staged(seeds(items, term_counts(found, items), width).coalesce(1), "seeds")
-    terms = staged(starts.select("term").distinct().coalesce(1), "seed_terms")
-    postings = staged(index(found, terms, width), "postings").distinct()
+    counts = staged(term_counts(found, items), "counts")
+    starts = staged(seeds(items, counts, width), "seeds")
+    asked = starts.select("term", F.lit(True).alias("lead")).unionByName(starts.where("second is not null").select(F.col("second").alias("term"), F.lit(False).alias("lead")))
+    if near:
+        rare = staged(rare_terms(items, counts), "rare")
+        asked = asked.unionByName(rare.select("term", F.lit(False).alias("lead")))
+    terms = staged(asked.groupBy("term").agg(F.max("lead").alias("lead")), "asked_terms")
+    postings = staged(index(found, terms, width), "postings")
     matches = staged(phrase_matches(postings, starts), "matches")
     before = Window.partitionBy("key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.coalesce(F.max("last").over(before), F.lit(-1))))
     runs = matches.select("key", "first", "last").distinct().select("key", new.alias("new")).groupBy("key").agg(F.sum("new").cast("bigint").alias("n_hit"))
-    named = matches.select("key", "item").distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
-    return runs.join(named, "key")
+    exact = runs.join(named(matches, "n_items", "items_sha256"), "key")
+    return exact.join(named(close_terms(postings, rare), "n_near", "near_sha256"), "key", "full_outer") if near else exact
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; n_near and
+    near_sha256 (items with a proximity match)."""
     found = document_words(docs).select("doc_id", "key", F.size("words").cast("bigint").alias("n_words"))
-    joined = found.join(hits(docs, benchmark, width), "key", "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
+    joined = found.join(hits(docs, benchmark, width, near=True), "key", "left")
+    n_hit, nothing = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.sha2(F.lit(""), 256)
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
-                         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
+                         F.coalesce("items_sha256", nothing).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+                         F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.coalesce("near_sha256", nothing).alias("near_sha256"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20) -> DataFrame:
@@ -150,8 +201,20 @@ grams AS (
   FROM (SELECT k, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
 m AS (SELECT k, item_id, s, n FROM grams JOIN wins USING (n, gram)),
 h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(generate_series(s, s + n - 1)) AS p FROM m) GROUP BY k),
-i AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY k)
+i AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY k),
+bt AS (SELECT DISTINCT item_id, unnest(w) AS t FROM b),
+dt AS (SELECT k, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+tc AS (SELECT t, count(*) AS n FROM dt WHERE t IN (SELECT t FROM bt) GROUP BY t),
+rt AS (
+  SELECT item_id, t, count(*) OVER (PARTITION BY item_id) AS o, min(n) OVER (PARTITION BY item_id) AS least_n
+  FROM (SELECT item_id, t, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), t) AS r FROM bt LEFT JOIN tc USING (t)) WHERE r <= 3),
+near AS (
+  SELECT DISTINCT k, item_id FROM (
+    SELECT k, item_id, o, len(list_distinct(list(t) OVER (PARTITION BY k, item_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING))) AS seen
+    FROM dt JOIN rt USING (t) WHERE least_n > 0) WHERE seen = o),
+x AS (SELECT k, count(*) AS n_near, sha256(string_agg(item, ',' ORDER BY item)) AS near_sha256 FROM (SELECT k, CAST(item_id AS VARCHAR) AS item FROM near) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (k) LEFT JOIN i USING (k)
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(near_sha256, sha256('')) AS near_sha256
+FROM d LEFT JOIN h USING (k) LEFT JOIN i USING (k) LEFT JOIN x USING (k)
 """
