@@ -250,28 +250,39 @@ SELECT key AS identity, key AS destination, CASE d WHEN '' THEN 'UNEVALUATED' WH
 UNION ALL SELECT CASE c_custkey % 4 WHEN 0 THEN w || w WHEN 1 THEN 'Mc' || w ELSE w || ' ' || c_name END, 'people row ' || c_custkey, 'POPULATED_VERIFIED' FROM (SELECT *, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS w FROM customer)""")
 
 
+FILES_OF_SOURCE = 8
+
+
 def streamed(spark, sf):
-    """A file per source; then one is rewritten, one is deleted, and one of an old date comes."""
+    """Every document goes into files of a source and a bucket; in the second wave some files
+    are rewritten, some deleted, some come new and with an old date, and the others stay."""
     inbox, log, state, made = (scratch(spark, x) for x in ("inbox", "index", "stream", "made"))
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = table(spark, sf, "documents").select(
+        F.concat_ws("-", F.coalesce("source", F.lit("none")), (F.col("doc_id") % FILES_OF_SOURCE).cast("string")).alias("file"), (F.col("doc_id") % FILES_OF_SOURCE).alias("bucket"), "text")
     jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     fs = jvm.Path(inbox).getFileSystem(conf)
 
     def put(rows, wave, folder):
-        rows.select("source", "text").repartition("source").write.partitionBy("source").text(f"{made}/{wave}")
+        """A file of each name; returns their paths."""
+        paths = []
+        rows.select("file", "text").repartition("file").write.partitionBy("file").text(f"{made}/{wave}")
         fs.mkdirs(jvm.Path(f"{inbox}/{folder}"))
-        for of_source in fs.listStatus(jvm.Path(f"{made}/{wave}")):
-            if of_source.isDirectory():
-                target = jvm.Path(f"{inbox}/{folder}/{of_source.getPath().getName().partition('=')[2]}.txt")
+        for of_file in fs.listStatus(jvm.Path(f"{made}/{wave}")):
+            if of_file.isDirectory():
+                target = jvm.Path(f"{inbox}/{folder}/{of_file.getPath().getName().partition('=')[2]}.txt")
                 fs.delete(target, False)
-                fs.rename(next(f.getPath() for f in fs.listStatus(of_source.getPath()) if f.getPath().getName().startswith("part-")), target)
+                fs.rename(next(f.getPath() for f in fs.listStatus(of_file.getPath()) if f.getPath().getName().startswith("part-")), target)
+                paths.append(target)
+        return paths
 
-    put(docs.where("doc_id % 3 = 0"), "first", "main")
+    first = put(docs.where("bucket <> 1"), "first", "main")
     index.stream_index(spark, inbox, log, state, "*.txt").awaitTermination()
-    put(docs.where("doc_id % 3 = 1 and source = 'src2'"), "second", "main")
-    put(docs.where("doc_id % 3 = 1 and source = 'src3'"), "third", "late")
-    fs.setTimes(jvm.Path(f"{inbox}/late/src3.txt"), 1_000_000_000_000, -1)
-    fs.delete(jvm.Path(f"{inbox}/main/src1.txt"), False)
+    put(docs.where("bucket = 0").withColumn("text", F.concat("text", F.lit(" revised"))), "second", "main")
+    for path in put(docs.where("bucket = 1"), "third", "late"):
+        fs.setTimes(path, 1_000_000_000_000, -1)
+    for path in first:
+        if path.getName().endswith("-2.txt"):
+            fs.delete(path, False)
     index.stream_index(spark, inbox, log, state, "*.txt").awaitTermination()
     index.refresh_index(spark, inbox, log, 1, "*.txt")  # the batch once more
     index.refresh_index(spark, inbox, log, 2, "*.txt")  # nothing has changed since
@@ -280,12 +291,12 @@ def streamed(spark, sf):
 
 
 QUERIES["str1_stream_index"] = streamed
-ORACLES["str1_stream_index"] = """
-WITH first AS (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 0), second AS (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 1),
+ORACLES["str1_stream_index"] = f"""
+WITH files AS (SELECT DISTINCT coalesce(source, 'none') AS source, doc_id % {FILES_OF_SOURCE} AS bucket FROM documents),
 n AS (
-  SELECT 0 AS batch_id, 'new' AS change, count(*) AS files FROM first
-  UNION ALL SELECT 1, 'changed', count(*) FROM first JOIN second USING (source) WHERE source = 'src2'
-  UNION ALL SELECT 1, 'new', count(*) FROM second WHERE source = 'src3'
-  UNION ALL SELECT 1, 'deleted', count(*) FROM first WHERE source = 'src1')
+  SELECT 0 AS batch_id, 'new' AS change, count(*) AS files FROM files WHERE bucket <> 1
+  UNION ALL SELECT 1, 'changed', count(*) FROM files WHERE bucket = 0
+  UNION ALL SELECT 1, 'new', count(*) FROM files WHERE bucket = 1
+  UNION ALL SELECT 1, 'deleted', count(*) FROM files WHERE bucket = 2)
 SELECT * FROM n WHERE files > 0
 UNION ALL SELECT -1, 'current', CAST(sum(CASE change WHEN 'new' THEN files WHEN 'deleted' THEN -files ELSE 0 END) AS BIGINT) FROM n"""
