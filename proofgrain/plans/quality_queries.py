@@ -250,15 +250,17 @@ SELECT key AS identity, key AS destination, CASE d WHEN '' THEN 'UNEVALUATED' WH
 UNION ALL SELECT CASE c_custkey % 4 WHEN 0 THEN w || w WHEN 1 THEN 'Mc' || w ELSE w || ' ' || c_name END, 'people row ' || c_custkey, 'POPULATED_VERIFIED' FROM (SELECT *, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS w FROM customer)""")
 
 
-FILES_OF_SOURCE = 8
+WAVES_OF_SOURCE, DOCS_OF_FILE = 8, 500
 
 
 def streamed(spark, sf):
-    """Every document goes into files of a source and a bucket; in the second wave some files
+    """Every document goes into files of a source, a range of ids and a bucket, at most
+    ``DOCS_OF_FILE`` documents in each; in the second wave some files
     are rewritten, some deleted, some come new and with an old date, and the others stay."""
     inbox, log, state, made = (scratch(spark, x) for x in ("inbox", "index", "stream", "made"))
     docs = table(spark, sf, "documents").select(
-        F.concat_ws("-", F.coalesce("source", F.lit("none")), (F.col("doc_id") % FILES_OF_SOURCE).cast("string")).alias("file"), (F.col("doc_id") % FILES_OF_SOURCE).alias("bucket"), "text")
+        F.concat_ws("-", F.coalesce("source", F.lit("none")), F.expr(f"doc_id div {WAVES_OF_SOURCE * DOCS_OF_FILE}").cast("string"), (F.col("doc_id") % WAVES_OF_SOURCE).cast("string")).alias("file"),
+        (F.col("doc_id") % WAVES_OF_SOURCE).alias("bucket"), "text")
     jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     fs = jvm.Path(inbox).getFileSystem(conf)
 
@@ -286,13 +288,13 @@ def streamed(spark, sf):
     index.stream_index(spark, inbox, log, state, "*.txt").awaitTermination()
     index.refresh_index(spark, inbox, log, 1, "*.txt")  # the batch once more
     index.refresh_index(spark, inbox, log, 2, "*.txt")  # nothing has changed since
-    changes = spark.read.parquet(log).groupBy(F.col("batch_id").cast("int").alias("batch_id"), "change").agg(F.count("*").alias("files"))
+    changes = index.changes(spark, log).groupBy(F.col("batch_id").cast("int").alias("batch_id"), "change").agg(F.count("*").alias("files"))
     return changes.unionByName(index.current_index(spark, log).agg(F.lit(-1).alias("batch_id"), F.lit("current").alias("change"), F.count("*").alias("files")))
 
 
 QUERIES["str1_stream_index"] = streamed
 ORACLES["str1_stream_index"] = f"""
-WITH files AS (SELECT DISTINCT coalesce(source, 'none') AS source, doc_id % {FILES_OF_SOURCE} AS bucket FROM documents),
+WITH files AS (SELECT DISTINCT coalesce(source, 'none') AS source, doc_id // {WAVES_OF_SOURCE * DOCS_OF_FILE} AS block, doc_id % {WAVES_OF_SOURCE} AS bucket FROM documents),
 n AS (
   SELECT 0 AS batch_id, 'new' AS change, count(*) AS files FROM files WHERE bucket <> 1
   UNION ALL SELECT 1, 'changed', count(*) FROM files WHERE bucket = 0

@@ -82,17 +82,23 @@ UNION ALL SELECT 'box_' || doc_id || '__inner__deep__notes.txt', sha256(text) FR
 UNION ALL SELECT CASE WHEN n = 1 THEN 'Shared.txt' ELSE 'Shared_' || n || '.txt' END, sha256(text) FROM numbered"""
 
 
+DOCS_OF_FILE = 500
+
+
 def src3_text(spark, sf):
-    """Files of each source, read back as documents named by their paths."""
+    """Files of a source and a range of ids, read back as documents named by their paths."""
     root = scratch(spark, "texts")
-    table(spark, sf, "documents").select("source", "text").repartition("source").write.partitionBy("source").text(root)
-    docs = text_source.read_text_docs(spark, root)
-    return docs.select(F.regexp_extract("source_file", "^source=([^/]*)/[^/]*$", 1).alias("source"), "method", F.length("text").alias("characters"))
+    docs = table(spark, sf, "documents").select("source", F.expr(f"doc_id div {DOCS_OF_FILE}").alias("block"), "text")
+    docs.repartition("source", "block").write.partitionBy("source", "block").text(root)
+    place = "^source=([^/]*)/block=([0-9]+)/[^/]*$"
+    return text_source.read_text_docs(spark, root).select(
+        F.regexp_extract("source_file", place, 1).alias("source"), F.regexp_extract("source_file", place, 2).cast("bigint").alias("block"),
+        "method", F.length("text").alias("characters"))
 
 
 QUERIES["src3_text_documents"] = src3_text
-ORACLES["src3_text_documents"] = """
-SELECT source, 'local_text' AS method, CAST(sum(length(text) + 1) AS INTEGER) AS characters FROM documents GROUP BY source"""
+ORACLES["src3_text_documents"] = f"""
+SELECT source, CAST(doc_id // {DOCS_OF_FILE} AS BIGINT) AS block, 'local_text' AS method, CAST(sum(length(text) + 1) AS INTEGER) AS characters FROM documents GROUP BY ALL"""
 
 
 def src3_paragraphs(spark, sf):

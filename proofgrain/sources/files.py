@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,9 +69,21 @@ def safe_name(name: str, default: str = "member") -> str:
     return re.sub(r"[^A-Za-z0-9_.-]+", "_", "__".join(parts) or default).strip("._") or default
 
 
-def _members(data: bytes, prefix: str, level: int, depth: int, suffixes: frozenset) -> Iterator[tuple[str, bytes]]:
+#: Unpacked bytes that are held before they are handed on; a larger member goes by itself.
+HELD = 16 << 20
+
+
+def _read(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> bytes | None:
+    try:
+        return archive.read(info)
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+        return None  # damaged, encrypted or of an unknown compression
+
+
+def _members(data: bytes, prefix: str, level: int, depth: int, suffixes: frozenset) -> Iterator[tuple[str, Callable]]:
+    """(name, function that unpacks) of each member, in the order of the directories."""
     if level >= depth:
-        yield f"{prefix}.zip", data
+        yield f"{prefix}.zip", lambda: data
         return
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
@@ -83,9 +96,9 @@ def _members(data: bytes, prefix: str, level: int, depth: int, suffixes: frozens
             member = safe_name(info.filename)
             stem, _, suffix = member.rpartition(".")
             if suffix.lower() == "zip":
-                yield from _members(archive.read(info), f"{prefix}__{stem}", level + 1, depth, suffixes)
+                yield from _members(_read(archive, info) or b"", f"{prefix}__{stem}", level + 1, depth, suffixes)
             elif suffix.lower() in suffixes:
-                yield f"{prefix}__{member}", archive.read(info)
+                yield f"{prefix}__{member}", lambda info=info: _read(archive, info)
 
 
 def expand_archives(
@@ -93,40 +106,57 @@ def expand_archives(
 ) -> DataFrame:
     """Zip members as files (``packet, name, path, content``); other files pass through.
 
-    One archive is unpacked by one task; a bad archive yields nothing.  An archive nested deeper
-    than ``max_depth`` is kept as a file.  Equal names within a packet get ``_2``, ``_3`` in path order.
+    Names come from the archives' directories alone: equal names within a packet get ``_2``,
+    ``_3`` in the order of (path, place in the directory) before anything but nested archives is
+    unpacked.  Then one task unpacks an archive, member by member, each once, and hands on
+    ``HELD`` bytes at a time.  A bad archive and a member that can't be read yield nothing (the
+    member's number stays taken).  An archive nested deeper than ``max_depth`` is kept as a
+    file.  A path stands for one file of its packet.
     """
     allowed = frozenset(suffixes)
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(row) -> Iterator[tuple[str, Callable]]:
+        if row.name.lower().endswith(".zip"):
+            content = b"" if row.content is None else bytes(row.content)
+            return _members(content, safe_name(row.name.rsplit(".", 1)[0], "archive"), 0, max_depth, allowed)
+        return iter([(safe_name(row.name), lambda: row.content)])
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names = [(row.packet, name, row.path, i) for row in batch.itertuples(index=False) for i, (name, _) in enumerate(members(row))]
+            yield pd.DataFrame(names, columns=["packet", "name", "path", "member"])
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["packet", "name", "path", "content"])
+
+        held, size = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if row.name.lower().endswith(".zip"):
-                    stem = safe_name(row.name.rsplit(".", 1)[0], "archive")
-                    found = [
-                        (row.packet, name, row.path, i, data)
-                        for i, (name, data) in enumerate(_members(bytes(row.content), stem, 0, max_depth, allowed))
-                    ]
-                else:
-                    found = [(row.packet, safe_name(row.name), row.path, 0, bytes(row.content))]
-                if found:
-                    yield pd.DataFrame(found, columns=["packet", "name", "path", "member", "content"])
-
-    rows = files.select("packet", "name", "path", "content").mapInPandas(
-        unpack, "packet string, name string, path string, member int, content binary"
-    )
-    # number clashing names without moving the contents: only their keys are sorted
-    numbered = number_repeats(rows.select("packet", "name", "path", "member"), ["packet", "name"], ["path", "member"])
-    fresh = F.when(F.col("n") == 1, F.col("name")).otherwise(
-        F.concat(
-            F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("_"), F.col("n").cast("string"),
-            F.regexp_extract("name", r"(\.[^.]*)$", 1),
-        )
-    )
-    clashes = numbered.where("n > 1").select("packet", "path", "member", fresh.alias("fresh"))
-    return rows.join(clashes, ["packet", "path", "member"], "left").select(
-        "packet", F.coalesce("fresh", "name").alias("name"), "path", "content"
-    )
+                fresh = {} if row.members is None else dict(zip(row.members, row.fresh))
+                for i, (name, unpack) in enumerate(members(row)):
+                    content = unpack()
+                    if content is None and row.name.lower().endswith(".zip"):
+                        continue
+                    if held and size + len(content or b"") > HELD:
+                        yield frame(held)
+                        held, size = [], 0
+                    held.append((row.packet, fresh.get(i, name), row.path, content))
+                    size += len(content or b"")
+        if held:
+            yield frame(held)
+
+    rows = files.where("name is not null").select("packet", "name", "path", "content")
+    directory = rows.withColumn("content", F.when(F.lower("name").endswith(".zip"), F.col("content"))).mapInPandas(
+        listed, "packet string, name string, path string, member int")
+    numbered = number_repeats(directory, ["packet", "name"], ["path", "member"])
+    fresh = F.concat(
+        F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("_"), F.col("n").cast("string"), F.regexp_extract("name", r"(\.[^.]*)$", 1))
+    clashes = numbered.where("n > 1").groupBy("packet", "path").agg(F.collect_list(F.struct("member", fresh.alias("fresh"))).alias("x")).select(
+        F.col("packet").alias("of_packet"), F.col("path").alias("of_path"), F.col("x.member").alias("members"), F.col("x.fresh").alias("fresh"))
+    same = F.col("packet").eqNullSafe(F.col("of_packet")) & F.col("path").eqNullSafe(F.col("of_path"))
+    return rows.join(clashes, same, "left").drop("of_packet", "of_path").mapInPandas(
+        unpacked, "packet string, name string, path string, content binary")
 
 
 # ------------------------------------------------------------------ documents
