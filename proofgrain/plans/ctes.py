@@ -14,7 +14,8 @@ CTES: dict[str, str] = {}
 
 #: Large steps that several others read: computed once, so that plans do not hang on guesses
 #: of their sizes.
-STEPS = ("evidence_chunks", "candidates", "suggestions", "reviewed")
+STEPS = ("evidence_chunks", "candidates", "suggestions", "reviewed", "gaps", "far_gaps",
+         *(f"{p}_{x}" for p in ("near", "far") for x in ("chunks", "cp", "df", "q", "c", "top")))
 
 
 def with_ctes(sql: str) -> str:

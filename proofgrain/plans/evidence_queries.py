@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from proofgrain.operators import answers, ledger, match, pairs, retrieve
 from proofgrain.plans import inputs
-from proofgrain.plans.ctes import ALIAS_RULES, CTES, with_ctes
+from proofgrain.plans.ctes import ALIAS_RULES, CTES, TERM, with_ctes
 from proofgrain.plans.retrieve_queries import doc_chunks, requirements, reranked
 from proofgrain.plans.stages import stage
 from proofgrain.session import table
@@ -403,3 +403,71 @@ def gap_search(spark, sf):
 
 
 QUERIES["ret9_targeted_search"] = gap_search
+
+
+WORD_LIST = f"regexp_extract_all(lower(@), '{TERM}')"
+OVERLAP_LIST = "list_distinct(regexp_extract_all(lower(@), '[a-z0-9_./-]+'))"
+CTES["gaps"] = f"""
+SELECT packet_id, form_id, field_id, confidence AS old, label, [string_split(label, ' ')[-1], 'pending', label] AS terms,
+  label || ' ' || string_split(label, ' ')[-1] || ' pending ' || label AS query_text
+FROM own_guarded JOIN field_spec USING (form_id, field_id) WHERE decision NOT IN ('usable', 'conflict')"""
+
+
+def gap_ctes(p: str, asks: str, scope: str) -> None:
+    """CTE <p>_top: the five best chunks of each asked field, by the statistics of its packet."""
+    grams = "list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))"
+    on, chunk = "packet_id, form_id", "packet_id, form_id, source_file, chunk_id"
+    CTES[f"{p}_chunks"] = f"""
+SELECT g.packet_id, g.form_id, source_file, chunk_id, {WORD_LIST.replace('@', 'text')} AS w, {OVERLAP_LIST.replace('@', 'text')} AS o, count(*) OVER (PARTITION BY g.packet_id, g.form_id) AS nd
+FROM (SELECT DISTINCT packet_id, form_id FROM {asks}) g JOIN evidence_chunks c ON c.packet_id = g.packet_id AND ({scope})"""
+    CTES[f"{p}_cp"] = f"SELECT {chunk}, nd, term, count(*) AS n FROM (SELECT {chunk}, nd, unnest({grams}) AS term FROM {p}_chunks WHERE nd > 1) GROUP BY ALL"
+    CTES[f"{p}_df"] = f"SELECT {on}, term, count(*) AS df FROM {p}_cp GROUP BY ALL"
+    CTES[f"{p}_asked"] = f"SELECT {on}, field_id, {WORD_LIST.replace('@', 'query_text')} AS w, {OVERLAP_LIST.replace('@', 'query_text')} AS o FROM {asks}"
+    CTES[f"{p}_qp"] = f"SELECT {on}, field_id, term, count(*) AS n FROM (SELECT {on}, field_id, unnest({grams}) AS term FROM {p}_asked) GROUP BY ALL"
+    CTES[f"{p}_q"] = f"""
+SELECT q.*, ln((2.0::DOUBLE + nd) / (2.0::DOUBLE + coalesce(df, 0))) + 1.0::DOUBLE AS idf
+FROM {p}_qp q JOIN (SELECT DISTINCT {on}, nd FROM {p}_chunks) USING ({on}) LEFT JOIN {p}_df USING ({on}, term)"""
+    CTES[f"{p}_c"] = f"SELECT c.*, ln((2.0::DOUBLE + nd) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM {p}_cp c JOIN {p}_df USING ({on}, term)"
+    CTES[f"{p}_top"] = f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {on}, field_id ORDER BY score DESC, source_file, chunk_id) AS rank FROM (
+    SELECT {chunk}, field_id, round(dot / (sqrt(ss + shift) * qn), 6) AS score
+    FROM (SELECT {', '.join('c.' + x for x in chunk.split(', '))}, field_id, sum(c.n * q.idf * q.n * q.idf) AS dot, sum(CAST(c.n AS DOUBLE) * c.n * (q.idf * q.idf - c.idf * c.idf)) AS shift
+      FROM {p}_c c JOIN {p}_q q USING ({on}, term) GROUP BY ALL)
+    JOIN (SELECT {chunk}, sum(n * idf * n * idf) AS ss FROM {p}_c GROUP BY ALL) USING ({chunk})
+    JOIN (SELECT {on}, field_id, sqrt(sum(n * idf * n * idf)) AS qn FROM {p}_q GROUP BY ALL) USING ({on}, field_id)
+    UNION ALL
+    SELECT {chunk}, field_id, round(len(list_intersect(c.o, a.o)) / CAST(len(a.o) AS DOUBLE), 6) FROM {p}_chunks c JOIN {p}_asked a USING ({on}) WHERE nd = 1)
+  WHERE score >= 0.05) WHERE rank <= 5"""
+
+
+gap_ctes("near", "gaps", "scope_hint IS NULL OR scope_hint = g.form_id")
+CTES["far_gaps"] = "SELECT * FROM gaps WHERE NOT EXISTS (SELECT 1 FROM near_top n WHERE n.packet_id = gaps.packet_id AND n.form_id = gaps.form_id AND n.field_id = gaps.field_id)"
+gap_ctes("far", "far_gaps", "true")
+
+
+def _good(v: str) -> str:
+    return f"({v} <> '' AND length({v}) <= 100 AND NOT regexp_matches({v}, '[:=]$') AND NOT regexp_matches({v}, '^[A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+$'))"
+
+
+_pair = r"'^\s*([A-Za-z0-9 _./()&\-#]+?)\s*[:=\-\x{2013}]\s*(.+?)$'"
+CTES["gap_snippets"] = r"""
+SELECT *, trim(regexp_replace(substring(text, greatest(1, place - 60), place + length(term) + 120 - greatest(1, place - 60)), '\s+', ' ', 'g')) AS snippet
+FROM (SELECT *, instr(lower(text), term) AS place FROM (
+  SELECT t.*, c.text, c.scope_hint, g.old, [lower(label)] || low AS all_terms, list_filter(low, lambda x: contains(lower(text), x))[1] AS term, scope_hint IS NULL OR scope_hint = t.form_id AS own
+  FROM (SELECT * FROM near_top UNION ALL SELECT * FROM far_top) t JOIN evidence_chunks c ON c.packet_id = t.packet_id AND c.source_file = t.source_file AND c.chunk_id = t.chunk_id
+  JOIN (SELECT *, list_transform(terms, lambda x: lower(trim(x))) AS low FROM gaps) g ON g.packet_id = t.packet_id AND g.form_id = t.form_id AND g.field_id = t.field_id))"""
+CTES["gap_values"] = rf"""
+SELECT *, CASE WHEN own OR rank = 1 THEN coalesce(list_filter(behind, lambda v: {_good('v')})[1],
+    CASE WHEN regexp_matches(snippet, {_pair}) AND {_good('found_value')}
+      AND len(list_filter(all_terms, lambda t: contains(found_label, t) OR contains(t, found_label))) > 0 THEN found_value END) END AS value
+FROM (SELECT *, lower(trim(regexp_extract(snippet, {_pair}, 1))) AS found_label, trim(regexp_extract(snippet, {_pair}, 2)) AS found_value,
+  list_transform(list_filter(all_terms, lambda t: contains(lower(snippet), t)), lambda t: trim(regexp_extract(substring(snippet, instr(lower(snippet), t) + length(t)), '^:\s*(.+?)$', 1))) AS behind
+  FROM gap_snippets)"""
+ORACLES["ret9_targeted_search"] = with_ctes("""
+SELECT packet_id, form_id, field_id, coalesce(f.hit.value, l.value) AS value, f.hit.source_file AS source_file, f.hit.chunk_id AS chunk_id, f.hit.snippet AS source_text,
+  coalesce(f.hit.scope_hint, l.scope) AS scope, greatest(old, CASE WHEN f.hit.value IS NOT NULL THEN least(0.75::DOUBLE, 0.5::DOUBLE + f.hit.score) ELSE least(0.5::DOUBLE, 0.3::DOUBLE + f.hit.score) END) AS confidence,
+  CASE WHEN f.hit.value IS NOT NULL THEN 'usable' ELSE 'weak' END AS decision
+FROM (SELECT packet_id, form_id, field_id, old, coalesce(arg_min(x, rank) FILTER (x.value IS NOT NULL), arg_min(x, rank)) AS hit, arg_min(x, rank) AS head
+  FROM (SELECT *, struct_pack(source_file := source_file, chunk_id := chunk_id, scope_hint := scope_hint, score := score, snippet := snippet, value := value) AS x FROM gap_values)
+  GROUP BY packet_id, form_id, field_id, old) f
+JOIN own_guarded l USING (packet_id, form_id, field_id) WHERE f.head.snippet IS NOT NULL""")
