@@ -102,19 +102,28 @@ def bindings(field_maps: DataFrame, ontology: DataFrame) -> DataFrame:
         ontology.select("canonical_id"), "canonical_id", "left_semi")
 
 
+def governed_bindings(field_maps: DataFrame, ontology: DataFrame) -> DataFrame:
+    """``bindings`` with the mode and ``must_agree`` of their entity, as ``consistency`` reads them."""
+    rules_of = ontology.select("canonical_id", F.col("consistency").alias("mode"), "must_agree")
+    return bindings(field_maps, ontology).distinct().join(rules_of, "canonical_id")
+
+
 def consistency(filled: DataFrame, bound: DataFrame, packet: str = "packet_id") -> DataFrame:
     """Canonical fields seen in two or more forms of a packet, and whether they agree.
 
     ``filled``: (packet, form_id, field_id, value); ``bound``: (form_id, field_id,
-    canonical_id, mode).  exact_match: one value; prefix_match: one first word;
-    contains: every value contains, or is contained in, the smallest value.
+    canonical_id, mode, and optionally must_agree).  exact_match: one value; prefix_match: one
+    first word; contains: every value contains, or is contained in, the smallest value.
+    Entities compared as a whole or that must agree give errors, others warnings.
     """
+    if "must_agree" not in bound.columns:
+        bound = bound.withColumn("must_agree", F.lit(False))
     rows = filled.where("value <> ''").join(bound.where("mode <> 'ignore'"), ["form_id", "field_id"])
     # a form has one value per entity: that of its last field
-    per_form = rows.groupBy(packet, "canonical_id", "mode", "form_id").agg(F.max_by("value", "field_id").alias("value"))
+    per_form = rows.groupBy(packet, "canonical_id", "mode", "form_id").agg(F.max_by("value", "field_id").alias("value"), F.max("must_agree").alias("must_agree"))
     first = F.upper(F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)))
     per = per_form.groupBy(packet, "canonical_id", "mode").agg(
-        F.count("*").alias("forms"), F.min("value").alias("base"), (F.min("value") == F.max("value")).alias("equal"), (F.min(first) == F.max(first)).alias("same_prefix"))
+        F.count("*").alias("forms"), F.max("must_agree").alias("must_agree"), F.min("value").alias("base"), (F.min("value") == F.max("value")).alias("equal"), (F.min(first) == F.max(first)).alias("same_prefix"))
     per = per.where("forms >= 2")
     apart = per_form.join(per.where("mode = 'contains'").select(packet, "canonical_id", "base"), [packet, "canonical_id"]).where(
         ~F.contains("value", "base") & ~F.contains("base", "value")).select(packet, "canonical_id").distinct().withColumn("apart", F.lit(True))
@@ -124,7 +133,7 @@ def consistency(filled: DataFrame, bound: DataFrame, packet: str = "packet_id")
         .otherwise(F.col("apart").isNull()))
     return j.select(
         packet, "canonical_id", "mode", "forms", agrees.alias("agrees"),
-        F.when(~agrees, F.when(F.col("mode") == "exact_match", "error").otherwise("warning")).alias("severity"))
+        F.when(~agrees, F.when((F.col("mode") == "exact_match") | F.col("must_agree"), "error").otherwise("warning")).alias("severity"))
 
 
 # ------------------------------------------------------------------ maps
@@ -258,20 +267,24 @@ def date_order(cells: DataFrame) -> DataFrame:
     return per.where("n >= 2 and first_day > last_day").select("doc", "tbl", "row", "first_day", "last_day")
 
 
-def validation_summary(drift: DataFrame, cell: DataFrame, dates: DataFrame, fingerprint: DataFrame, docs: DataFrame) -> DataFrame:
+def validation_summary(drift: DataFrame, cell: DataFrame, dates: DataFrame, fingerprint: DataFrame, docs: DataFrame,
+                       flagged: DataFrame, typos: DataFrame, unresolved: DataFrame) -> DataFrame:
     """Issues per class and document, and whether the document passes.
 
-    ``drift`` has doc and passed; the others doc (fingerprint also status)."""
+    ``drift`` has doc and passed; the others doc (fingerprint also status).  Inconsistencies
+    that were only flagged and typos that were mended are counted but fail no document."""
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("doc").agg(F.count("*").alias(name))
 
     out = docs.select("doc").distinct()
     for df, name in ((drift.where("not passed"), "layout_integrity_warnings"), (cell, "cell_boundary_issues"), (dates, "date_format_issues"),
-                     (fingerprint.where("status = 'drift'"), "fingerprint_drift_tables")):
+                     (fingerprint.where("status = 'drift'"), "fingerprint_drift_tables"), (unresolved, "unresolved_conflicts"),
+                     (flagged, "flagged_only_inconsistencies"), (typos, "typo_fixes_applied")):
         out = out.join(count(df, name), "doc", "left")
     names = out.columns[1:]
+    failing = names[:-2]
     out = out.select("doc", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
-    return out.withColumn("passed", sum((F.col(n) for n in names[1:]), F.col(names[0])) == 0)
+    return out.withColumn("passed", sum((F.col(n) for n in failing[1:]), F.col(failing[0])) == 0)
 
 
 def covered_by(candidates: DataFrame, masters: DataFrame) -> DataFrame:

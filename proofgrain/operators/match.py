@@ -162,6 +162,16 @@ def resolve_aliases(pairs: DataFrame, alias_rules: Sequence[tuple]) -> DataFrame
         "authorises_write", F.col("direction") == "write_bridge").drop("forms", "alias_key")
 
 
+def grade_aliases(proposals: DataFrame, auto_max: int = 2) -> DataFrame:
+    """Adds ``auto_usable`` (a tier of ``auto_max`` or better) and ``route`` to alias proposals
+    with label, from_text and tier: 'use', or 'review' for a person.  A proposal without a text
+    of its own stands for its label; one without a tier is never used."""
+    usable = F.coalesce(F.col("tier") <= auto_max, F.lit(False))
+    text = F.when(F.coalesce("from_text", F.lit("")) != "", F.col("from_text")).otherwise(F.col("label"))
+    return proposals.withColumn("from_text", text).withColumn("auto_usable", usable).withColumn(
+        "route", F.when(usable, "use").otherwise("review"))
+
+
 def alias_keys(forms: DataFrame, alias_rules: Sequence[tuple]) -> DataFrame:
     """(form_id, field_id, key) of the aliases each form may read."""
     rows = F.array(*[

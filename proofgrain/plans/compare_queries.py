@@ -9,6 +9,7 @@ from proofgrain.operators import compare
 from proofgrain.plans import inputs
 from proofgrain.plans.ctes import CTES, with_ctes
 from proofgrain.plans.decision_queries import decisions, reviewed
+from proofgrain.plans.evidence_queries import staged_ledger
 from proofgrain.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -95,14 +96,14 @@ def field_maps(spark, sf):
     part = table(spark, sf, "part")
     return part.select(F.col("p_brand").alias("form_id"),
                        F.concat_ws("_", stem, F.split("p_name", " ")[1], F.when(k % 3 == 0, (k % 40).cast("string"))).alias("field_id"),
-                       F.when(k % 5 == 0, "").otherwise(F.concat(F.initcap("p_name"), F.lit(" "), "p_brand")).alias("label"))
+                       F.when(k % 5 == 0, "").otherwise(F.concat(F.initcap("p_name"), F.lit(" "), "p_brand")).alias("label"), "p_size", "p_type")
 
 
 QUERIES["cmp5_field_ontology"] = lambda spark, sf: compare.build_ontology(field_maps(spark, sf), ["odd_gear"])
 CTES["field_maps"] = """
 SELECT p_brand AS form_id, (['car_mark', 'owner_name', 'pitp_id', 'welder_stamp', 'plate_size', 'due_date', 'odd', 'gauge_id'])[p_partkey % 8 + 1] || '_' || string_split(p_name, ' ')[2]
     || CASE WHEN p_partkey % 3 = 0 THEN '_' || (p_partkey % 40) ELSE '' END AS field_id,
-  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || p_brand END AS label FROM part"""
+  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || p_brand END AS label, p_size, p_type FROM part"""
 _cases = " ".join(f"WHEN regexp_matches(canonical_id, '{p}') THEN '{c}'" for p, c in rules.CATEGORY_RULES)
 _roll = " ".join(f"WHEN '{c}' THEN '{m}'" for c, m in rules.ROLLOVER_POLICY.items())
 CTES["ontology"] = rf"""
@@ -117,6 +118,21 @@ ORACLES["cmp5_bindings"] = with_ctes(r"""
 SELECT DISTINCT form_id, field_id, regexp_replace(field_id, '_\d+$', '') AS canonical_id FROM field_maps WHERE regexp_replace(field_id, '_\d+$', '') IN (SELECT canonical_id FROM ontology)""")
 
 
+def governed(spark, sf):
+    """Parts of a size are a packet, their brands its forms; the entities' rules say what must agree."""
+    maps = field_maps(spark, sf)
+    filled = maps.groupBy(F.col("p_size").alias("packet_id"), "form_id", "field_id").agg(F.min(F.substring_index("p_type", " ", 1)).alias("value"))
+    return compare.consistency(filled, compare.governed_bindings(maps, compare.build_ontology(maps, ["odd_gear"])))
+
+
+QUERIES["cmp4_governed_consistency"] = governed
+ORACLES["cmp4_governed_consistency"] = with_ctes(r"""
+WITH v AS (SELECT p_size AS packet_id, form_id, field_id, regexp_replace(field_id, '_\d+$', '') AS canonical_id, min(string_split(p_type, ' ')[1]) AS value FROM field_maps GROUP BY ALL),
+f AS (SELECT packet_id, canonical_id, consistency AS mode, form_id, arg_max(value, field_id) AS value FROM v JOIN ontology USING (canonical_id) WHERE consistency <> 'ignore' GROUP BY ALL)
+SELECT packet_id, canonical_id, mode, forms, agrees, CASE WHEN NOT agrees THEN 'error' END AS severity
+FROM (SELECT packet_id, canonical_id, mode, count(*) AS forms, count(DISTINCT value) = 1 AS agrees FROM f GROUP BY ALL) WHERE forms >= 2""")
+
+
 def map_check(spark, sf):
     """Each part is a form: two mapped cells, a manifest with drift, and its grid row."""
     k = F.col("p_partkey")
@@ -239,23 +255,29 @@ SELECT doc, 'iso_date_in_body' AS code, unnest(regexp_extract_all(text, '\b\d{4}
 UNION ALL SELECT doc, 'month_year_only', unnest(regexp_extract_all(regexp_replace(text, '\d/\d{1,2}/\d{4}', '#', 'g'), '\b\d{1,2}/\d{4}\b')) FROM d"""
 
 QUERIES["cmp11_date_order"] = lambda spark, sf: compare.date_order(inputs.grid(spark, sf))
-ORACLES["cmp11_date_order"] = with_ctes(r"""
+CTES["late_days"] = r"""
 SELECT doc, CAST(tbl AS INTEGER) AS tbl, CAST(row AS INTEGER) AS row, a AS first_day, b AS last_day FROM (
   SELECT doc, tbl, row, count(*) AS n, arg_min(day, col) AS a, arg_max(day, col) AS b
-  FROM (SELECT *, CAST(try_strptime(regexp_replace(nullif(regexp_extract(text, '\b(\d{1,2}/\d{1,2}/\d{2,4})\b', 1), ''), '/(\d\d)$', '/20\1'), '%m/%d/%Y') AS DATE) AS day FROM grid) WHERE day IS NOT NULL GROUP BY ALL) WHERE n >= 2 AND a > b""")
+  FROM (SELECT *, CAST(try_strptime(regexp_replace(nullif(regexp_extract(text, '\b(\d{1,2}/\d{1,2}/\d{2,4})\b', 1), ''), '/(\d\d)$', '/20\1'), '%m/%d/%Y') AS DATE) AS day FROM grid) WHERE day IS NOT NULL GROUP BY ALL) WHERE n >= 2 AND a > b"""
+ORACLES["cmp11_date_order"] = with_ctes("SELECT * FROM late_days")
 
 
 def summary(spark, sf):
     grid = inputs.grid(spark, sf)
     return compare.validation_summary(compare.structure_drift(grid, inputs.grid_after(spark, sf)), compare.cell_issues(grid),
-                                      compare.date_tokens(grid, ["doc"]), print_check(spark, sf), grid)
+                                      compare.date_tokens(grid, ["doc"]), print_check(spark, sf), grid,
+                                      compare.date_order(grid), grid.where("text like '%|%' or text <> trim(text)"),
+                                      staged_ledger(spark, sf).where("decision = 'conflict'").select(F.col("packet_id").alias("doc")))
 
 
 QUERIES["cmp12_validation_summary"] = summary
 ORACLES["cmp12_validation_summary"] = with_ctes(r"""
-SELECT *, layout_integrity_warnings + cell_boundary_issues + date_format_issues + fingerprint_drift_tables = 0 AS passed FROM (
+SELECT *, layout_integrity_warnings + cell_boundary_issues + date_format_issues + fingerprint_drift_tables + unresolved_conflicts = 0 AS passed FROM (
   SELECT doc, (SELECT count(*) FROM drift x WHERE x.doc = d.doc AND NOT passed) AS layout_integrity_warnings, coalesce(c.n, 0) AS cell_boundary_issues,
-    coalesce(t.n, 0) AS date_format_issues, (SELECT count(*) FROM print_status x WHERE x.doc = d.doc AND status = 'drift') AS fingerprint_drift_tables
+    coalesce(t.n, 0) AS date_format_issues, (SELECT count(*) FROM print_status x WHERE x.doc = d.doc AND status = 'drift') AS fingerprint_drift_tables,
+    (SELECT count(*) FROM own_guarded x WHERE x.packet_id = d.doc AND decision = 'conflict') AS unresolved_conflicts,
+    (SELECT count(*) FROM late_days x WHERE x.doc = d.doc) AS flagged_only_inconsistencies,
+    (SELECT count(*) FROM grid x WHERE x.doc = d.doc AND (text LIKE '%|%' OR text <> trim(text))) AS typo_fixes_applied
   FROM (SELECT DISTINCT doc FROM grid) d LEFT JOIN (SELECT doc, count(*) AS n FROM cell_issues GROUP BY 1) c USING (doc)
   LEFT JOIN (SELECT doc, CAST(sum(len(regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b')) + len(regexp_extract_all(regexp_replace(text, '\d/\d{1,2}/\d{4}', '#', 'g'), '\b\d{1,2}/\d{4}\b'))) AS BIGINT) AS n FROM grid GROUP BY 1) t USING (doc))""")
 

@@ -8,7 +8,7 @@ from proofgrain.functions import text as tx
 from proofgrain.operators import answers, decide, lineage
 from proofgrain.plans import inputs
 from proofgrain.plans.ctes import CTES, with_ctes
-from proofgrain.plans.evidence_queries import PREFERRED, bundles, own_candidates, packet_evidence, packet_labels, staged_alternates, staged_ledger
+from proofgrain.plans.evidence_queries import PREFERRED, bundles, field_terms, own_candidates, packet_evidence, packet_labels, staged_alternates, staged_ledger
 from proofgrain.plans.stages import stage
 from proofgrain.operators import match
 
@@ -478,12 +478,13 @@ QUERIES["lin4_conflict_lines"] = lambda spark, sf: lineage.explain_conflicts(dec
 ORACLES["lin4_conflict_lines"] = with_ctes("""
 SELECT packet_id, form_id, field_id, 'candidate ''' || a.value || ''' from ' || a.source_file || ' (chunk ' || a.chunk_id || ')' AS line
 FROM own_alternates a JOIN decided d USING (packet_id, form_id, field_id) WHERE d.state = 'CONFLICT'""")
-QUERIES["lin5_evidence_debt"] = lambda spark, sf: lineage.evidence_debt(decisions(spark, sf), inputs.field_spec(spark, sf), (("balance", "Ledger extract"), ("status|date", "Order book")))
+QUERIES["lin5_evidence_debt"] = lambda spark, sf: lineage.evidence_debt(decisions(spark, sf), field_terms(spark, sf), (("balance", "Ledger extract"), ("status|date", "Order book")))
 ORACLES["lin5_evidence_debt"] = with_ctes("""
 SELECT packet_id, form_id, field_id, CASE WHEN state IN ('BLOCKED_NO_SOURCE', 'REVIEW_REQUIRED') THEN 'missing_source' WHEN state = 'BLOCKED_UNAUTHORIZED' THEN 'out_of_scope_source' ELSE 'weak_source' END AS debt_type,
   required AS blocking, CASE WHEN field_id LIKE '%balance%' THEN 'Ledger extract' WHEN regexp_matches(field_id, 'status|date') THEN 'Order book' ELSE 'Source document containing ' || label END AS recommended_source,
   CASE state WHEN 'BLOCKED_UNAUTHORIZED' THEN 'update approval map|remove field|approved exception' WHEN 'CONFLICT' THEN 'disambiguate evidence|remove conflicting source|approved exception'
-    WHEN 'LOW_CONFIDENCE' THEN 'provide stronger evidence|manual confirmation' ELSE 'provide source|approved exception' END AS resolution_paths
+    WHEN 'LOW_CONFIDENCE' THEN 'provide stronger evidence|manual confirmation' ELSE 'provide source|approved exception' END AS resolution_paths,
+  string_split(label, ' ')[-1] || '|pending|' || label AS search_terms
 FROM decided WHERE state NOT IN ('FILL', 'OPTIONAL_BLANK', 'APPROVED_NA')""")
 QUERIES["lin6_exceptions"] = lambda spark, sf: lineage.exceptions(decisions(spark, sf))[0]
 CTES["exceptions"] = """

@@ -199,6 +199,56 @@ SELECT * FROM s UNION ALL SELECT packet_id, form_id, field_id, value, confidence
 UNION ALL SELECT * FROM n UNION ALL SELECT packet_id, form_id, 'audit.copy', value, confidence, source_file, chunk_id, 'audit.note' FROM n
 UNION ALL SELECT packet_id, form_id, 'customer.region', value, confidence, source_file, chunk_id, 'customer.nation' FROM c WHERE field_id = 'customer.nation'""")
 
+
+
+def identity(spark, sf):
+    """Each part as a packet: a mark, a number that may be missing or empty, and two fields
+    that stand for its identity."""
+    k, words = F.col("p_partkey"), F.split("p_name", " ")
+    head = [F.upper(F.substring(words[i], 1, 4)) for i in (0, 1)]
+
+    def row(field, value, confidence):
+        return F.struct(field.alias("field_id"), value.alias("value"), F.lit(confidence).alias("confidence"))
+
+    rows = F.array(
+        row(F.lit("mark"), F.concat_ws(" ", head[0], F.col("p_size")), 0.5),
+        row(F.when(k % 3 != 0, "number").otherwise("other"), F.when(k % 7 == 0, "").otherwise(F.concat_ws("-", head[1], k + 1000)), 0.6),
+        row(F.lit("car"), F.lit("old"), 0.4), row(F.lit("plate"), F.lit(""), 0.99))
+    cands = table(spark, sf, "part").select(k.alias("packet_id"), F.lit("F").alias("form_id"), F.inline(rows))
+    return match.combine_identity(cands, "mark", "number", ["car", "plate"])
+
+
+QUERIES["evd11_identity"] = identity
+ORACLES["evd11_identity"] = """
+WITH p AS (SELECT p_partkey AS k, upper(left(string_split(p_name, ' ')[1], 4)) || ' ' || p_size AS mark,
+  CASE WHEN p_partkey % 7 = 0 THEN '' ELSE upper(left(string_split(p_name, ' ')[2], 4)) || '-' || (p_partkey + 1000) END AS number FROM part),
+i AS (SELECT *, CASE WHEN k % 3 <> 0 AND number <> '' THEN number ELSE mark END AS id FROM p)
+SELECT k AS packet_id, 'F' AS form_id, 'mark' AS field_id, mark AS value, 0.5::DOUBLE AS confidence FROM i
+UNION ALL SELECT k, 'F', CASE WHEN k % 3 <> 0 THEN 'number' ELSE 'other' END, number, 0.6 FROM i
+UNION ALL SELECT k, 'F', 'car', id, 0.95 FROM i UNION ALL SELECT k, 'F', 'plate', id, 0.99 FROM i"""
+
+
+TIERS = {"low": 1, "medium": 3}
+
+
+def graded(spark, sf):
+    """The governed aliases as proposals whose tier follows from their risk."""
+    found = match.resolve_aliases(pairs.strict_pairs(inputs.evidence_chunks(spark, sf)), ALIAS_RULES)
+    tier = F.when(F.col("value").startswith("5"), None)
+    for risk, n in TIERS.items():
+        tier = tier.when(F.col("risk") == risk, n)
+    text = F.when(F.col("line_no") % 2 == 0, "").otherwise(F.upper("label"))
+    return match.grade_aliases(found.select("packet_id", "form_id", "chunk_id", "line_no", "label", "field_id", text.alias("from_text"), tier.alias("tier")))
+
+
+QUERIES["dec9_alias_tiers"] = graded
+ORACLES["dec9_alias_tiers"] = with_ctes("""
+SELECT *, CASE WHEN auto_usable THEN 'use' ELSE 'review' END AS route FROM (SELECT *, coalesce(tier <= 2, false) AS auto_usable FROM (
+  SELECT packet_id, form_id, chunk_id, line_no, label, field_id, CASE WHEN line_no % 2 = 0 THEN label ELSE upper(label) END AS from_text,
+    CAST(CASE WHEN starts_with(value, '5') THEN NULL WHEN risk = 'low' THEN 1 WHEN risk = 'medium' THEN 3 END AS INTEGER) AS tier
+  FROM strict_pairs JOIN alias_rules ON from_key = regexp_replace(label, '[^a-z0-9]+', '_', 'g')
+  WHERE (scope_hint IS NULL OR scope_hint = form_id) AND (len(forms) = 0 OR list_contains(forms, form_id))))""")
+
 LABELS = ("Order Status", "Date of the Order", "Priority", "Order Priority Code", "Equipment Calibration", "Approved Order Status", "Notes Text", "Drawing Number")
 
 
@@ -394,10 +444,14 @@ QUERIES["evd21_answers"] = lambda spark, sf: answers.answers(bundles(spark, sf))
 ORACLES["evd21_answers"] = with_ctes("SELECT * FROM answers")
 
 
+def field_terms(spark, sf):
+    """What to search for where a field has no value."""
+    return inputs.field_spec(spark, sf).select("form_id", "field_id", "label", F.array(F.substring_index("label", " ", -1), F.lit("pending"), F.col("label")).alias("terms"))
+
+
 def gap_search(spark, sf):
     entries = staged_ledger(spark, sf)
-    terms = inputs.field_spec(spark, sf).select("form_id", "field_id", "label", F.array(F.substring_index("label", " ", -1), F.lit("pending"), F.col("label")).alias("terms"))
-    found = retrieve.targeted_search(entries, inputs.evidence_chunks(spark, sf), terms)
+    found = retrieve.targeted_search(entries, inputs.evidence_chunks(spark, sf), field_terms(spark, sf))
     return ledger.apply_targeted(entries.join(found.select("packet_id", "form_id", "field_id"), ["packet_id", "form_id", "field_id"], "left_semi"), found).select(
         "packet_id", "form_id", "field_id", "value", "source_file", "chunk_id", "source_text", "scope", "confidence", "decision")
 

@@ -155,6 +155,31 @@ UNION ALL SELECT event_id, 'type', '', event_type FROM events
 UNION ALL SELECT event_id, 'props', 'k', json_extract_string(props, '$.k') FROM events"""
 
 
+QUERIES["src5_json_lines"] = lambda spark, sf: text_source.json_lines(src5_json(spark, sf), ["event_id"])
+ORACLES["src5_json_lines"] = f"SELECT event_id, section, path || ': ' || value AS line FROM ({ORACLES['src5_flatten_json']})"
+
+
+def src6_shape(spark, sf):
+    """Documents of lines, documents with a table of as many rows, and broken ones."""
+    def make(row):
+        lines = row.text.split("\n")
+        yield (f"d{row.doc_id}.docx", docx_bytes(row.text))
+        yield (f"t{row.doc_id}.DOCX", docx_table_bytes([[(1, line), (2, "x")] for line in lines]))
+        yield (f"b{row.doc_id}.docx", docx_bytes(row.text)[:-30])
+        yield (f"d{row.doc_id}.txt", row.text.encode())
+
+    clean = F.regexp_replace("text", r"[^\x20-\x7e\n]", "?")
+    packed = pack(table(spark, sf, "documents").select("doc_id", clean.alias("text")), make, "name string, content binary")
+    return containers.extract_shape(packed)
+
+
+QUERIES["src6_container_shape"] = src6_shape
+ORACLES["src6_container_shape"] = """
+WITH n AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents)
+SELECT 'd' || doc_id || '.docx' AS doc, n AS paragraphs, 0::BIGINT AS tables FROM n
+UNION ALL SELECT 't' || doc_id || '.DOCX', 2 * n, 1 FROM n UNION ALL SELECT 'b' || doc_id || '.docx', 0, 0 FROM n"""
+
+
 def src6_containers(spark, sf):
     def make(row):
         yield (f"d{row.doc_id}.docx", docx_bytes(row.text))
