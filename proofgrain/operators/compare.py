@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofgrain.functions import rules
 from proofgrain.functions import text as tx
-from proofgrain.session import compute_once
+from proofgrain.session import compute_once, cut_lineage
 
 FORM = ["packet_id", "form_id"]
 
@@ -224,13 +224,14 @@ def compare_fingerprints(actual: DataFrame, expected: DataFrame, keys: Sequence[
 
 def cell_issues(cells: DataFrame, id_tokens: str = r"(?i)\bU\d{6,}\b", search_rows: int = 4) -> DataFrame:
     """(doc, tbl, row, col, code): cells whose text seems to span several columns."""
-    c = compute_once(cells, "text", tx.clean_cell(F.col("text")))
+    # cleaned once, and written: headers, register tables, cells and repeated texts all read it
+    c = cut_lineage(compute_once(cells.select("doc", "tbl", "row", "col", "text"), "text", tx.clean_cell(F.col("text"))).where("text <> ''"))
     heads = c.where((F.col("row") < search_rows) & (F.col("text") != "")).groupBy("doc", "tbl", "col").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("row", "text")))["text"], " | ").alias("header"))
     joined = F.lower(F.concat_ws(" ", F.collect_list("text")))
     gear = c.where("row <= 1").groupBy("doc", "tbl", "row").agg(joined.alias("h")).where(
         F.col("h").rlike("equipment|calibration|measure") & F.col("h").rlike("id|date|due")).select("doc", "tbl").distinct().withColumn("gear", F.lit(True))
-    body = c.where("row >= 1 and text <> ''")
+    body = c.where("row >= 1")
     dates = F.regexp_count(F.col("text"), F.lit(rules.DATE_TOKEN))
     parts = F.size(F.filter(F.split("text", r"\|"), lambda p: F.trim(p) != ""))
     j = body.join(heads, ["doc", "tbl", "col"], "left").join(gear, ["doc", "tbl"], "left")

@@ -13,19 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrain.functions import rules
+from proofgrain.session import cut_lineage
 
 FINDING = ["error", "check", "location", "detail"]
 
 
-def _finding(cond: Column, error: str, detail: Column | str) -> Column:
-    text = F.lit(detail) if isinstance(detail, str) else detail
-    return F.when(cond, F.struct(F.lit(error).alias("error"), text.alias("detail")))
+def _finding(cond: Column, error: str, detail: Column | str) -> tuple[Column, str, Column]:
+    return cond, error, F.lit(detail) if isinstance(detail, str) else detail
 
 
-def _findings(df: DataFrame, check: str, location: Column, *found: Column) -> DataFrame:
-    """All findings of a row in one pass over the rows."""
-    return df.select(location.cast("string").alias("location"), F.inline(F.array_compact(F.array(*found)))).select(
-        "error", F.lit(check).alias("check"), "location", "detail")
+def _checks(df: DataFrame, location: Column, **found: Sequence[tuple[Column, str, Column]]) -> DataFrame:
+    """All findings of all named checks of a row, in one pass over the rows."""
+    rows = [
+        F.when(cond, F.struct(F.lit(error).alias("error"), F.lit(check).alias("check"), location.cast("string").alias("location"), detail.alias("detail")))
+        for check, several in found.items() for cond, error, detail in several]
+    return df.select(F.inline(F.array_compact(F.array(*rows))))
+
+
+def _findings(df: DataFrame, check: str, location: Column, *found: tuple[Column, str, Column]) -> DataFrame:
+    return _checks(df, location, **{check: found})
 
 
 def _quoted(col: Column) -> Column:
@@ -93,20 +99,19 @@ def check_provenance(df: DataFrame) -> DataFrame:
     placed = F.array_sort(F.array_intersect(keyed, words(rules.POSITION_KEYS)))
     lacking = F.array_sort(F.array_except(words(rules.IDENTITY_KEYS), keyed))
     source = F.lower("coordinate_source")
-    exact = _findings(df, "check_exact_identity_matching", F.col("item"), _finding(
-        F.lower("method") == "substring", "E-012", F.concat(F.lit("matched by "), "method")))
-    prior = _findings(df, "check_coordinate_provenance", F.col("item"), _finding(
-        source == "prior_run", "E-014", "physical coordinate sourced from a prior run"))
-    mapping = _findings(
-        df, "check_field_mapping_authority", F.col("item"),
+    exact = _finding(F.lower("method") == "substring", "E-012", F.concat(F.lit("matched by "), "method"))
+    prior = _finding(source == "prior_run", "E-014", "physical coordinate sourced from a prior run")
+    mapping = [
         _finding(F.size(placed) > 0, "E-014", F.concat(F.lit("reusable mapping keyed by "), F.array_join(placed, ", "), F.lit(", which is position, not identity"))),
         _finding((F.size(placed) == 0) & (F.size(lacking) > 0), "E-014", F.concat(F.lit("identity is missing "), F.array_join(lacking, ", "))),
         _finding(source != "current_run", "E-014", F.concat(F.lit("coordinates carried in from "), _quoted(F.col("coordinate_source")))),
-        _finding((F.lower("map_source") == "run_derived") & ~F.col("validated"), "E-002", "run-derived map used without validation against the current controlled form"))
-    compared = _findings(df, "check_comparison_identity", F.col("item"), _finding(
+        _finding((F.lower("map_source") == "run_derived") & ~F.col("validated"), "E-002", "run-derived map used without validation against the current controlled form")]
+    compared = _finding(
         (F.col("source_field") != "") & (F.col("target_field") != "") & (F.col("source_field") != F.col("target_field")), "E-015",
-        F.concat(F.lit("compared "), _quoted(F.col("source_field")), F.lit(" against "), _quoted(F.col("target_field")))))
-    return exact.unionByName(prior).unionByName(mapping).unionByName(compared)
+        F.concat(F.lit("compared "), _quoted(F.col("source_field")), F.lit(" against "), _quoted(F.col("target_field"))))
+    return _checks(
+        df, F.col("item"), check_exact_identity_matching=[exact], check_coordinate_provenance=[prior],
+        check_field_mapping_authority=mapping, check_comparison_identity=[compared])
 
 
 def normal_mode(col: Column) -> Column:
@@ -171,12 +176,11 @@ def check_admissible(df: DataFrame) -> DataFrame:
 
 def check_claims(df: DataFrame) -> DataFrame:
     """Absence and event claims: (item, environment_ok, surfaces, asserted, support)."""
-    absence = _findings(
-        df, "check_absence_claims", F.col("item"),
+    absence = [
         _finding(~F.col("environment_ok"), "E-007", "absence concluded while the environment was degraded"),
-        _finding(F.col("environment_ok") & (F.size("surfaces") < 2), "E-006", "absence concluded after a single search path"))
-    return absence.unionByName(_findings(df, "check_event_proof", F.col("item"), _finding(
-        F.col("asserted") & (F.lower("support") == "master_list"), "E-008", "event asserted on register or master-list support alone")))
+        _finding(F.col("environment_ok") & (F.size("surfaces") < 2), "E-006", "absence concluded after a single search path")]
+    event = _finding(F.col("asserted") & (F.lower("support") == "master_list"), "E-008", "event asserted on register or master-list support alone")
+    return _checks(df, F.col("item"), check_absence_claims=absence, check_event_proof=[event])
 
 
 def check_readable(df: DataFrame) -> DataFrame:
@@ -242,7 +246,8 @@ def release_gate(findings: DataFrame, gates: Mapping[str, Sequence[str]] = rules
     gate = F.lit(rules.OTHER_GATE)
     for name, errors in gates.items():
         gate = F.when(F.col("error").isin(*errors), name).otherwise(gate)
-    counted = findings.groupBy("error").agg(F.count("*").alias("n")).groupBy(gate.alias("gate")).agg(F.sum("n").alias("findings"))
+    # a row for each gate, written, so that the total does not run the checks again
+    counted = cut_lineage(findings.groupBy("error").agg(F.count("*").alias("n")).groupBy(gate.alias("gate")).agg(F.sum("n").alias("findings")))
     spark = findings.sparkSession
     every = spark.createDataFrame([(g,) for g in gates], "gate string")
     out = every.join(counted, "gate", "full_outer").select("gate", F.coalesce("findings", F.lit(0)).cast("bigint").alias("findings"))
