@@ -358,3 +358,14 @@ def test_answers_read_whole_chunks(spark):
     long = answers.answers(answers.bundle(asked, ranked.withColumn("content", F.repeat("content", 4)))).withColumn("valid_place", F.lit(True))
     final = {r.req_id: r for r in answers.validate_answers(long).collect()}
     assert len(final[11].text) > 2000 and len(final[11].shown) == 2000
+
+
+def test_fuzzy_labels_broadcast_no_labels_and_parse_once(spark):
+    docs = spark.createDataFrame([(i, f"Order Status: v{i}\nOrder Date: 2024-01-0{i % 9 + 1}") for i in range(50)], "doc_id long, text string")
+    evidence = pairs.label_pairs(docs).withColumn("packet_id", F.col("doc_id") % 5)
+    labels = spark.range(5).select(F.col("id").alias("packet_id"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("label_id"), F.lit(x).alias("label")) for i, x in enumerate(("Order Status", "Approved Order Status", "Status"))])))
+    found = match.fuzzy_labels(labels, evidence, ())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "MapInArrow" not in plan
+    assert found.count() == 15
