@@ -47,3 +47,14 @@ def test_row_order_and_partition_count_do_not_matter(spark):
 def test_no_cross_join_in_the_matching_plan(spark):
     plan = catalog.queries()["evd9_field_matches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_structures_where_parts_and_orders_share_documents(spark, tmp_path):
+    con = duck(SF)
+    for name in ("lineitem", "orders", "part"):
+        key = "* REPLACE (p_partkey + 1000000 AS p_partkey)" if name == "part" else "*"
+        con.execute(f"COPY (SELECT {key} FROM {name}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    rows, problems = compare(catalog.queries()["dq12_structure"](spark, str(tmp_path)), con, catalog.oracles()["dq12_structure"])
+    assert not problems
+    assert rows > 0
