@@ -68,13 +68,21 @@ def zip_bytes(entries: dict[str, bytes]) -> bytes:
     return _zip(entries)
 
 
+FILES = 200  # packed files that leave a task at once
+
+
 def pack(df: DataFrame, make, schema: str) -> DataFrame:
-    """Rows -> packed files, one Arrow batch at a time; ``make(row)`` gives output tuples."""
+    """Rows -> packed files, a few at a time; ``make(row)`` gives output tuples."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [item for row in batch.itertuples(index=False) for item in make(row)]
+            out = []
+            for row in batch.itertuples(index=False):
+                out.extend(make(row))
+                if len(out) >= FILES:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
             if out:
                 yield pd.DataFrame(out, columns=names)
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from proofgrain.plans.scratch import docx_table_bytes, scratch, zip_bytes
+from proofgrain.plans.scratch import docx_table_bytes, pack, scratch, zip_bytes
 from proofgrain.sources import containers, files, published, sink
 from proofgrain.streaming import index
 
@@ -114,3 +114,12 @@ def test_cells_of_many_documents_leave_in_few_frames(monkeypatch):
     monkeypatch.setattr(containers, "CELLS", 10)
     small = list(containers.extract_grid(Read())(iter([files])))
     assert [len(f) for f in small] == [10] * 10 and pd.concat(small, ignore_index=True).equals(frames[0])
+
+
+def test_packed_files_and_their_texts_leave_in_small_frames():
+    rows = pd.DataFrame({"doc_id": range(700)})
+    packed = list(pack(Read(), lambda r: [(f"{r.doc_id}.eml", f"Subject: {r.doc_id}\n\nbody".encode())], "name string, content binary")(iter([rows])))
+    assert [len(f) for f in packed] == [200, 200, 200, 100]
+    texts = list(containers.extract_container_text(Read())(iter([pd.concat(packed)])))
+    assert [len(f) for f in texts] == [200, 200, 200, 100]
+    assert list(pd.concat(texts)["source_file"]) == [f"{i}.eml" for i in range(700)]
