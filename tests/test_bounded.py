@@ -59,3 +59,24 @@ def test_terms_are_counted_inside_rows(spark):
     assert sorted(map(tuple, counted.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     plan = retrieve.counted_terms(spark.range(9).selectExpr("id doc", "'a b a' text"), ["doc"], tx.tokens(F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_scores_shuffle_no_text_and_chunks_leave_in_bounded_frames(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id doc", "concat('word', id % 7, ' other', id % 3, ' rare', id) text")
+    queries = spark.createDataFrame([(1, "word1 other2 rare5"), (2, "word3 nothing")], "query long, query_text string")
+    chunks = retrieve.chunk_documents(docs)
+    want = sorted(retrieve.tfidf_scores(chunks, queries).collect())
+    # rare terms by their own way, and pairs dealt to many tasks
+    monkeypatch.setattr(retrieve, "COMMON", 4)
+    monkeypatch.setattr(retrieve, "PAIRS", 100)
+    monkeypatch.setattr(retrieve, "MET", 100)
+    scores = retrieve.tfidf_scores(chunks, queries)
+    assert sorted(scores.collect()) == want and len(want) > 100
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "text#" not in plan and "MapIn" not in plan
+    shared = retrieve.overlap_scores(chunks, queries)
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "text#" not in plan and shared.count() == len(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    monkeypatch.setattr(retrieve, "AT_ONCE", 7)
+    assert chunks.count() == retrieve.chunk_documents(docs).distinct().count() == 300
