@@ -26,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofgrain.llm.common import batch, kept, let_go, row_key, small, staged, utf8
+from proofgrain.llm.common import batch, kept, let_go, release, row_key, small, staged, utf8
 
 LABELLED, HANDED, ROUNDS = 16_000, 3_000, 2
 CERTAIN, REJECTED, GOOD_LOST = 0.99, 0.4, 0.005
@@ -141,13 +142,15 @@ class Rows:
 
     def of_ids(self, place: np.ndarray) -> Rows:
         """With the ids that ``place`` gives, without those that it sets to -1."""
-        parts, size = [], []
+        out, end, size = np.empty(len(self.ids), place.dtype), 0, []
         for a, b, ids in self.slices():
             held = place[ids]
             used = held >= 0
             size.append(np.diff(np.concatenate([[0], np.cumsum(used)])[self.begin[a : b + 1] - self.begin[a]]))
-            parts.append(held[used])
-        return Rows(np.concatenate(parts), np.concatenate([[0], *size]).cumsum(), self.dense)
+            found = held[used]
+            out[end : end + len(found)] = found
+            end += len(found)
+        return Rows(out[:end], np.concatenate([[0], *size]).cumsum(), self.dense)
 
 
 class Logistic:
@@ -207,13 +210,16 @@ META_BITS = 12
 
 def both_views(meta: pa.Array, shape: pa.Array, words: pa.Array) -> tuple[Rows, Rows]:
     """The rows of the text view and of the metadata view, from columns of features."""
-    n = len(words)
+    blobs = words.to_pylist()
+    return views_of(meta, shape, np.frombuffer(b"".join(blobs), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in blobs])]))
+
+
+def views_of(meta: pa.Array, shape: pa.Array, word_ids: np.ndarray, begin: np.ndarray) -> tuple[Rows, Rows]:
+    n = len(meta)
     if not n:
         empty = Rows(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 0)))
         return empty, empty
-    blobs = words.to_pylist()
-    begin = np.concatenate([[0], np.cumsum([len(x) // 4 for x in blobs])])
-    text = Rows(np.frombuffer(b"".join(blobs), "<i4"), begin, np.asarray(shape.flatten(), np.float64).reshape(n, -1))
+    text = Rows(word_ids, begin, np.asarray(shape.flatten(), np.float64).reshape(n, -1))
     values = meta.to_pylist()
     ids = np.array([xxhash.xxh32_intdigest(v) >> (32 - META_BITS) for x in values for v in x], np.int32)
     return text, Rows(ids, np.concatenate([[0], np.cumsum([len(x) for x in values])]), np.zeros((n, 0)))
@@ -279,21 +285,36 @@ def taken(rows: Rows, chosen: np.ndarray) -> Rows:
     return Rows(rows.ids[np.repeat(chosen, size)], np.concatenate([[0], np.cumsum(size[chosen])]), rows.dense[chosen])
 
 
-def together(parts: list[Held]) -> Held:
-    def joined(rows: list[Rows]) -> Rows:
-        size = np.concatenate([np.diff(r.begin) for r in rows])
-        return Rows(np.concatenate([r.ids for r in rows]), np.concatenate([[0], np.cumsum(size)]), np.concatenate([r.dense for r in rows if r.n] or [rows[0].dense]))
+def together(one: tuple[Rows, np.ndarray], other: tuple[Rows, np.ndarray]) -> tuple[Rows, np.ndarray]:
+    """The rows of one view, and whether each is bad, with further ones."""
+    rows = [one[0], other[0]]
+    size = np.concatenate([np.diff(r.begin) for r in rows])
+    dense = np.concatenate([r.dense for r in rows if r.n] or [rows[0].dense])
+    return Rows(np.concatenate([r.ids for r in rows]), np.concatenate([[0], np.cumsum(size)]), dense), np.concatenate([one[1], other[1]])
 
-    return Held(joined([p.text for p in parts]), joined([p.meta for p in parts]), np.concatenate([p.bad for p in parts]))
+
+def ordered_ids(words: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the rows in an order, side by side, and where each row begins: read where they
+    lie, so that they are held once besides."""
+    size = np.concatenate([np.zeros(0, np.int64), *(pc.binary_length(x).to_numpy(zero_copy_only=False) for x in words.chunks)]) // 4
+    begin = np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64)
+    to = np.empty(len(order), np.int64)
+    to[order] = begin[:-1]
+    out = np.empty(begin[-1], "<i4")
+    for at, n, value in zip(to.tolist(), size.tolist(), (x for chunk in words.chunks for x in chunk), strict=True):
+        out[at : at + n] = np.frombuffer(value.as_buffer(), "<i4")
+    return out, begin
 
 
 def picked(rows: DataFrame, few: DataFrame) -> tuple[np.ndarray, Held]:
     """The doc_ids and features of a bounded choice of rows, which ``few`` names by its first
     column and a label."""
     found = rows.join(F.broadcast(few), few.columns[0]).select("doc_id", "meta", "shape", "words", "is_bad").toArrow()
-    found = found.take(np.argsort(found.column("doc_id").to_numpy(), kind="stable")).combine_chunks()
-    meta, shape, words, bad = (found.column(c).combine_chunks() for c in ("meta", "shape", "words", "is_bad"))
-    return found.column("doc_id").to_numpy(), Held(*both_views(meta, shape, words), np.asarray(bad.to_numpy(zero_copy_only=False), bool))
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    ids, begin = ordered_ids(found.column("words"), order)
+    found = found.drop_columns(["words"]).take(order).combine_chunks()
+    meta, shape, bad = (found.column(c).combine_chunks() for c in ("meta", "shape", "is_bad"))
+    return found.column("doc_id").to_numpy(), Held(*views_of(meta, shape, ids, begin), np.asarray(bad.to_numpy(zero_copy_only=False), bool))
 
 
 def fitted(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: int = HANDED, rounds: int = ROUNDS) -> Views:
@@ -305,23 +326,30 @@ def fitted(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed:
     aside = np.array([xxhash.xxh32_intdigest(str(x)) % 4 == 0 for x in doc_ids.tolist()], bool)
     train, held = own.where(~aside), own.where(aside)
     if min((x.bad == side).sum() for x in (train, held) for side in (False, True)) < 1 or len(doc_ids) < LEAST_ROWS:
+        release(known)
         return views
-    del own
+    for_text, for_meta = (train.text, train.bad), (train.meta, train.bad)
+    del own, train
     views.prior = float(np.log(held.bad.mean() / (1 - held.bad.mean())))
     views.ready = True
-    for_text, for_meta = [train], [train]
     for turn in range(rounds + 1):
-        for view, parts, which in ((views.text, for_text, "text"), (views.meta, for_meta, "meta")):
-            rows_of = together(parts)
-            view.fit(getattr(rows_of, which), rows_of.bad.astype(np.float64))
-            view.calibrate(getattr(held, which), held.bad)
+        for view, (given, bad), aside_rows in ((views.text, for_text, held.text), (views.meta, for_meta, held.meta)):
+            view.fit(given, bad.astype(np.float64))
+            view.calibrate(aside_rows, held.bad)
+        del given, bad
         if turn == rounds:
             break
         free = staged(scored(rows, views).join(known, "doc_id", "left_anti"), "scored")
-        for column, parts in (("text_bad", for_meta), ("meta_bad", for_text)):
+        chosen = {}
+        for column in ("text_bad", "meta_bad"):
             certain = free.where((F.col(column) >= CERTAIN) | (F.col(column) <= 1 - CERTAIN))
             few = certain.where(share_of(handed, certain.count())).groupBy("key").agg(F.max(F.col(column) >= 0.5).alias("is_bad"))
-            parts.append(picked(rows, few)[1])
+            chosen[column] = picked(rows, few)[1]
+        for_text = together(for_text, (chosen["meta_bad"].text, chosen["meta_bad"].bad))
+        for_meta = together(for_meta, (chosen["text_bad"].meta, chosen["text_bad"].bad))
+        del chosen
+        release(free)
+    release(known)
     views.choose_threshold(held.text, held.meta, held.bad)
     return views
 
@@ -339,7 +367,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFra
     """The documents that are not rejected, with all their columns.
 
     The fitted views judge each document where it lies, so no text is shuffled."""
-    views = fitted(staged(features(docs), "features"), labels, **bounds)
+    rows = staged(features(docs), "features")
+    views = fitted(rows, labels, **bounds)
+    release(rows)
 
     @F.arrow_udf("boolean")
     def rejected(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:

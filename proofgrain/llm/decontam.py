@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrain.llm.common import row_key, staged, unused
+from proofgrain.llm.common import release, row_key, staged, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -69,9 +69,9 @@ def seeds(items: DataFrame, counts: DataFrame, width: int = WINDOW) -> DataFrame
 
 
 def index(docs: DataFrame, terms: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Postings of the given terms: term, key, at, before (nearest first) and after."""
-    return docs.select("key", "words", F.posexplode("words").alias("at", "term")).join(terms, "term").select(
-        "term", "key", "at",
+    """Postings of the given terms: term, key, n_words, at, before (nearest first) and after."""
+    return docs.select("key", "words", F.size("words").cast("bigint").alias("n_words"), F.posexplode("words").alias("at", "term")).join(terms, "term").select(
+        "term", "key", "n_words", "at",
         F.reverse(F.slice("words", F.greatest(F.lit(1), F.col("at") - width + 2), F.least(F.lit(width - 1), F.col("at")))).alias("before"),
         F.slice("words", F.col("at") + 2, F.lit(width - 1)).alias("after"))
 
@@ -84,9 +84,9 @@ def agreeing(a: str, b: str) -> Column:
 
 
 def phrase_matches(postings: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Exact matches: key, item, first and last (the matching run of document words)."""
-    met = postings.join(seeds, "term").select("key", "item", "need", "at", agreeing("before", "left").alias("l"), agreeing("after", "right").alias("r"))
-    return met.where("l + 1 + r >= need").select("key", "item", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last"))
+    """Exact matches: key, n_words, item, first and last (the matching run of document words)."""
+    met = postings.join(seeds, "term").select("key", "n_words", "item", "need", "at", agreeing("before", "left").alias("l"), agreeing("after", "right").alias("r"))
+    return met.where("l + 1 + r >= need").select("key", "n_words", "item", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, span: int = 30) -> DataFrame:
@@ -103,36 +103,45 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, spa
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per matching document: key, n_hit, n_items, items_sha256."""
+    """Per matching document: key, n_words, n_hit, n_items, items_sha256."""
+    return found_hits(docs, benchmark, width)[0]
+
+
+def found_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The hits, and the staged matches that they read."""
     items = staged(item_words(benchmark), "items")
     found = document_words(docs)
     starts = staged(seeds(items, term_counts(found, items), width).coalesce(1), "seeds")
     terms = staged(starts.select("term").distinct().coalesce(1), "seed_terms")
-    postings = staged(index(found, terms, width), "postings").distinct()
-    matches = staged(phrase_matches(postings, starts), "matches")
+    postings = staged(index(found, terms, width), "postings")
+    matches = staged(phrase_matches(postings.distinct(), starts), "matches")
+    release(items, starts, terms, postings)
     before = Window.partitionBy("key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.coalesce(F.max("last").over(before), F.lit(-1))))
-    runs = matches.select("key", "first", "last").distinct().select("key", new.alias("new")).groupBy("key").agg(F.sum("new").cast("bigint").alias("n_hit"))
+    runs = matches.select("key", "n_words", "first", "last").distinct().select("key", "n_words", new.alias("new")).groupBy("key").agg(F.max("n_words").alias("n_words"), F.sum("new").cast("bigint").alias("n_hit"))
     named = matches.select("key", "item").distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
-    return runs.join(named, "key")
+    return runs.join(named, "key"), matches
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = document_words(docs).select("doc_id", "key", F.size("words").cast("bigint").alias("n_words"))
-    joined = found.join(hits(docs, benchmark, width), "key", "left")
+    joined = found.join(hits(docs, benchmark, width).drop("n_words"), "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
                          F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    key, n_hit = unused(docs, "row_key"), unused(docs, "n_hit")
-    found = hits(docs, benchmark, width).select(F.col("key").alias(key), F.col("n_hit").alias(n_hit))
-    keyed = docs.withColumn(key, row_key("doc_id", "text"))
-    tested = keyed.join(found, key, "left").where(F.col(n_hit).isNull() | (F.col(n_hit) * share < F.size(words(F.col("text")))))
-    return tested.select(*docs.columns)
+    """The documents that are not contaminated, with all their columns.
+
+    The keys of the few others are written, so that Spark knows their size: texts are shuffled
+    only where these are many."""
+    found, matches = found_hits(docs, benchmark, width)
+    key = unused(docs, "row_key")
+    bad = staged(found.where(F.col("n_hit") * share >= F.col("n_words")).select(F.col("key").alias(key)), "contaminated")
+    release(matches)
+    return docs.withColumn(key, row_key("doc_id", "text")).join(bad, key, "left_anti").select(*docs.columns)
 
 
 SQL = """

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrain.llm.common import batch, kept, let_go, row_key, slices, small, staged, unused, utf8
+from proofgrain.llm.common import batch, kept, let_go, release, row_key, slices, small, staged, unused, utf8
 
 WORDS, ROWS = 5, 5
 SIMILAR = 85  # percent
@@ -196,7 +196,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(now)
     while before[0]:
-        now = staged(star(star(now, True), False), "stars")
+        last, now = now, staged(star(star(now, True), False), "stars")
+        release(last)
         after = state(now)
         if after == before:
             break
@@ -272,12 +273,16 @@ def promising(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def across(buckets: DataFrame, roots: DataFrame, prints: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
-    """Round 3: links (a, b) between components, found inside the buckets that hold several.
+    """Round 3: links (a, b) between components, found inside the buckets that hold several."""
+    return linked_across(staged(promising(mixed_blocks(buckets, roots, prints), percent), "promising"), sets, percent)
+
+
+def linked_across(some: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
+    """The links among promising rows of blocks.
 
     A block passes over pairs that its own links have connected already, so it never makes
     more links than it has nodes.
     """
-    some = staged(promising(mixed_blocks(buckets, roots, prints), percent), "promising")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +314,11 @@ def across(buckets: DataFrame, roots: DataFrame, prints: DataFrame, sets: DataFr
 
 def groups(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """Per row: key, doc_id, n_shingles, node, component_id (the smallest doc_id reachable)."""
+    return grouped(docs, percent)[0]
+
+
+def grouped(docs: DataFrame, percent: int = SIMILAR) -> tuple[DataFrame, list[DataFrame]]:
+    """The groups, and the staged tables that they read."""
     rows = staged(signatures(docs, percent), "signatures")
     nodes = staged(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.min("signature").alias("signature")), "nodes")
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS)).alias("bucket")) for b in range(rule(percent).bands)])
@@ -322,6 +332,7 @@ def groups(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     first = stars.groupBy("node").agg(F.min("head").alias("a")).select("a", F.col("node").alias("b"))
     edges = staged(linked(first, sets, percent), "links")
     forest = components(edges)
+    release(edges)
 
     def roots() -> DataFrame:
         return forest.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -334,18 +345,27 @@ def groups(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
         return out.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
     def heads() -> DataFrame:
-        return linked(staged(rooted(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()), "pairs"), sets, percent)
+        return rooted(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+
+    def strays() -> DataFrame:
+        return promising(mixed_blocks(buckets.drop("head"), roots(), nodes.select("node", "signature")), percent)
 
-    for more in (heads, lambda: across(buckets.drop("head"), roots(), nodes.select("node", "signature"), sets, percent)):
-        links = staged(more(), "links")
+    for name, among, links_of in (("pairs", heads, linked), ("promising", strays, linked_across)):
+        some = staged(among(), name)
+        links = staged(links_of(some, sets, percent), "links")
+        release(some)
         if not links.isEmpty():
-            forest = components(forest.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links))
+            last, forest = forest, components(forest.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links))
+            release(last)
+        release(links)
+    release(buckets, sets)
 
     labelled = nodes.select("node", "least_id").join(roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = labelled.select("node", "root").join(smallest, "root").select("node", "root", "component_id")
     out = rows.select("key", "doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("key", "doc_id", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("key", "doc_id", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out, [rows, nodes, forest]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -355,11 +375,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """The documents without near copies of a smaller doc_id; rows that repeat stay once."""
-    found = groups(docs, percent)
+    found, read = grouped(docs, percent)
     alone = found.where("root IS NULL").select("key")
     chosen = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select("x.key")
     key = unused(docs, "row_key")
     stay = staged(alone.unionByName(chosen).distinct().withColumnRenamed("key", key), "stay")
+    release(*read)
     keyed = docs.withColumn(key, row_key("doc_id", "text"))
     return keyed.join(stay, key).dropDuplicates([key]).select(*docs.columns)
 

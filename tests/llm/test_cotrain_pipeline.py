@@ -1,5 +1,6 @@
 """Co-training on held-out labels, and the whole pipeline stage by stage."""
 
+import pathlib
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from proofgrain.llm import cotrain, queries
-from proofgrain.llm.common import staged
+from proofgrain.llm.common import shared_dir, staged
 
 SF = "/root/testdata/sf0.01"
 
@@ -110,3 +111,15 @@ def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     rows, problems = compare(queries.QUERIES[name](spark, sf), duck(sf), queries.ORACLES[name])
     assert not problems and rows > 0
+
+
+def test_stages_leave_only_what_their_result_reads(spark):
+    """Staged tables go once no later step reads them (the benchmark's terms stay); results
+    stay readable."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "llm" / spark.sparkContext.applicationId
+    for (name, stage), most in zip(corpus_pipeline.STAGES[:3], ([], ["stay"], ["contaminated", "terms"])):
+        before = set(folder.glob("*"))
+        out = stage(spark, docs, SF)
+        assert sorted(p.name.rsplit("-", 1)[0] for p in folder.glob("*") if p not in before) == most, name
+        assert 0 < out.count() <= docs.count()
