@@ -80,3 +80,20 @@ def test_scores_shuffle_no_text_and_chunks_leave_in_bounded_frames(spark, monkey
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     monkeypatch.setattr(retrieve, "AT_ONCE", 7)
     assert chunks.count() == retrieve.chunk_documents(docs).distinct().count() == 300
+
+
+def test_topk_makes_no_row_of_a_pair(spark, monkeypatch):
+    """Scores come from products inside the tasks: no join by term, however many copies tie, and the
+    same rows in many tasks, steps and blocks of queries."""
+    chunks, queries = corpus(spark, 4, 120)
+    chunks = chunks.unionByName(spark.range(10_000, 10_200).selectExpr("id doc", "1 chunk_id", "'the w1 of w2' text"))
+    every = retrieve.tfidf_scores(chunks, queries).where("bround(score * 1000) > 0 or words > 0")
+    want = top(every, 5, F.desc("score"), F.desc("words"))
+    monkeypatch.setattr(retrieve, "COMMON", 4)
+    for cells, at_a_time, sent in ((4_000_000, 100_000, 1_000), (3_000, 300, 12)):
+        monkeypatch.setattr(retrieve, "CELLS", cells)
+        monkeypatch.setattr(retrieve, "AT_A_TIME", at_a_time)
+        monkeypatch.setattr(retrieve, "SENT", sent)
+        got = retrieve.tfidf_topk(chunks, queries, 5)
+        assert top(got, 5, F.desc("score"), F.desc("words")) == want
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
