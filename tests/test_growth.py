@@ -2,6 +2,7 @@
 
 from proofgrain.operators import match, pairs
 from proofgrain.plans import inputs
+from proofgrain.plans.evidence_queries import packet_evidence
 from proofgrain.plans.ctes import ALIAS_RULES
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +19,7 @@ def test_orders_are_not_broadcast_and_pairs_are_not_dealt_by_label(spark):
     found = pairs.strict_pairs(chunks)
     matched = match.match_fields(fields, found, match.alias_keys(fields, ALIAS_RULES))
     assert "hashpartitioning(form_id" not in plan(matched) and matched.count() > found.select("packet_id").distinct().count()
+
+
+def test_evidence_of_packets_broadcasts_no_orders(spark):
+    assert "Broadcast" not in plan(packet_evidence(spark, SF))
