@@ -1,7 +1,7 @@
 """Plans whose cost must not hang on how small a file is or how few keys there are."""
 
-from proofgrain.operators import match, pairs
-from proofgrain.plans import inputs
+from proofgrain.operators import compare, match, pairs
+from proofgrain.plans import compare_queries, inputs
 from proofgrain.plans.evidence_queries import packet_evidence
 from proofgrain.plans.ctes import ALIAS_RULES
 
@@ -23,3 +23,8 @@ def test_orders_are_not_broadcast_and_pairs_are_not_dealt_by_label(spark):
 
 def test_evidence_of_packets_broadcasts_no_orders(spark):
     assert "Broadcast" not in plan(packet_evidence(spark, SF))
+
+
+def test_the_summary_numbers_lines_once_and_headers_gather_no_text(spark):
+    assert "Window" not in plan(compare_queries.summary(spark, SF))  # the grid is a written table
+    assert "collect_list" not in plan(compare.cell_issues(inputs.grid(spark, SF)))
