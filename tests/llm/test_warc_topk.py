@@ -90,3 +90,13 @@ def test_search_in_small_blocks_and_of_nothing(spark):
     got = topk.top_k(vectors.where("vec_id % 10 = 0"), vectors, 3, q_size=4, c_size=16)
     assert sorted(map(tuple, got.collect())) == brute(VECTORS, 10, 3)
     assert topk.search(df.limit(0)).collect() == []
+
+
+def test_groups_of_blocks_are_shuffled_and_never_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(VECTORS + [(900, [2000.0, -2000.0, 1.0, 0.0]), (910, [3e5, 1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    vectors = topk.quantized(df)
+    for held in (1, 1 << 24):
+        monkeypatch.setattr(topk, "HELD", held)
+        found = topk.top_k(vectors.where("vec_id % 10 = 0"), vectors, 3, q_size=4, c_size=16)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == brute([tuple(r) for r in df.collect()], 10, 3)
