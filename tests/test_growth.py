@@ -1,9 +1,12 @@
 """Plans whose cost must not hang on how small a file is or how few keys there are."""
 
+import time
+
 from proofgrain.operators import compare, match, pairs
 from proofgrain.plans import compare_queries, inputs
-from proofgrain.plans.evidence_queries import packet_evidence
+from proofgrain.plans.evidence_queries import own_ledger, packet_evidence
 from proofgrain.plans.ctes import ALIAS_RULES
+from proofgrain.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,21 @@ def test_evidence_of_packets_broadcasts_no_orders(spark):
 def test_the_summary_numbers_lines_once_and_headers_gather_no_text(spark):
     assert "Window" not in plan(compare_queries.summary(spark, SF))  # the grid is a written table
     assert "collect_list" not in plan(compare.cell_issues(inputs.grid(spark, SF)))
+
+
+def test_candidates_are_dealt_once_by_field(spark):
+    for part in own_ledger(spark, SF):
+        assert not [line for line in plan(part).splitlines() if "Exchange hashpartitioning" in line and "field_id" in line and "value" in line]
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    def left():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+
+    before = left()
+    cut_lineage(spark.range(10_000).repartition(7))
+    for _ in range(100):
+        if left() == before:
+            break
+        time.sleep(0.1)
+    assert left() == before
