@@ -3,7 +3,7 @@
 import time
 
 from proofgrain.operators import compare, match, pairs
-from proofgrain.plans import compare_queries, inputs
+from proofgrain.plans import compare_queries, inputs, quality_queries
 from proofgrain.plans.evidence_queries import own_ledger, packet_evidence
 from proofgrain.plans.ctes import ALIAS_RULES
 from proofgrain.session import cut_lineage
@@ -49,3 +49,11 @@ def test_a_written_stage_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert left() == before
+
+
+def test_the_suite_holds_no_shuffle_of_two_checks(spark, monkeypatch):
+    named = ("dq3_record_types", "dq4_leaf_keys", "dq12_structure")
+    monkeypatch.setattr(quality_queries, "CHECKS", named)
+    found = quality_queries.suite(spark, SF)
+    assert "Exchange" not in plan(found)
+    assert found.count() == sum(quality_queries.QUERIES[name](spark, SF).count() for name in named)
