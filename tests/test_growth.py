@@ -2,8 +2,8 @@
 
 import time
 
-from proofgrain.operators import compare, match, pairs
-from proofgrain.plans import compare_queries, inputs, quality_queries
+from proofgrain.operators import compare, match, pairs, retrieve
+from proofgrain.plans import compare_queries, inputs, quality_queries, retrieve_queries
 from proofgrain.plans.evidence_queries import own_ledger, packet_evidence
 from proofgrain.plans.ctes import ALIAS_RULES
 from proofgrain.session import cut_lineage
@@ -57,3 +57,13 @@ def test_the_suite_holds_no_shuffle_of_two_checks(spark, monkeypatch):
     found = quality_queries.suite(spark, SF)
     assert "Exchange" not in plan(found)
     assert found.count() == sum(quality_queries.QUERIES[name](spark, SF).count() for name in named)
+
+
+def test_norms_are_written_and_terms_of_one_chunk_are_not_shuffled(spark):
+    chunks, queries = retrieve_queries.doc_chunks(spark, SF), retrieve_queries.item_queries(spark, SF)
+    got = retrieve._Weighed(chunks, queries, ["doc", "chunk_id"], ["query"], None, (), None, 2, True, 1)
+    assert "df#" in plan(got.rare_norms()) and "> 1)" in plan(got.rare_norms())
+    want = got._squares(got.posts.join(got.stats.select("term", "i"), "term"))
+    both = got.norms().withColumnRenamed("ss", "a").join(want, ["doc", "chunk_id"], "full")
+    assert both.where("a is null or ss is null or abs(a - ss) > 1e-9 * ss").count() == 0
+    assert plan(retrieve.tfidf_scores(chunks, queries, ngrams=2, raw_tf=True)).count("LeftAnti") == 0
