@@ -2,6 +2,8 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from proofgrain.operators import compare, match, pairs, retrieve
 from proofgrain.plans import compare_queries, inputs, quality_queries, retrieve_queries
 from proofgrain.plans.evidence_queries import own_ledger, packet_evidence
@@ -67,3 +69,13 @@ def test_norms_are_written_and_terms_of_one_chunk_are_not_shuffled(spark):
     both = got.norms().withColumnRenamed("ss", "a").join(want, ["doc", "chunk_id"], "full")
     assert both.where("a is null or ss is null or abs(a - ss) > 1e-9 * ss").count() == 0
     assert plan(retrieve.tfidf_scores(chunks, queries, ngrams=2, raw_tf=True)).count("LeftAnti") == 0
+
+
+def test_the_summary_counts_all_classes_at_once(spark):
+    def of(*docs, **more):
+        df = spark.createDataFrame([(d,) for d in docs], "doc long")
+        return df.select("doc", *[F.lit(v).alias(k) for k, v in more.items()])
+
+    out = compare.validation_summary(of(1, passed=False), of(1, 1), of(2), of(2, 2, status="drift"), of(1, 1, 2, 3), of(3), of(3, 3), of(3, 9))
+    assert "Join" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 2, 0, 0, 0, 0, 0, False), (2, 0, 0, 1, 2, 0, 0, 0, False), (3, 0, 0, 0, 0, 1, 1, 2, False)]
